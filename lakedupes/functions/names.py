@@ -7,10 +7,8 @@ import unicodedata
 from collections.abc import Iterable
 from functools import cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakedupes.fixed import (
     COPY_SUFFIXES,
@@ -23,11 +21,6 @@ from lakedupes.fixed import (
 )
 from lakedupes.functions.paths import extension, stem
 
-# Characters below this code point are mapped in the JVM. It covers the Latin, Greek, Cyrillic,
-# Hebrew, Arabic and Indic letters; only compatibility forms and Hangul lie above.
-_NATIVE_LIMIT = 0x2000
-
-
 def trim_unicode(text: Column) -> Column:
     """Drop Unicode white space at both ends."""
     return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
@@ -73,13 +66,23 @@ def name_quality_score(key: Column) -> Column:
     )
 
 
-def strip_accents_text(text: str) -> str:
-    """Compatibility decomposition without combining marks."""
+def plain_form(text: str) -> str:
+    """Compatibility decomposition without combining marks, the definition of accent stripping."""
     return "".join(
         c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn"
     )
 
 
+# Hangul syllables are laid out by their letters, so they are taken apart by arithmetic.
+_HANGUL = range(0xAC00, 0xD7A4)
+_LEAD = "".join(map(chr, range(0x1100, 0x1113)))
+_VOWEL = "".join(map(chr, range(0x1161, 0x1176)))
+_TAIL = "".join(map(chr, range(0x11A8, 0x11C3)))
+
+# Separators of the map literal: control characters, which no plain form holds.
+_PAIR, _VALUE = "\x01", "\x02"
+
+
 def _ranges(points: Iterable[int]) -> str:
     """Regex class body for sorted code points."""
     runs: list[list[int]] = []
@@ -92,67 +95,78 @@ def _ranges(points: Iterable[int]) -> str:
 
 
 @cache
-def _accent_tables() -> tuple[str, str, str]:
-    """(from, to, class): one-to-one mappings for ``translate`` and the characters beyond it.
+def _accent_tables() -> tuple[str, str, str, str]:
+    """(from, to) for ``translate``, the class of expanding characters, and their map as text.
 
-    Built from the Unicode database: decomposition maps characters one by one, so a character that
-    becomes one character, or none, needs no Python at run time.
+    Built from the Unicode database. Decomposition works on one character at a time, so the tables
+    give the same as ``plain_form``, but for the order of two spacing marks that follow each other.
     """
-    mapped, dropped, beyond = [], [], []
+    single, dropped, expanding, pairs = [], [], [], []
     for point in range(0x80, sys.maxunicode + 1):
         char = chr(point)
-        plain = strip_accents_text(char)
+        if point in _HANGUL:
+            expanding.append(point)
+            continue
+        plain = plain_form(char)
         if plain == char:
-            if unicodedata.combining(char):
-                beyond.append(point)
-        elif point >= _NATIVE_LIMIT or len(plain) > 1:
-            beyond.append(point)
-        elif plain:
-            mapped.append((char, plain))
-        else:
+            continue
+        if not plain:
             dropped.append(char)
-    source = "".join(c for c, _ in mapped) + "".join(dropped)
-    return source, "".join(p for _, p in mapped), f"[{_ranges(beyond)}]"
-
-
-def needs_decomposition(text: Column) -> Column:
-    """The text holds a character whose plain form is longer than one character."""
-    return text.rlike(_accent_tables()[2])
-
-
-def strip_accents(text: Column) -> Column:
-    """Plain form of text for which ``needs_decomposition`` is false."""
-    source, target, _ = _accent_tables()
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, source, target)).otherwise(text)
+        elif len(plain) == 1:
+            single.append((char, plain))
+        else:
+            expanding.append(point)
+            pairs.append(char + _VALUE + plain)
+    return (
+        "".join(c for c, _ in single) + "".join(dropped),
+        "".join(p for _, p in single),
+        f"[{_ranges(expanding)}]",
+        _PAIR.join(pairs),
+    )
 
 
-@F.pandas_udf(T.StringType())
-def _decompose(text: pd.Series) -> pd.Series:
-    return text.map(strip_accents_text, na_action="ignore")
+def _expand(char: Column, table: Column) -> Column:
+    """Plain form of one character that becomes several."""
+    index = F.ascii(char) - _HANGUL.start
+    vowels, tails = len(_VOWEL), len(_TAIL) + 1
 
+    def letter(alphabet: str, at: Column) -> Column:
+        return F.substring(F.lit(alphabet), at + 1, F.lit(1))
 
-def _finish(plain: Column, ext: Column) -> Column:
-    return F.concat(collapse_spaces(trim_unicode(strip_copy_suffixes(plain))), ext)
+    tail = index % tails
+    syllable = F.concat(
+        letter(_LEAD, F.floor(index / F.lit(vowels * tails)).cast("int")),
+        letter(_VOWEL, F.floor(index % F.lit(vowels * tails) / F.lit(tails)).cast("int")),
+        F.when(tail > 0, letter(_TAIL, tail - 1)).otherwise(""),
+    )
+    hangul = char.between(chr(_HANGUL[0]), chr(_HANGUL[-1]))
+    return F.when(hangul, syllable).otherwise(F.try_element_at(table, char))
 
 
-def with_normalized_name(df: DataFrame, key: str = "key", name: str = "normalized") -> DataFrame:
-    """Add the normal form of each key's file name.
+def strip_accents(text: Column) -> Column:
+    """Plain letters of ``text``. Stays in the JVM.
 
-    Names whose letters have one-character plain forms never leave the JVM. Only rows that hold a
-    ligature, Hangul or another expanding character go through Arrow; they are filtered first,
-    because Spark evaluates a Python function for every row that reaches it.
+    ASCII text is left alone, most other text needs one ``translate``, and only text with a
+    ligature, a fraction, Hangul or the like is taken apart character by character.
     """
-    rows = df.withColumn("_stem", F.lower(stem(F.col(key)))).withColumn(
-        "_ext", F.lower(extension(F.col(key)))
-    )
-    rare = needs_decomposition(F.col("_stem"))
-    plain = rows.where(~rare).withColumn(
-        name, _finish(strip_accents(F.col("_stem")), F.col("_ext"))
+    source, target, expanding, pairs = _accent_tables()
+    table = F.str_to_map(F.lit(pairs), F.lit(_PAIR), F.lit(_VALUE))
+    single = F.translate(text, source, target)
+    several = F.array_join(
+        F.transform(
+            F.split(single, ""),
+            lambda c: F.when(c.rlike(expanding), _expand(c, table)).otherwise(c),
+        ),
+        "",
     )
-    expanded = (
-        rows.where(rare)
-        .withColumn("_plain", _decompose("_stem"))
-        .withColumn(name, _finish(F.col("_plain"), F.col("_ext")))
+    return (
+        F.when(~text.rlike(r"[^\x00-\x7f]"), text)
+        .when(~text.rlike(expanding), single)
+        .otherwise(several)
     )
-    columns = [*df.columns, name]
-    return plain.select(columns).unionByName(expanded.select(columns))
+
+
+def normalize_name(key: Column) -> Column:
+    """Normal form of the key's file name, equal for names that differ only in ornament."""
+    plain = strip_copy_suffixes(strip_accents(F.lower(stem(key))))
+    return F.concat(collapse_spaces(trim_unicode(plain)), F.lower(extension(key)))

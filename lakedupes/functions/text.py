@@ -14,7 +14,8 @@ def human_size(size: Column) -> Column:
     text = None
     for power, unit in enumerate(SIZE_UNITS):
         scaled = F.concat(
-            F.format_number(size / F.lit(float(1024**power)), "0.0"), F.lit(" " + unit)
+            F.call_function("format_number", size / F.lit(float(1024**power)), F.lit("0.0")),
+            F.lit(" " + unit),
         )
         if power == len(SIZE_UNITS) - 1:
             return text.otherwise(scaled)

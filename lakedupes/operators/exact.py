@@ -133,24 +133,30 @@ def _identities(objects: DataFrame) -> DataFrame:
     Identity is the own hash, else the hash known for an equal (size, etag, is_multipart), else
     the ETag where that is a content hash, else unknown (such evidence is left out).
     """
-    pairs = _evidence(objects).groupBy(*_EVIDENCE).agg(F.count(F.lit(1)).alias("_rows"))
-    hashed = pairs.where("_sha <> ''")
-    known = hashed.groupBy("size", "etag", "is_multipart").agg(F.max("_sha").alias("_known"))
-    bare = pairs.where("_sha = ''").join(known, ["size", "etag", "is_multipart"], "left")
+    listed = ["size", "etag", "is_multipart"]
+    hashed = (
+        objects.where(F.col("sha256").isNotNull())
+        .groupBy(*listed, F.col("sha256").alias("_sha"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("fingerprint", F.col("_sha"))
+    )
     plain_etag = F.when(~F.col("is_multipart"), F.col("etag"))
-    return (
-        hashed.withColumn("fingerprint", F.col("_sha"))
-        .unionByName(
-            bare.withColumn("fingerprint", F.coalesce("_known", plain_etag)).drop("_known")
+    bare = (
+        objects.groupBy(*listed)
+        .agg(F.count_if(F.col("sha256").isNull()).alias("_rows"), F.max("sha256").alias("_known"))
+        .where("_rows > 0")
+        .select(
+            *listed, F.lit("").alias("_sha"), "_rows",
+            F.coalesce("_known", plain_etag).alias("fingerprint"),
         )
-        .where(F.col("fingerprint").isNotNull())
     )
+    return hashed.unionByName(bare.where("fingerprint is not null"))
 
 
 def _exclusive(identities: DataFrame) -> DataFrame:
     return (
         identities.groupBy("fingerprint", "size")
-        .agg(F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("_pairs"))
+        .agg(F.sum("_rows").alias("n"))
         .where("n > 1")
     )
 
@@ -178,10 +184,7 @@ def exclusive_duplicates(objects: DataFrame) -> DataFrame:
     one row until the final join back.
     """
     identities = _identities(objects)
-    lookup = join_groups(
-        identities, _exclusive(identities), ["fingerprint", "size"], weight="_pairs",
-        spread=["etag", "_sha"],
-    )
+    lookup = identities.join(_exclusive(identities), ["fingerprint", "size"])
     member = ["bucket", "key", "last_modified"]
     rows = join_groups(
         _evidence(objects).select(*_EVIDENCE, *member), lookup, _EVIDENCE, weight="_rows"

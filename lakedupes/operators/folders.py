@@ -92,7 +92,7 @@ def duplicate_folders(stats: DataFrame) -> DataFrame:
     )
     return rows.select(
         "bucket", "base_name", "category", "any_media", "folder", *STATS, "only_images",
-        role.alias("role"), "first_orphan", "first_complete",
+        role.alias("role"), "first_orphan", "first_complete", "n",
     )
 
 

@@ -9,15 +9,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows of one key that stay together in a join; more are split. ``spark.lakedupes.pieceRows``.
+PIECE_ROWS = 500_000
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def piece_rows(spark: SparkSession) -> int:
+    """Rows per piece of a hot key in this session."""
+    return int(spark.conf.get("spark.lakedupes.pieceRows", str(PIECE_ROWS)))
+
+
+def _pieces(weight: str, spark: SparkSession) -> Column:
+    return F.ceil(F.col(weight) / F.lit(piece_rows(spark))).cast("long")
+
+
+def _choose(pieces: Column, spread: Sequence[str]) -> Column:
+    """The piece of a row: a hash of its own columns, the same whenever the task runs again."""
+    return F.coalesce(F.pmod(F.xxhash64(*spread), pieces), F.lit(0))
+
+
+def _repeat(groups: DataFrame, weight: str) -> DataFrame:
+    """One row per group and piece. Adds one row per ``piece_rows`` rows of data at most."""
+    last = F.greatest(_pieces(weight, groups.sparkSession), F.lit(1)) - 1
+    return groups.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+
+
 def join_groups(
     rows: DataFrame,
     groups: DataFrame,
@@ -26,25 +49,41 @@ def join_groups(
     how: str = "inner",
     spread: Sequence[str] = ("bucket", "key"),
 ) -> DataFrame:
-    """Join one-row-per-key ``groups`` to ``rows``, splitting hot keys.
+    """Join one-row-per-key ``groups`` to ``rows`` (which do not know their group's size).
 
-    ``weight`` is the column of ``groups`` with the number of rows of the key. A key is hot when it
-    outweighs an average shuffle partition; with P partitions fewer than P keys can be hot, so the
-    broadcast list of hot keys is bounded by P rows whatever the data. A hot key is cut into as many
-    pieces as average partitions it fills, at most 2P pieces in all: its rows choose a piece by a
-    hash of ``spread``, its group row is repeated once per piece.
+    ``weight`` is the column of ``groups`` with the number of rows of the key. The P heaviest keys
+    above ``piece_rows`` rows are broadcast to the rows, P being the number of shuffle partitions:
+    a list of at most P keys whatever the data. Their rows choose a piece by a hash of ``spread``;
+    group rows are repeated once per piece. A key beyond the list is joined whole, correctly, in
+    piece 0: P keys are heavier than it, so it has less than 1/P of the rows.
     """
     keys = list(keys)
-    parts = shuffle_partitions(rows.sparkSession)
-    total = groups.agg(F.sum(weight)).scalar()
-    pieces = F.greatest(F.ceil(F.col(weight) * F.lit(parts) / total), F.lit(1))
-    sized = groups.withColumn("_pieces", pieces)
-    hot = sized.where("_pieces > 1").select(*keys, "_pieces")
-    pick = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")), F.lit(0))
-    salted = (
-        rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", pick).drop("_pieces")
+    spark = rows.sparkSession
+    heaviest = (
+        groups.where(F.col(weight) > piece_rows(spark))
+        .orderBy(F.desc(weight))
+        .limit(shuffle_partitions(spark))
+        .select(*keys, _pieces(weight, spark).alias("_pieces"))
+    )
+    salted = rows.join(F.broadcast(heaviest), keys, "left").withColumn(
+        "_piece", _choose(F.col("_pieces"), spread)
     )
-    repeated = sized.withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))
-    ).drop("_pieces")
-    return salted.join(repeated, [*keys, "_piece"], how).drop("_piece")
+    return (
+        salted.drop("_pieces")
+        .join(_repeat(groups, weight), [*keys, "_piece"], how)
+        .drop("_piece")
+    )
+
+
+def join_sized(
+    rows: DataFrame,
+    groups: DataFrame,
+    keys: Sequence[str],
+    size: str = "n",
+    spread: Sequence[str] = ("bucket", "key"),
+) -> DataFrame:
+    """Join ``groups`` to ``rows`` when both carry the group's number of rows in ``size``."""
+    keys = list(keys)
+    pieces = _pieces(size, rows.sparkSession)
+    salted = rows.withColumn("_piece", _choose(pieces, spread))
+    return salted.join(_repeat(groups, size).drop(size), [*keys, "_piece"]).drop("_piece")

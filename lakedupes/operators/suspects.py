@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakedupes.functions.names import with_normalized_name
+from lakedupes.functions.names import normalize_name
 from lakedupes.operators.groups import join_groups
 
 
@@ -16,7 +16,7 @@ def suspect_names(objects: DataFrame, identity: str = "etag") -> DataFrame:
     fingerprints. That a group holds two different values is seen from its least and greatest.
     """
     columns = list(dict.fromkeys(["bucket", "key", "size", "etag", identity]))
-    named = with_normalized_name(objects.select(columns))
+    named = objects.select(*columns, normalize_name(F.col("key")).alias("normalized"))
     names = (
         named.groupBy("normalized")
         .agg(

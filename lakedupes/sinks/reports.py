@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakedupes.functions.text import iso_time
-from lakedupes.operators.groups import join_groups
 
 # A document holds about this many members. A larger group becomes several documents.
 MEMBERS_PER_DOCUMENT = 10_000
@@ -31,9 +30,8 @@ def nest(
     """
     parts = F.ceil(F.col(n) / F.lit(MEMBERS_PER_DOCUMENT)).cast("long")
     members = rows.select(
-        *group, parts.alias("parts"),
-        F.pmod(F.xxhash64(order), parts).alias("part"), F.struct(*member).alias("_member"),
-    )
+        *group, parts.alias("parts"), F.struct(*member).alias("_member")
+    ).withColumn("part", F.pmod(F.xxhash64(f"_member.{order}"), "parts"))
     in_order = F.array_sort(
         F.collect_list("_member"),
         lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0),
@@ -66,9 +64,8 @@ def work_documents(works: DataFrame) -> DataFrame:
 
 def folder_documents(folders: DataFrame) -> DataFrame:
     """Group documents of the folder diagnosis. ``folders``: rows of ``duplicate_folders``."""
-    sizes = folders.groupBy("bucket", "base_name").agg(F.count(F.lit(1)).alias("n"))
     return nest(
-        join_groups(folders, sizes, ["bucket", "base_name"], spread=["folder"]),
+        folders,
         ["bucket", "base_name", "category"],
         [F.col("folder").alias("path"), F.col("file_count"), F.col("media_count"),
          F.col("image_count"), F.col("total_size")],

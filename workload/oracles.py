@@ -175,7 +175,7 @@ dupfolders as (
   total_size, only_images,
   case when category = 'orphan' then
    case when media_count > 0 then 'complete' else 'orphan' end end as role,
-  first_orphan, first_complete
+  first_orphan, first_complete, n
  from stats join fgroups2 using (bucket, base_name))
 """
 

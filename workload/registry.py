@@ -53,8 +53,9 @@ def split_ext(spark, folder):
 
 @query
 def normalize_name(spark, folder):
-    named = names.with_normalized_name(tables.objects(spark, folder).select("key"))
-    return named.select("key", "normalized")
+    return tables.objects(spark, folder).select(
+        "key", names.normalize_name(F.col("key")).alias("normalized")
+    )
 
 
 @query
