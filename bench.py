@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from workload.registry import QUERIES
 
 HEADLINE = [
-    "size_duplicates", "etag_duplicates", "multipart_candidates", "hash_candidates",
+    "object_index", "size_duplicates", "etag_duplicates", "multipart_candidates", "hash_candidates",
     "hash_duplicates", "all_duplicates", "exclusive_duplicates", "scan_stats",
     "same_work_groups", "suspect_names", "snapshot_diff", "apply_listing_objects",
     "upsert_objects", "retention_keepers", "delete_plan", "ranked_groups", "report_rows",

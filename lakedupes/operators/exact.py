@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakedupes.functions.text import wasted_bytes
 from lakedupes.operators.groups import join_groups
+from lakedupes.unions import union
 
 GROUP_COLUMNS = ["kind", "fingerprint", "size", "n", "wasted_bytes"]
 MEMBER_COLUMNS = ["kind", "fingerprint", "size", "bucket", "key", "last_modified", "n",
@@ -95,7 +96,7 @@ def duplicate_groups(objects: DataFrame) -> DataFrame:
     by_hash = hash_groups(objects).select(
         F.lit("sha256").alias("kind"), F.col("sha256").alias("fingerprint"), "size", "n", waste
     )
-    return by_etag.unionByName(by_hash)
+    return union(by_etag, by_hash)
 
 
 def all_duplicates(objects: DataFrame) -> DataFrame:
@@ -112,11 +113,9 @@ def all_duplicates(objects: DataFrame) -> DataFrame:
         ["sha256", "size"],
     ).withColumns({"kind": F.lit("sha256"), "fingerprint": F.col("sha256")})
     waste = {"wasted_bytes": wasted_bytes(F.col("size"), F.col("n"))}
-    return (
-        by_etag.withColumns(waste)
-        .select(MEMBER_COLUMNS)
-        .unionByName(by_hash.withColumns(waste).select(MEMBER_COLUMNS))
-    )
+    return union(*[
+        part.withColumns(waste).select(MEMBER_COLUMNS) for part in (by_etag, by_hash)
+    ])
 
 
 _EVIDENCE = ["size", "etag", "is_multipart", "_sha"]
@@ -150,7 +149,7 @@ def _identities(objects: DataFrame) -> DataFrame:
             F.coalesce("_known", plain_etag).alias("fingerprint"),
         )
     )
-    return hashed.unionByName(bare.where("fingerprint is not null"))
+    return union(hashed, bare.where("fingerprint is not null"))
 
 
 def _exclusive(identities: DataFrame) -> DataFrame:
@@ -201,13 +200,15 @@ def scan_stats(objects: DataFrame, groups: DataFrame | None = None) -> DataFrame
         groups = duplicate_groups(objects)
     zero = F.lit(0).cast("long")
     one = F.lit(1).cast("long")
-    parts = objects.select(
+    all_objects = objects.select(
         one.alias("total_objects"), F.col("size").alias("total_size"),
         zero.alias("duplicate_groups"), zero.alias("duplicate_objects"),
         zero.alias("wasted_bytes"),
-    ).unionByName(groups.select(
+    )
+    all_groups = groups.select(
         zero.alias("total_objects"), zero.alias("total_size"),
         one.alias("duplicate_groups"), (F.col("n") - 1).alias("duplicate_objects"),
         "wasted_bytes",
-    ))
+    )
+    parts = union(all_objects, all_groups)
     return parts.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in parts.columns])

@@ -9,6 +9,7 @@ from lakedupes.fixed import BOTH_MUSIC, DEFAULT_FOLDER_DEPTH, DEFAULT_FOLDER_PRE
 from lakedupes.functions.paths import folder_at, folder_base_name, is_audio, is_image
 from lakedupes.operators.groups import join_groups
 from lakedupes.sources.listing import under_prefix
+from lakedupes.unions import union
 
 STATS = ["file_count", "media_count", "image_count", "total_size"]
 
@@ -115,6 +116,6 @@ def diagnosis_summary(stats: DataFrame) -> DataFrame:
         (F.col("category") == ORPHAN).cast("long").alias(names[2]),
         (F.col("category") == BOTH_MUSIC).cast("long").alias(names[3]),
     )
-    return folders.unionByName(groups).agg(*[
+    return union(folders, groups).agg(*[
         F.coalesce(F.sum(n), zero).alias(n) for n in names
     ])

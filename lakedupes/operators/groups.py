@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of one key that stay together in a join; more are split. ``spark.lakedupes.pieceRows``.
@@ -26,19 +26,19 @@ def piece_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.lakedupes.pieceRows", str(PIECE_ROWS)))
 
 
-def _pieces(weight: str, spark: SparkSession) -> Column:
-    return F.ceil(F.col(weight) / F.lit(piece_rows(spark))).cast("long")
+def _pieces(weight: str, spark: SparkSession) -> str:
+    return f"ceil({weight} / {piece_rows(spark)})"
 
 
-def _choose(pieces: Column, spread: Sequence[str]) -> Column:
+def _choose(pieces: str, spread: Sequence[str]) -> str:
     """The piece of a row: a hash of its own columns, the same whenever the task runs again."""
-    return F.coalesce(F.pmod(F.xxhash64(*spread), pieces), F.lit(0))
+    return f"coalesce(pmod(xxhash64({', '.join(spread)}), {pieces}), 0) AS _piece"
 
 
 def _repeat(groups: DataFrame, weight: str) -> DataFrame:
     """One row per group and piece. Adds one row per ``piece_rows`` rows of data at most."""
-    last = F.greatest(_pieces(weight, groups.sparkSession), F.lit(1)) - 1
-    return groups.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    last = f"greatest({_pieces(weight, groups.sparkSession)}, 1) - 1"
+    return groups.selectExpr("*", f"explode(sequence(cast(0 as bigint), {last})) AS _piece")
 
 
 def join_groups(
@@ -60,19 +60,15 @@ def join_groups(
     keys = list(keys)
     spark = rows.sparkSession
     heaviest = (
-        groups.where(F.col(weight) > piece_rows(spark))
+        groups.where(f"{weight} > {piece_rows(spark)}")
         .orderBy(F.desc(weight))
         .limit(shuffle_partitions(spark))
-        .select(*keys, _pieces(weight, spark).alias("_pieces"))
+        .selectExpr(*keys, f"{_pieces(weight, spark)} AS _pieces")
     )
-    salted = rows.join(F.broadcast(heaviest), keys, "left").withColumn(
-        "_piece", _choose(F.col("_pieces"), spread)
-    )
-    return (
-        salted.drop("_pieces")
-        .join(_repeat(groups, weight), [*keys, "_piece"], how)
-        .drop("_piece")
+    salted = rows.join(F.broadcast(heaviest), keys, "left").selectExpr(
+        *rows.columns, _choose("_pieces", spread)
     )
+    return salted.join(_repeat(groups, weight), [*keys, "_piece"], how).drop("_piece")
 
 
 def join_sized(
@@ -84,6 +80,5 @@ def join_sized(
 ) -> DataFrame:
     """Join ``groups`` to ``rows`` when both carry the group's number of rows in ``size``."""
     keys = list(keys)
-    pieces = _pieces(size, rows.sparkSession)
-    salted = rows.withColumn("_piece", _choose(pieces, spread))
+    salted = rows.selectExpr("*", _choose(_pieces(size, rows.sparkSession), spread))
     return salted.join(_repeat(groups, size).drop(size), [*keys, "_piece"]).drop("_piece")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakedupes.schema import BUCKET_CONFIG, MEDIA, OBJECTS, conform
 from lakedupes.sources.listing import under_prefix
+from lakedupes.unions import union
 
 KEY = ["bucket", "key"]
 
@@ -104,8 +105,8 @@ def upsert(
     keys = list(keys)
     if order_by:
         rows = latest(rows, keys, order_by)
-    return table.join(rows.select(keys), keys, "left_anti").unionByName(
-        rows.select(table.columns)
+    return union(
+        table.join(rows.select(keys), keys, "left_anti"), rows.select(table.columns)
     )
 
 

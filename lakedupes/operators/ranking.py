@@ -2,60 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakedupes.operators.groups import shuffle_partitions
+from lakedupes.staging import stage
 
 # A window sorts a group in one task. Up to this many rows that is cheap; above it the group is
 # spread over several tasks.
 WINDOW_ROWS = 1_000_000
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Take the shared checkpoint folder from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder: on a cluster the folder
-    must be one that every executor reaches.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(folder)
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group: one number reaches the driver."""
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
-
-
 def spread_row_number(
     df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
 ) -> DataFrame:
     """``row_number`` per ``group`` by ``order`` (ascending; the pair must be unique), spread out.
 
     Rows are range partitioned on (group, order), which cuts a huge group into consecutive pieces,
-    and checkpointed, so that the cuts stay the same for both uses below and after an executor is
-    lost. Each piece is numbered alone; a piece starts after the earlier pieces of its group. Only
+    and staged with their piece number, so that the cuts stay the same for both uses below and after
+    an executor is lost. Each piece is numbered alone; a piece starts after the earlier pieces of its group. Only
     a group that crosses a cut has an offset, so at most one per partition is broadcast.
     """
-    use_checkpoints(df.sparkSession)
     parts = shuffle_partitions(df.sparkSession)
     group, order = list(group), list(order)
-    cut = (
-        df.repartitionByRange(parts, *group, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
+    cut, _ = stage(
+        df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id())
     )
     pieces = cut.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_rows"))
     # Null-safe join keys: one struct per group, comparable as a whole.

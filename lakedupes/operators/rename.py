@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lakedupes.fixed import DEFAULT_RULES
 from lakedupes.functions.paths import ancestors, extension, folder_depth, without_extension
 from lakedupes.functions.rules import rules_named
-from lakedupes.operators.ranking import group_row_number, largest_group, use_checkpoints
+from lakedupes.operators.ranking import group_row_number
 from lakedupes.sources.listing import under_prefix
+from lakedupes.staging import stage
+from lakedupes.unions import union
 
 KEY = ["bucket", "key"]
 _TARGET = ["bucket", "wanted"]
@@ -82,32 +84,29 @@ def _place(
     ``blocked`` (bucket, wanted) the targets that are themselves taken. A target that is free goes
     to the first source; the others get the next free numbers from 2.
 
-    The j-th free number is found by merging: with c taken numbers' count of free numbers below it,
+    The j-th free number is found by merging: with c the count of free numbers below a taken one,
     a taken number stands before the j-th source iff c < j, and the j-th free number is the
     position of that source in the merged order plus one.
     """
     marked = sources.join(
-        blocked.select(*_TARGET, F.lit(True).alias("_blocked")), _TARGET, "left"
-    ).withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
-    direct = marked.where("not _blocked and _rank = 1").select(
-        *_TARGET, "key", F.col("wanted").alias("target")
-    )
-    asking = marked.where("_blocked or _rank > 1").select(
-        *_TARGET, "key",
-        (2 * (F.col("_rank") - F.when(F.col("_blocked"), 0).otherwise(1))).alias("_slot"),
+        blocked.selectExpr(*_TARGET, "1 AS _skip"), _TARGET, "left"
+    ).selectExpr(*_TARGET, "key", "_rank - coalesce(1 - _skip, 1) AS _turn")
+    direct = marked.where("_turn = 0").selectExpr(*_TARGET, "key", "wanted AS target")
+    asking = marked.where("_turn > 0").selectExpr(
+        *_TARGET, "key", "2 * _turn AS _slot", "cast(0 as bigint) AS _tie"
     )
     # _number - 1 - _rank free numbers lie below the taken number of rank _rank.
-    used = taken.join(asking.select(_TARGET).distinct(), _TARGET, "left_semi").select(
-        *_TARGET, F.lit(None).cast("string").alias("key"),
-        (2 * (F.col("_number") - 1 - F.col("_rank")) + 1).alias("_slot"),
-        F.col("_rank").alias("_tie"),
+    used = taken.join(asking.select(_TARGET).distinct(), _TARGET, "left_semi").selectExpr(
+        *_TARGET, "cast(null as string) AS key", "2 * (_number - 1 - _rank) + 1 AS _slot",
+        "_rank AS _tie",
+    )
+    placed = group_row_number(
+        union(asking, used), _TARGET, ["_slot", "_tie"], "_position", largest
     )
-    merged = asking.withColumn("_tie", F.lit(0).cast("long")).unionByName(used)
-    placed = group_row_number(merged, _TARGET, ["_slot", "_tie"], "_position", largest)
-    suffixed = placed.where(F.col("key").isNotNull()).select(
+    suffixed = placed.where("key is not null").select(
         *_TARGET, "key", _suffixed(F.col("wanted"), F.col("_position") + 1).alias("target")
     )
-    return direct.unionByName(suffixed)
+    return union(direct, suffixed)
 
 
 def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
@@ -121,8 +120,8 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
 
     Only the rows in conflict are ranked. Targets depend on each other along one path: a generated
     ``a_2.txt`` may be another target. Whether it was there first follows from the smallest sources,
-    so one pass settles all targets but those that lost their own name to a suffix; these are
-    marked and the pass repeated, once per link of the longest such chain (normally not at all).
+    so one pass settles all targets but those that lose their own name to a suffix; only these are
+    placed again, once per link of the longest such chain (normally not at all).
     """
     valid = renamed.where("wanted <> ''").select(*KEY, "wanted")
     kept = existing.select(KEY).join(valid.select(KEY), KEY, "left_anti")
@@ -131,10 +130,11 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("key").alias("_first")
     )
     # One pass over the kept keys finds the targets and the suffixes they stand in the way of.
-    kept_claims = kept.select("bucket", F.inline(_claimed(F.col("key")))).join(
+    in_the_way = kept.select("bucket", F.inline(_claimed(F.col("key")))).join(
         targets.select(_TARGET), _TARGET, "left_semi"
-    )
-    # A target that reads like a suffix of another one: in the way if served before it.
+    ).distinct()
+    # A target that reads like a suffix of another one: in the way if served before it, else it
+    # may be lost to it.
     links = (
         targets.select(
             "bucket", F.col("wanted").alias("_child"), F.col("_first").alias("_child_first"),
@@ -142,50 +142,36 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
         )
         .where("_number is not null")
         .join(targets.select(*_TARGET, "_first"), _TARGET)
-    )
-    before = F.col("_child_first") < F.col("_first")
-
-    # Both are used several times below: fix them once, in the shared folder.
-    use_checkpoints(renamed.sparkSession)
-    claims = kept_claims.unionByName(
-        links.where(before).select(*_TARGET, "_number")
-    ).distinct().checkpoint()
-    later = links.where(~before).select("bucket", F.col("_child").alias("target")).checkpoint()
-    chained = not later.isEmpty()
-
-    blocked = claims.where("_number is null").select(_TARGET)
-    numbers = claims.where("_number is not null")
-    largest = largest_group(
-        valid.select(_TARGET).unionByName(numbers.select(_TARGET)), _TARGET
-    )
-    contested = (
-        targets.where("n > 1").select(_TARGET)
-        .unionByName(blocked)
-        .unionByName(later.select("bucket", F.col("target").alias("wanted")))
-        .distinct()
-    )
+        .selectExpr(*_TARGET, "_number", "if(_child_first > _first, _child, null) AS _later")
+    )
+    facts, _ = stage(
+        union(in_the_way.withColumn("_later", F.lit(None).cast("string")), links)
+    )
+    blocked = facts.where("_number is null").select(_TARGET)
+    numbers = facts.where("_number is not null and _later is null").select(*_TARGET, "_number")
+    later = facts.where("_later is not null").selectExpr("bucket", "_later AS target")
+
+    load = union(
+        targets.selectExpr(*_TARGET, "n", "cast(0 as bigint) AS _links"),
+        facts.selectExpr(
+            *_TARGET, "cast(_later is null as bigint) AS n",
+            "cast(_later is not null as bigint) AS _links",
+        ),
+    ).groupBy(*_TARGET).agg(F.sum("n").alias("n"), F.sum("_links").alias("_links"))
+    bound = load.agg(F.max("n").alias("n"), F.sum("_links").alias("links")).first()
+    largest = bound.n or 0
+
+    contested = union(
+        targets.where("n > 1").select(_TARGET), blocked,
+        later.selectExpr("bucket", "target AS wanted"),
+    ).distinct()
     sources = group_row_number(
         valid.join(contested, _TARGET, "left_semi"), _TARGET, ["key"], "_rank", largest
     )
     taken = group_row_number(numbers, _TARGET, ["_number"], "_rank", largest)
-    if chained:
-        sources, taken = sources.checkpoint(), taken.checkpoint()
-
     placed = _place(sources, taken, blocked, largest)
-    while chained:
-        placed = placed.checkpoint()
-        generated = placed.where("target <> wanted").select("bucket", "target")
-        lost = (
-            later.join(generated, ["bucket", "target"], "left_semi")
-            .select("bucket", F.col("target").alias("wanted"))
-            .join(blocked, _TARGET, "left_anti")
-            .distinct()
-            .checkpoint()
-        )
-        if lost.isEmpty():
-            break
-        blocked = blocked.unionByName(lost)
-        placed = _place(sources, taken, blocked, largest)
+    if bound.links:
+        placed = _settle_chains(placed, sources, taken, blocked, later, largest)
 
     target = F.coalesce(
         "_placed", F.when(F.col("wanted") != "", F.col("wanted")).otherwise(F.col("key"))
@@ -205,6 +191,29 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def _settle_chains(
+    placed: DataFrame, sources: DataFrame, taken: DataFrame, blocked: DataFrame,
+    later: DataFrame, largest: int,
+) -> DataFrame:
+    """Place the targets again that lost their own name to a suffix of another target."""
+    parts = []
+    while True:
+        placed, _ = stage(placed)
+        generated = placed.where("target <> wanted").select("bucket", "target")
+        lost, n = stage(
+            later.join(generated, ["bucket", "target"], "left_semi")
+            .selectExpr("bucket", "target AS wanted")
+            .join(blocked, _TARGET, "left_anti")
+            .distinct()
+        )
+        if not n:
+            return union(placed, *parts)
+        # A target is lost at most once, so the part it leaves is always the last one.
+        parts.append(placed.join(lost, _TARGET, "left_anti"))
+        blocked = union(blocked, lost)
+        placed = _place(sources.join(lost, _TARGET, "left_semi"), taken, lost, largest)
+
+
 def moves(resolved: DataFrame) -> DataFrame:
     """The resolved rows that change a key."""
     return resolved.where("not invalid_target")
@@ -214,7 +223,7 @@ def keys_after_rename(resolved: DataFrame, existing: DataFrame) -> DataFrame:
     """(bucket, key) of all objects once the moves are done."""
     moved = moves(resolved)
     stay = existing.select(KEY).join(moved.select(KEY), KEY, "left_anti")
-    return stay.unionByName(moved.select("bucket", F.col("target").alias("key"))).distinct()
+    return union(stay, moved.select("bucket", F.col("target").alias("key"))).distinct()
 
 
 def _folders(keys: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lakedupes.operators.exact import all_duplicates
 from lakedupes.operators.ranking import number_rows
 from lakedupes.operators.suspects import suspect_names
 from lakedupes.operators.works import same_work_groups
+from lakedupes.unions import union
 
 COLUMNS = ["section", "group_id", "group_size", "object_key", "detail"]
 
@@ -24,13 +25,13 @@ def report_rows(
         iso_time(F.col("last_modified")).alias("detail"),
     )
     if suspects is not None:
-        rows = rows.unionByName(suspects.select(
+        rows = union(rows, suspects.select(
             F.lit("suspect_name").alias("section"), F.col("normalized").alias("group_id"),
             F.col("size").alias("group_size"), F.col("key").alias("object_key"),
             F.col("etag").alias("detail"),
         ))
     if works is not None:
-        rows = rows.unionByName(works.select(
+        rows = union(rows, works.select(
             F.lit("same_work").alias("section"),
             work_label(F.col("artist"), F.col("title")).alias("group_id"),
             F.col("size").alias("group_size"), F.col("key").alias("object_key"),

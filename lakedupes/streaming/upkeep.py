@@ -18,6 +18,7 @@ from lakedupes.operators.index import KEY, latest, upsert_objects
 from lakedupes.schema import LISTING
 from lakedupes.sinks.tables import read_snapshot, write_snapshot
 from lakedupes.sources.listing import normalize_listing
+from lakedupes.unions import union
 
 
 def listing_stream(
@@ -60,7 +61,7 @@ def fold_changes(
     )
     removed = last.where("deleted").select(KEY)
     stay = index.join(removed, KEY, "left_anti")
-    stale = removed.unionByName(fresh.select(KEY))
+    stale = union(removed, fresh.select(KEY))
     return upsert_objects(stay, fresh), media.join(stale, KEY, "left_anti")
 
 

@@ -338,6 +338,8 @@ from rkeys""",
     "first_tags": """
 select doc_id, case when doc_id%3=0 then lang when doc_id%2=0 then source end as tag
 from documents""",
+    "object_index": _with(_OBJ) + """
+select bucket, key, size, etag, is_multipart, sha256, last_modified from objh""",
     "keys_with_prefix": _with(_OBJ) + """
 select bucket, key, etag from obj where starts_with(key, 'Music/en/')""",
     "all_keys": _with(_OBJ) + """

@@ -12,6 +12,7 @@ from lakedupes.functions import names, paths, rules, text
 from lakedupes.operators import folders, index, rename
 from lakedupes.plans import actions, report
 from lakedupes.sources import listing
+from lakedupes.unions import union
 from workload import tables
 
 RULES = ("strip-spaces", "strip-backslashes")
@@ -141,6 +142,11 @@ def first_tags(spark, folder):
 
 # Index
 
+@query
+def object_index(spark, folder):
+    return tables.build_objects(spark, folder).drop("doc_id")
+
+
 @query
 def keys_with_prefix(spark, folder):
     return listing.keys_with_etags(tables.objects(spark, folder), "Music/en/")
@@ -196,9 +202,9 @@ def apply_listing_media(spark, folder):
 def upsert_objects(spark, folder):
     objects = tables.objects(spark, folder, hashed=True)
     again = objects.where("doc_id % 10 in (1, 2)").drop("sha256")
-    rows = again.withColumn("turn", F.lit(1)).unionByName(
-        again.where("doc_id % 10 = 2")
-        .withColumns({"turn": F.lit(2), "size": F.col("size") + 1})
+    rows = union(
+        again.withColumn("turn", F.lit(1)),
+        again.where("doc_id % 10 = 2").withColumns({"turn": F.lit(2), "size": F.col("size") + 1}),
     )
     old = objects.where("doc_id % 10 <> 1").withColumn("scanned_at", F.col("last_modified"))
     return ld.upsert_objects(old, rows, ["turn"], _scanned())
@@ -244,8 +250,9 @@ def _deleted(spark, folder):
 @query
 def delete_cascade(spark, folder):
     kept, media = _deleted(spark, folder)
-    return kept.select(F.lit("objects").alias("tab"), "bucket", "key").unionByName(
-        media.select(F.lit("media").alias("tab"), "bucket", "key")
+    return union(
+        kept.select(F.lit("objects").alias("tab"), "bucket", "key"),
+        media.select(F.lit("media").alias("tab"), "bucket", "key"),
     )
 
 

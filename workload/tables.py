@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakedupes.operators.groups import join_groups
+from lakedupes.staging import stage
 
 _KEY = r"""
 'Music/'||lang||'/'||source
@@ -35,8 +38,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def objects(spark: SparkSession, folder: str, hashed: bool = False) -> DataFrame:
-    """The object index; with ``hashed`` in the state after the content pass, else before it.
+def build_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """The object index of ``documents``, in the state after the content pass.
 
     Hashes are taken where the text lies; no text is shuffled.
     """
@@ -49,11 +52,9 @@ def objects(spark: SparkSession, folder: str, hashed: bool = False) -> DataFrame
         F.octet_length("text").cast("long").alias("size"),
         F.concat(F.lit('"'), F.md5("text"), F.coalesce(parts, F.lit("")), F.lit('"')).alias("etag"),
         multipart.alias("is_multipart"),
-        (F.sha2("text", 256) if hashed else F.lit(None).cast("string")).alias("sha256"),
+        F.sha2("text", 256).alias("sha256"),
         F.expr(_MODIFIED).alias("last_modified"),
     )
-    if not hashed:
-        return rows
     sizes = (
         rows.groupBy("size")
         .agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_multipart").alias("_hash"))
@@ -63,6 +64,24 @@ def objects(spark: SparkSession, folder: str, hashed: bool = False) -> DataFrame
     return marked.withColumn("sha256", F.when(F.col("_hash"), F.col("sha256"))).select(rows.columns)
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+_lock = threading.Lock()
+
+
+def objects(spark: SparkSession, folder: str, hashed: bool = False) -> DataFrame:
+    """The stored object index; with ``hashed`` in the state after the content pass, else before it.
+
+    The index is built from the whole ``documents`` table by the first query of a session that
+    needs it, and read from the shared folder by the others, as an index is meant to be.
+    """
+    at = (spark.sparkContext.applicationId, folder)
+    with _lock:
+        if at not in _stored:
+            _stored[at] = stage(build_objects(spark, folder))[0]
+    rows = _stored[at]
+    return rows if hashed else rows.withColumn("sha256", F.lit(None).cast("string"))
+
+
 def media(objects: DataFrame) -> DataFrame:
     """Tag rows of the media objects."""
     i = F.col("doc_id")
