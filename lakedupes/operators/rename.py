@@ -53,20 +53,27 @@ def rule_counts(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def _claimed(name: Column) -> Column:
-    """The targets a name in use stands in the way of, as (wanted, _number) pairs.
+def _claims(names: DataFrame, name: str) -> DataFrame:
+    """The targets a name in use stands in the way of: ``names`` with wanted and _number added.
 
     Every name is in the way of the target of that name (no number). ``root_n.ext``, with n >= 2
-    and no leading zero, is also in the way of the n-th suffix of ``root.ext``.
+    and no leading zero, is also in the way of the n-th suffix of ``root.ext``. Numbers beyond 18
+    digits are left out: to reach them takes 10^18 rows.
     """
-    root = without_extension(name)
-    # Numbers beyond 18 digits are left out: to reach them takes 10^18 rows.
-    digits = F.regexp_extract(root, r"(?s)_([2-9]|[1-9][0-9]{1,17})\z", 1)
-    parent = F.concat(F.left(root, F.length(root) - F.length(digits) - 1), extension(name))
-    number = F.try_to_number(digits, F.lit("9" * 18)).cast("long")
-    whole = F.struct(name.alias("wanted"), F.lit(None).cast("long").alias("_number"))
-    suffix = F.struct(parent.alias("wanted"), number.alias("_number"))
-    return F.when(digits != "", F.array(whole, suffix)).otherwise(F.array(whole))
+    named = names.withColumn("_ext", extension(F.col(name))).withColumn(
+        "_root", F.expr(f"left({name}, length({name}) - length(_ext))")
+    )
+    read = named.withColumn(
+        "_digits", F.regexp_extract("_root", r"(?s)_([2-9]|[1-9][0-9]{1,17})\z", 1)
+    )
+    whole = f"named_struct('wanted', {name}, '_number', cast(null as bigint))"
+    suffix = (
+        "named_struct('wanted', concat(left(_root, length(_root) - length(_digits) - 1), _ext),"
+        " '_number', cast(_digits as bigint))"
+    )
+    return read.selectExpr(
+        *names.columns, f"inline(if(_digits = '', array({whole}), array({whole}, {suffix})))"
+    )
 
 
 def _suffixed(target: Column, number: Column) -> Column:
@@ -88,25 +95,25 @@ def _place(
     a taken number stands before the j-th source iff c < j, and the j-th free number is the
     position of that source in the merged order plus one.
     """
-    marked = sources.join(
-        blocked.selectExpr(*_TARGET, "1 AS _skip"), _TARGET, "left"
-    ).selectExpr(*_TARGET, "key", "_rank - coalesce(1 - _skip, 1) AS _turn")
-    direct = marked.where("_turn = 0").selectExpr(*_TARGET, "key", "wanted AS target")
-    asking = marked.where("_turn > 0").selectExpr(
-        *_TARGET, "key", "2 * _turn AS _slot", "cast(0 as bigint) AS _tie"
-    )
+    ranked = sources.join(blocked.selectExpr(*_TARGET, "1 AS _skip"), _TARGET, "left")
+    # Turn 0 gets the target itself; a blocked target has no turn 0.
+    turns = ranked.selectExpr(
+        *_TARGET, "key", "coalesce(_skip, 0) AS _skip", "_rank - 1 + coalesce(_skip, 0) AS _turn",
+    ).selectExpr("*", "2 * _turn AS _slot", "cast(0 as bigint) AS _tie")
     # _number - 1 - _rank free numbers lie below the taken number of rank _rank.
-    used = taken.join(asking.select(_TARGET).distinct(), _TARGET, "left_semi").selectExpr(
-        *_TARGET, "cast(null as string) AS key", "2 * (_number - 1 - _rank) + 1 AS _slot",
-        "_rank AS _tie",
+    used = taken.selectExpr(
+        *_TARGET, "cast(null as string) AS key", "0 AS _skip", "cast(null as bigint) AS _turn",
+        "2 * (_number - 1 - _rank) + 1 AS _slot", "_rank AS _tie",
     )
-    placed = group_row_number(
-        union(asking, used), _TARGET, ["_slot", "_tie"], "_position", largest
+    merged = group_row_number(
+        union(turns, used), _TARGET, ["_slot", "_tie"], "_position", largest
+    ).where("key is not null")
+    # The position counts turn 0, where there is one.
+    suffixed = _suffixed(F.col("wanted"), F.expr("_position + _skip"))
+    return merged.select(
+        *_TARGET, "key",
+        F.when(F.col("_turn") == 0, F.col("wanted")).otherwise(suffixed).alias("target"),
     )
-    suffixed = placed.where("key is not null").select(
-        *_TARGET, "key", _suffixed(F.col("wanted"), F.col("_position") + 1).alias("target")
-    )
-    return union(direct, suffixed)
 
 
 def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
@@ -130,16 +137,14 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("key").alias("_first")
     )
     # One pass over the kept keys finds the targets and the suffixes they stand in the way of.
-    in_the_way = kept.select("bucket", F.inline(_claimed(F.col("key")))).join(
+    in_the_way = _claims(kept, "key").drop("key").join(
         targets.select(_TARGET), _TARGET, "left_semi"
     ).distinct()
     # A target that reads like a suffix of another one: in the way if served before it, else it
     # may be lost to it.
+    children = targets.selectExpr("bucket", "wanted AS _child", "_first AS _child_first")
     links = (
-        targets.select(
-            "bucket", F.col("wanted").alias("_child"), F.col("_first").alias("_child_first"),
-            F.inline(_claimed(F.col("wanted"))),
-        )
+        _claims(children, "_child")
         .where("_number is not null")
         .join(targets.select(*_TARGET, "_first"), _TARGET)
         .selectExpr(*_TARGET, "_number", "if(_child_first > _first, _child, null) AS _later")
@@ -148,7 +153,9 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
         union(in_the_way.withColumn("_later", F.lit(None).cast("string")), links)
     )
     blocked = facts.where("_number is null").select(_TARGET)
-    numbers = facts.where("_number is not null and _later is null").select(*_TARGET, "_number")
+    numbers = (
+        facts.where("_number is not null and _later is null").select(*_TARGET, "_number").distinct()
+    )
     later = facts.where("_later is not null").selectExpr("bucket", "_later AS target")
 
     load = union(
@@ -171,7 +178,7 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
     taken = group_row_number(numbers, _TARGET, ["_number"], "_rank", largest)
     placed = _place(sources, taken, blocked, largest)
     if bound.links:
-        placed = _settle_chains(placed, sources, taken, blocked, later, largest)
+        placed = _settle_chains(placed, numbers, blocked, later, largest)
 
     target = F.coalesce(
         "_placed", F.when(F.col("wanted") != "", F.col("wanted")).otherwise(F.col("key"))
@@ -192,13 +199,15 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def _settle_chains(
-    placed: DataFrame, sources: DataFrame, taken: DataFrame, blocked: DataFrame,
-    later: DataFrame, largest: int,
+    placed: DataFrame, numbers: DataFrame, blocked: DataFrame, later: DataFrame, largest: int
 ) -> DataFrame:
-    """Place the targets again that lost their own name to a suffix of another target."""
-    parts = []
+    """Place the targets again that lost their own name to a suffix of another target.
+
+    A target is lost at most once: it is placed in the first pass, and perhaps in one later pass.
+    """
+    first, _ = stage(placed)
+    placed, parts, again = first, [], []
     while True:
-        placed, _ = stage(placed)
         generated = placed.where("target <> wanted").select("bucket", "target")
         lost, n = stage(
             later.join(generated, ["bucket", "target"], "left_semi")
@@ -207,11 +216,21 @@ def _settle_chains(
             .distinct()
         )
         if not n:
-            return union(placed, *parts)
-        # A target is lost at most once, so the part it leaves is always the last one.
-        parts.append(placed.join(lost, _TARGET, "left_anti"))
+            break
+        again.append(lost)
         blocked = union(blocked, lost)
-        placed = _place(sources.join(lost, _TARGET, "left_semi"), taken, lost, largest)
+        sources = first.join(lost, _TARGET, "left_semi").select(*_TARGET, "key")
+        placed, _ = stage(_place(
+            group_row_number(sources, _TARGET, ["key"], "_rank", largest),
+            group_row_number(
+                numbers.join(lost, _TARGET, "left_semi"), _TARGET, ["_number"], "_rank", largest
+            ),
+            lost, largest,
+        ))
+        parts.append(placed)
+    if not parts:
+        return first
+    return union(first.join(union(*again), _TARGET, "left_anti"), *parts)
 
 
 def moves(resolved: DataFrame) -> DataFrame:
