@@ -57,7 +57,7 @@ def test_upserts(make):
     assert rows(upsert(old, old.limit(0), ["bucket", "key"])) == rows(old)
 
 
-def test_config(spark):
+def test_config(spark, monkeypatch):
     def given(*pairs):
         return spark.createDataFrame(pairs, "bucket string, endpoint_url string")
 
@@ -74,6 +74,9 @@ def test_config(spark):
     ]
     looked = listing.with_endpoint(given(("kept", None), ("none", None)).select("bucket"), out)
     assert rows(looked) == [("kept", "k"), ("none", None)]
+    monkeypatch.setattr(listing, "BROADCAST_BUCKETS", 1)
+    spread = listing.with_endpoint(given(("kept", None), ("none", None)).select("bucket"), out)
+    assert rows(spread) == [("kept", "k"), ("none", None)]
     assert rows(listing.with_endpoint(looked.select("bucket"), out, "x"), "endpoint_url") == [
         "x", "x"
     ]
