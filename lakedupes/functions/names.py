@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterable
 from functools import cache
@@ -102,7 +101,8 @@ def _accent_tables() -> tuple[str, str, str, str]:
     give the same as ``plain_form``, but for the order of two spacing marks that follow each other.
     """
     single, dropped, expanding, pairs = [], [], [], []
-    for point in range(0x80, sys.maxunicode + 1):
+    # Planes 4 to 13 are unassigned, 15 and 16 private: nothing there has another form.
+    for point in [*range(0x80, 0x40000), *range(0xE0000, 0xF0000)]:
         char = chr(point)
         if point in _HANGUL:
             expanding.append(point)

@@ -131,15 +131,18 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
     placed again, once per link of the longest such chain (normally not at all).
     """
     valid = renamed.where("wanted <> ''").select(*KEY, "wanted")
-    kept = existing.select(KEY).join(valid.select(KEY), KEY, "left_anti")
-
     targets = valid.groupBy(*_TARGET).agg(
         F.count(F.lit(1)).alias("n"), F.min("key").alias("_first")
     )
-    # One pass over the kept keys finds the targets and the suffixes they stand in the way of.
-    in_the_way = _claims(kept, "key").drop("key").join(
-        targets.select(_TARGET), _TARGET, "left_semi"
-    ).distinct()
+    # One pass over the index finds the targets and the suffixes its keys stand in the way of; keys
+    # that move away are not in the way.
+    in_the_way = (
+        _claims(existing.select(KEY), "key")
+        .join(targets.select(_TARGET), _TARGET, "left_semi")
+        .join(valid.select(KEY), KEY, "left_anti")
+        .drop("key")
+        .distinct()
+    )
     # A target that reads like a suffix of another one: in the way if served before it, else it
     # may be lost to it.
     children = targets.selectExpr("bucket", "wanted AS _child", "_first AS _child_first")
@@ -190,12 +193,11 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
         .drop("_placed")
     )
     moved = valid.select("bucket", F.col("key").alias("target"), F.col("key").alias("depends_on"))
-    return settled.join(moved, ["bucket", "target"], "left").select(
-        *KEY, "wanted", "target",
-        ((F.col("target") != F.col("wanted")) & (F.col("wanted") != "")).alias("conflict"),
-        (F.col("wanted") == "").alias("invalid_target"),
-        F.when(F.col("depends_on") != F.col("key"), F.col("depends_on")).alias("depends_on"),
-    )
+    # Plans read the outcome several times.
+    return stage(settled.join(moved, ["bucket", "target"], "left").selectExpr(
+        *KEY, "wanted", "target", "target <> wanted and wanted <> '' AS conflict",
+        "wanted = '' AS invalid_target", "nullif(depends_on, key) AS depends_on",
+    ))[0]
 
 
 def _settle_chains(
@@ -239,10 +241,10 @@ def moves(resolved: DataFrame) -> DataFrame:
 
 
 def keys_after_rename(resolved: DataFrame, existing: DataFrame) -> DataFrame:
-    """(bucket, key) of all objects once the moves are done."""
+    """(bucket, key) of all objects once the moves are done. Resolved targets are unique."""
     moved = moves(resolved)
     stay = existing.select(KEY).join(moved.select(KEY), KEY, "left_anti")
-    return union(stay, moved.select("bucket", F.col("target").alias("key"))).distinct()
+    return union(stay, moved.selectExpr("bucket", "target AS key"))
 
 
 def _folders(keys: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from lakedupes.operators.folders import duplicate_folders
 from lakedupes.operators.rename import emptied_folders, moves, plan_renames
 from lakedupes.operators.retention import retention, to_delete
 from lakedupes.sources.listing import with_endpoint
-from lakedupes.staging import stage
 from lakedupes.unions import union
 
 
@@ -71,7 +70,6 @@ def rename_plan(
     """
     if resolved is None:
         resolved = plan_renames(objects, rules, prefix, bucket)
-    resolved, _ = stage(resolved)  # read three times below
     move = _endpoint(moves(resolved), config, endpoint_url).select(
         F.when(F.col("depends_on").isNull(), 1).otherwise(2).alias("step"),
         F.lit(0).alias("order_key"), "bucket", "key", "target", "conflict", "depends_on",

@@ -21,13 +21,25 @@ _TAGS = ["artist", "album", "title", "duration_s", "codec", "bitrate"]
 
 
 def open_uri(path: str) -> BinaryIO:
-    """Open a local path or a URI that Arrow knows (file, s3, gs, hdfs)."""
+    """Open a local path, or an address of a store that Arrow knows (s3, gs, hdfs).
+
+    The path is taken as it is, not as an encoded URI: keys may hold spaces, ``%`` and ``#``.
+    """
     from pyarrow import fs
 
-    if path.startswith("file:/"):
-        path = "/" + path[len("file:"):].lstrip("/")
-    filesystem, name = fs.FileSystem.from_uri(path)
-    return filesystem.open_input_file(name)
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return open(path, "rb")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    authority, _, name = rest.removeprefix("//").partition("/")
+    store, base = fs.FileSystem.from_uri(f"{scheme}://{authority}")
+    return store.open_input_file(f"{base.rstrip('/')}/{name}")
+
+
+def with_path(objects: DataFrame, scheme: str = "s3") -> DataFrame:
+    """Add the ``path`` of each object in its store."""
+    return objects.withColumn("path", F.concat(F.lit(f"{scheme}://"), "bucket", F.lit("/"), "key"))
 
 
 def sha256_stream(stream: BinaryIO, chunk: int = CHUNK_BYTES) -> str:

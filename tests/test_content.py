@@ -95,3 +95,35 @@ def test_tag_reader_adapter(monkeypatch):
         "codec": "mp3",
     }
     assert mutagen_tags(b"?", ".mp3") is None
+
+
+def test_scan(spark, make, tmp_path):
+    root = folder(tmp_path, a_mp3=b"same", b_mp3=b"same", c_txt=b"diff")
+    (tmp_path / "sub" / "d #1%20.txt").write_bytes(b"same")
+    files = read_files(spark, root, "b")
+    old = make.objects(("sub/gone.mp3", 3, "e"))
+    tags = make.media(("sub/gone.mp3", "A", "S"))
+    done = ld.scan(old, tags, files, bucket="b", extractor=lambda data, ext: {"title": ext})
+    assert rows(done.result) == [(4, 0, 1)]
+    assert rows(done.stats) == [(4, 16, 1, 2, 8)]
+    assert rows(done.media, "key", "title") == [("sub/a.mp3", ".mp3"), ("sub/b.mp3", ".mp3")]
+    assert rows(done.errors) == []
+    assert rows(ld.exclusive_duplicates(done.objects), "key") == [
+        "sub/a.mp3", "sub/b.mp3", "sub/d #1%20.txt"
+    ]
+    again = ld.scan(done.objects, done.media, files, bucket="b")
+    assert rows(again.result) == [(0, 0, 0)]
+    assert rows(again.objects, "key", "sha256") == rows(done.objects, "key", "sha256")
+
+
+def test_scan_compares_with_objects_outside_the_prefix(spark, make, tmp_path):
+    root = folder(tmp_path, a_bin=b"same")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "b.bin").write_bytes(b"same")
+    files = read_files(spark, root, "b")
+    first = ld.scan(make.objects(), make.media(), files, "other/", "b")
+    assert rows(first.stats) == [(1, 4, 0, 0, 0)]
+    # The second scan lists only sub/, and hashes what lies outside it by its store address.
+    both = ld.scan(first.objects, first.media, files.where("key like 'sub/%'"), "sub/", "b",
+                   opener=lambda path: open(path.replace("s3://b", str(tmp_path)), "rb"))
+    assert rows(both.stats) == [(2, 8, 1, 1, 4)] and rows(both.errors) == []
