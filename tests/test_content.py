@@ -6,7 +6,7 @@ import sys
 import types
 
 import lakedupes as ld
-from lakedupes.sources.content import hash_paths, mutagen_tags, sha256_stream
+from lakedupes.sources.content import hash_paths, mutagen_tags, open_uri, sha256_stream
 from lakedupes.sources.listing import read_files
 from tests.conftest import rows
 
@@ -125,5 +125,5 @@ def test_scan_compares_with_objects_outside_the_prefix(spark, make, tmp_path):
     assert rows(first.stats) == [(1, 4, 0, 0, 0)]
     # The second scan lists only sub/, and hashes what lies outside it by its store address.
     both = ld.scan(first.objects, first.media, files.where("key like 'sub/%'"), "sub/", "b",
-                   opener=lambda path: open(path.replace("s3://b", str(tmp_path)), "rb"))
+                   opener=lambda p: open_uri(p.replace("s3://b", str(tmp_path))))
     assert rows(both.stats) == [(2, 8, 1, 1, 4)] and rows(both.errors) == []
