@@ -139,11 +139,14 @@ def _identities(objects: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("fingerprint", F.col("_sha"))
     )
+    # The greatest hash is sought among hashed evidence only; counting the rest needs no sort.
+    known = hashed.groupBy(*listed).agg(F.max("_sha").alias("_known"))
     plain_etag = F.when(~F.col("is_multipart"), F.col("etag"))
     bare = (
-        objects.groupBy(*listed)
-        .agg(F.count_if(F.col("sha256").isNull()).alias("_rows"), F.max("sha256").alias("_known"))
-        .where("_rows > 0")
+        objects.where(F.col("sha256").isNull())
+        .groupBy(*listed)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .join(known, listed, "left")
         .select(
             *listed, F.lit("").alias("_sha"), "_rows",
             F.coalesce("_known", plain_etag).alias("fingerprint"),
