@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterable
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakedupes.fixed import (
@@ -18,7 +18,7 @@ from lakedupes.fixed import (
     PENALTY_SPACE_RUN,
     SPACE,
 )
-from lakedupes.functions.paths import extension, stem
+from lakedupes.functions.paths import basename, extension, stem
 
 def trim_unicode(text: Column) -> Column:
     """Drop Unicode white space at both ends."""
@@ -170,3 +170,20 @@ def normalize_name(key: Column) -> Column:
     """Normal form of the key's file name, equal for names that differ only in ornament."""
     plain = strip_copy_suffixes(strip_accents(F.lower(stem(key))))
     return F.concat(collapse_spaces(trim_unicode(plain)), F.lower(extension(key)))
+
+
+def with_normalized_name(df: DataFrame, key: str = "key", name: str = "normalized") -> DataFrame:
+    """``df`` with the normal form of each key's file name.
+
+    The same as ``normalize_name``, in steps: each step is used more than once by the next, and as
+    columns of their own the steps are evaluated once per row.
+    """
+    return (
+        df.withColumn("_base", basename(F.col(key)))
+        .withColumn("_ext", extension(F.col("_base")))
+        .withColumn("_stem", F.expr("lower(left(_base, length(_base) - length(_ext)))"))
+        .withColumn("_plain", strip_accents(F.col("_stem")))
+        .withColumn("_bare", trim_unicode(strip_copy_suffixes(F.col("_plain"))))
+        .withColumn(name, F.concat(collapse_spaces(F.col("_bare")), F.lower("_ext")))
+        .select(*df.columns, name)
+    )

@@ -84,6 +84,8 @@ def test_normalize_name(make):
         "d/": "", "x 　y.txt": "x y.txt", "½.txt": "1⁄2.txt",
     }
     assert apply(make, names.normalize_name, list(cases)) == list(cases.values())
+    stepped = names.with_normalized_name(make.texts(*cases), "t", "out").collect()
+    assert {r.t: r.out for r in stepped} == cases
 
 
 def test_accents_agree_with_unicode(make):
