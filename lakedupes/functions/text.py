@@ -25,7 +25,7 @@ def human_size(size: Column) -> Column:
 
 def whole_units(size: Column, power: int) -> Column:
     """Bytes in whole units of 1024**power, rounded down."""
-    return F.floor(size / F.lit(1024**power)).cast("long")
+    return F.shiftright(size, 10 * power)
 
 
 def iso_time(ts: Column) -> Column:
