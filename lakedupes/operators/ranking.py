@@ -23,8 +23,8 @@ def spread_row_number(
 
     Rows are range partitioned on (group, order), which cuts a huge group into consecutive pieces,
     and staged with their piece number, so that the cuts stay the same for both uses below and after
-    an executor is lost. Each piece is numbered alone; a piece starts after the earlier pieces of its group. Only
-    a group that crosses a cut has an offset, so at most one per partition is broadcast.
+    an executor is lost. Each piece is numbered alone; a piece starts after the earlier pieces of its
+    group. Only a group that crosses a cut has an offset, so at most one per partition is broadcast.
     """
     parts = shuffle_partitions(df.sparkSession)
     group, order = list(group), list(order)

@@ -24,11 +24,13 @@ def test_same_etag_other_size(make):
 
 
 def test_candidates(make):
-    open_ = make.objects(("a", 100, "abc-2", True), ("b", 100, "def-3", True), ("c", 7, "x-1", True))
+    open_ = make.objects(("a", 100, "abc-2", True), ("b", 100, "def-3", True),
+                         ("c", 7, "x-1", True))
     assert rows(ld.multipart_candidates(open_), "key") == ["a", "b"]
     done = make.objects(("a", 100, "abc-2", True, "h"), ("b", 100, "def-3", True, "h2"))
     assert rows(ld.multipart_candidates(done), "key") == []
-    mixed = make.objects(("a", 100, "abc-2", True), ("b", 100, "plain"), ("c", 100, "x", False, "h"))
+    mixed = make.objects(("a", 100, "abc-2", True), ("b", 100, "plain"),
+                         ("c", 100, "x", False, "h"))
     assert rows(ld.multipart_candidates(mixed), "key") == ["a", "b", "c"]
 
 

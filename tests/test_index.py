@@ -47,12 +47,14 @@ def test_apply_listing(make):
 
 def test_upserts(make):
     old = make.objects(("a", 1, "e", False, "h"), ("b", 1, "e", False, "h"))
-    new = listed(make, ("a", 2, "f"), ("a", 3, "g"), ("c", 4, "x")).withColumn("turn", F.col("size"))
+    new = listed(make, ("a", 2, "f"), ("a", 3, "g"), ("c", 4, "x"))
+    new = new.withColumn("turn", F.col("size"))
     stamped = F.lit("2030-01-01").cast("timestamp_ntz")
     out = ld.upsert_objects(old, new, ["turn"], stamped)
     assert rows(out, "key", "size", "sha256") == [("a", 3, None), ("b", 1, "h"), ("c", 4, None)]
     assert {r.scanned_at for r in out.where("key <> 'b'").collect()} == {dt.datetime(2030, 1, 1)}
-    tags = ld.upsert_media(make.media(("a", "A", "S"), ("b", "B", "S")), make.media(("a", None, None)))
+    old_tags = make.media(("a", "A", "S"), ("b", "B", "S"))
+    tags = ld.upsert_media(old_tags, make.media(("a", None, None)))
     assert rows(tags, "key", "artist") == [("a", None), ("b", "B")]
     assert rows(upsert(old, old.limit(0), ["bucket", "key"])) == rows(old)
 
