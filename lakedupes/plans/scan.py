@@ -23,13 +23,18 @@ from lakedupes.unions import union
 
 @dataclass
 class Scan:
-    """The tables after a scan, what changed, and what could not be read."""
+    """The tables after a scan, what changed, and what could not be read.
+
+    ``hashed`` and ``enriched`` count the objects whose content was asked for.
+    """
 
     objects: DataFrame
     media: DataFrame
     result: DataFrame
     stats: DataFrame
     errors: DataFrame
+    hashed: int
+    enriched: int
 
 
 def scan(
@@ -59,13 +64,14 @@ def scan(
         addressed = addressed.join(listed, KEY, "left").selectExpr(
             *index.columns, "coalesce(_listed, path) AS path"
         )
-    hashes, _ = stage(hash_candidates(addressed, opener=opener, bucket=bucket))
+    hashes, hashed = stage(hash_candidates(addressed, opener=opener, bucket=bucket))
     index, _ = stage(update_sha256(index, hashes))
     errors = hashes.where("error is not null").select(*KEY, "error")
+    enriched = 0
     if extractor is not None:
-        found, _ = stage(
+        found, enriched = stage(
             enrich_media(media_pending(addressed, tags, bucket), extractor, opener)
         )
         tags, _ = stage(upsert_media(tags, found))
         errors = union(errors, found.where("error is not null").select(*KEY, "error"))
-    return Scan(index, tags, result, scan_stats(index), errors)
+    return Scan(index, tags, result, scan_stats(index), errors, hashed, enriched)

@@ -74,12 +74,17 @@ def folder_documents(folders: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
-                 **options: str) -> None:
-    """Write rows or documents. CSV is quoted, with a header; nested columns need another format."""
+                 order_by: Sequence[str | Column] = (), **options: str) -> None:
+    """Write rows or documents. CSV is quoted, with a header; nested columns need another format.
+
+    ``order_by`` sorts the whole report; its files follow each other by name.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}; known: {', '.join(FORMATS)}")
     if fmt == "csv":
         options = {"header": "true", "escape": '"', **options}
+    if order_by:
+        df = df.orderBy(*order_by)
     df.write.format(fmt).mode(mode).options(**options).save(path)
 
 

@@ -107,7 +107,7 @@ def test_scan(spark, make, tmp_path):
     assert rows(done.result) == [(4, 0, 1)]
     assert rows(done.stats) == [(4, 16, 1, 2, 8)]
     assert rows(done.media, "key", "title") == [("sub/a.mp3", ".mp3"), ("sub/b.mp3", ".mp3")]
-    assert rows(done.errors) == []
+    assert rows(done.errors) == [] and (done.hashed, done.enriched) == (4, 2)
     assert rows(ld.exclusive_duplicates(done.objects), "key") == [
         "sub/a.mp3", "sub/b.mp3", "sub/d #1%20.txt"
     ]

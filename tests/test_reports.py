@@ -91,6 +91,11 @@ def test_csv_is_quoted(spark, make, tmp_path):
     back = spark.read.csv(path, header=True, escape='"', multiLine=True)
     assert back.columns == ["section", "group_id", "group_size", "object_key", "detail"]
     assert rows(back, "object_key") == ['a, "1".mp3', "b\nc.mp3"]
+    ordered = str(tmp_path / "ordered")
+    ld.write_report(back, ordered, "csv", order_by=["object_key"])
+    files = sorted((tmp_path / "ordered").glob("part*"))
+    text = "".join(f.read_text() for f in files)
+    assert text.index("1") < text.index("b\nc")
     with pytest.raises(ValueError, match="xlsx"):
         ld.write_report(back, path, "xlsx")
 
