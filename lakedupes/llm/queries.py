@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakedupes.llm.decontaminate import contamination_report
 from lakedupes.llm.piece_tokens import encode_decode
 
 
@@ -31,8 +32,48 @@ def op1_piece_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Which words of all documents lie in windows of all benchmark items."""
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return contamination_report(documents(spark, folder), benchmark).select(
+        "doc_id", F.col("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+_ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                {_ASCII_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+            FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(
+                {_ASCII_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+            FROM benchmark),
+        bw AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n,
+                array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS g
+            FROM (SELECT *, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0)),
+        m AS (SELECT DISTINCT n FROM bw),
+        dw AS (
+            SELECT r, n, i, array_to_string(w[i + 1:i + n], ' ') AS g
+            FROM (SELECT r, w, n, unnest(range(0, greatest(len(w) - n, -1) + 1)) AS i FROM d, m)),
+        o AS (SELECT r, dw.n, i, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit
+              FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM o)) GROUP BY r),
+        t AS (SELECT r, count(DISTINCT item_id) AS n_items,
+                  string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+              FROM o GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+            coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+            n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
+}
