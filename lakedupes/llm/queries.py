@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakedupes.llm.decontaminate import contamination_report
 from lakedupes.llm.piece_tokens import encode_decode
+from lakedupes.llm.secrets import KINDS, find_secrets
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +33,20 @@ def op1_piece_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = find_secrets(documents(spark, folder).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Which words of all documents lie in windows of all benchmark items."""
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -43,6 +58,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
+    "op4_secrets": op4_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 
