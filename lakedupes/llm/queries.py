@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakedupes.llm.decontaminate import contamination_report
+from lakedupes.llm.minhash_forest import near_duplicates
 from lakedupes.llm.piece_tokens import encode_decode
 from lakedupes.llm.secrets import KINDS, find_secrets
 
@@ -47,6 +48,11 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
+    return near_duplicates(documents(spark, folder).select("doc_id", "text"), size=3, percent=85)
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Which words of all documents lie in windows of all benchmark items."""
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -59,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
     "op4_secrets": op4_secrets,
+    "op6_minhash_forest": op6_minhash_forest,
     "op10_decontaminate": op10_decontaminate,
 }
 
