@@ -2,8 +2,8 @@
 
 Every distinct shingle set has ``TREES`` labels of eight MinHash values of 16 bits: two longs, so that
 sorting a tree by label puts sets with the longest common prefixes side by side. A region is a run of labels of
-one tree with the same first four values; two sets of similarity 0.85 share no region with a
-chance below 1e-5.
+one tree with the same first values, as many as keep the chance that two sets of the threshold's
+similarity share no region near 1e-5 (four for 0.85, three for 0.8).
 
 Sets that can have no link are taken out first, exactly: a shingle that occurs in one set only of those in
 regions is in no intersection, and a set with too many of them is out of reach of the threshold.
@@ -124,7 +124,7 @@ def _agree(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _reachable(sets: DataFrame, percent: int) -> DataFrame:
-    """sid of the sets of which enough shingles occur in other sets too."""
+    """(sid, rest): the sets of which enough shingles, ``rest``, occur in other sets too."""
     alone = (
         sets.select("sid", F.explode("items").alias("h"))
         .groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("sid"))
@@ -132,13 +132,14 @@ def _reachable(sets: DataFrame, percent: int) -> DataFrame:
     )
     return (
         sets.select("sid", "n").join(alone, "sid", "left")
-        .where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * percent)
-        .select("sid")
+        .select("sid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("rest"))
+        .where(F.col("rest") * 100 >= F.col("n") * percent)
+        .select("sid", "rest")
     )
 
 
 def _regions(labelled: DataFrame) -> DataFrame:
-    """(sid, n, tree, hi, lo, region): rows whose region holds more than one set."""
+    """(sid, n, tree, hi, full, lo, region): rows whose region holds more than one set."""
     shared = labelled.groupBy("tree", "hi").agg(F.count(F.lit(1)).alias("region")).where("region > 1")
     return labelled.join(shared, ["tree", "hi"])
 
@@ -149,12 +150,12 @@ def _neighbours(regions: DataFrame) -> DataFrame:
     The order is cut into ranges; the last set of a range is also a neighbour of the first of the next.
     """
     spark = regions.sparkSession
-    order = ["tree", "hi", "lo", "sid"]
+    order = ["tree", "hi", "full", "lo", "sid"]
     cut, _ = stage(
         regions.select(*order).repartitionByRange(shuffle_partitions(spark), *order)
         .withColumn("part", F.spark_partition_id())
     )
-    inside = Window.partitionBy("part", "tree", "hi").orderBy("lo", "sid")
+    inside = Window.partitionBy("part", "tree", "hi").orderBy("full", "lo", "sid")
     pairs = cut.withColumn("b", F.lag("sid").over(inside)).where("b IS NOT NULL").select(F.col("sid").alias("a"), "b")
     edge = F.struct(*order)
     ends = cut.groupBy("part").agg(F.min(edge).alias("low"), F.max(edge).alias("high"))
@@ -178,16 +179,29 @@ def _hubs(regions: DataFrame) -> DataFrame:
 
 
 def _apart(regions: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets that share a region, may agree by their sizes, and lie in different components."""
-    placed = regions.select("sid", "n", "tree", "hi").join(
+    """(a, b): sets that share a region, may agree, and lie in different components.
+
+    No intersection exceeds ``rest`` of either set. A set that cannot agree with one of the least size in its
+    region agrees with none there; regions that then hold one component are done.
+    """
+    def mixed(rows: DataFrame) -> DataFrame:
+        facts = rows.groupBy("tree", "hi").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("fewest")
+        ).where("low <> high")
+        return rows.join(facts.drop("low", "high"), ["tree", "hi"])
+
+    placed = regions.select("sid", "n", "rest", "tree", "hi").join(
         roots.select(F.col("v").alias("sid"), "root"), "sid", "left"
     ).withColumn("root", F.coalesce("root", "sid"))
-    mixed = placed.groupBy("tree", "hi").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_rows = placed.join(mixed.select("tree", "hi"), ["tree", "hi"])
-    other = open_rows.select("tree", "hi", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    able = mixed(placed).where(f"rest * 100 >= (n + greatest(fewest, rest) - rest) * {percent}").drop("fewest")
+    able, _ = stage(mixed(able).drop("fewest"))
+    other = able.select(
+        "tree", "hi", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("root").alias("other")
+    )
+    most = "least(rest, rest_b)"
     return (
-        open_rows.withColumnRenamed("sid", "a").join(other, ["tree", "hi"])
-        .where(f"a < b AND root <> other AND n * 100 >= m * {percent} AND m * 100 >= n * {percent}")
+        able.withColumnRenamed("sid", "a").join(other, ["tree", "hi"])
+        .where(f"a < b AND root <> other AND {most} * 100 >= (n + m - {most}) * {percent}")
         .select("a", "b").distinct()
     )
 
@@ -207,15 +221,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("labels").alias("labels")
         ).withColumn("sid", F.coalesce("least", "set_a"))
     )
+    # Values of a label that make a region.
+    depth = next((d for d in (4, 3, 2) if (1 - (percent / 100) ** d) ** TREES < 1.2e-5), 1)
     labelled = classes.select(
         "sid", "n", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(labels[2 * t] AS hi, labels[2 * t + 1] AS lo))")).alias("tree", "label"),
-    ).select("sid", "n", "tree", "label.hi", "label.lo")
+    ).select(
+        "sid", "n", "tree", F.shiftrightunsigned("label.hi", 16 * (4 - depth)).alias("hi"),
+        F.col("label.hi").alias("full"), "label.lo",
+    )
     regions, _ = stage(_regions(labelled))
     members, _ = stage(regions.select("sid").distinct())
     sets, _ = stage(_sets_of(docs, members, size))
     reachable, _ = stage(_reachable(sets, percent))
-    sets, _ = stage(sets.join(reachable, "sid"))
-    regions, _ = stage(_regions(regions.drop("region").join(reachable, "sid")))
+    sets, _ = stage(sets.join(reachable.select("sid"), "sid"))
+    regions, _ = stage(_regions(regions.drop("region").join(reachable, "sid")))  # with rest
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links, _ = stage(_agree(ordered(union(_neighbours(regions), _hubs(regions))), sets, percent))
     roots = components(links)
