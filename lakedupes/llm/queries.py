@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakedupes.llm.decontaminate import contamination_report
 from lakedupes.llm.minhash_forest import near_duplicates
 from lakedupes.llm.piece_tokens import encode_decode
+from lakedupes.llm.quality import scores
 from lakedupes.llm.secrets import KINDS, find_secrets
 
 
@@ -34,6 +35,12 @@ def op1_piece_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return scores(documents(spark, folder).select("doc_id", "text"), labels)
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents."""
     found = find_secrets(documents(spark, folder).select("doc_id", "text"))
@@ -64,6 +71,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
+    "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
     "op6_minhash_forest": op6_minhash_forest,
     "op10_decontaminate": op10_decontaminate,
