@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakedupes.llm.decontaminate import contamination_report
+from lakedupes.llm.language import identify
 from lakedupes.llm.minhash_forest import near_duplicates
 from lakedupes.llm.piece_tokens import encode_decode
 from lakedupes.llm.quality import scores
 from lakedupes.llm.secrets import KINDS, find_secrets
+from lakedupes.llm.shards import shard_rows
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +62,16 @@ def op6_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder).select("doc_id", "text"), size=3, percent=85)
 
 
+def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of equal numbers of rows, copies together where there is room."""
+    return shard_rows(documents(spark, folder).select("doc_id", "text"), shards=24)
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents."""
+    return identify(documents(spark, folder).select("doc_id", "lang", "text"))
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Which words of all documents lie in windows of all benchmark items."""
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -74,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
     "op6_minhash_forest": op6_minhash_forest,
+    "op8_shards": op8_shards,
+    "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
 }
 
