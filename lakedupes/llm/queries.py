@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakedupes.llm.decontaminate import contamination_report
 from lakedupes.llm.language import identify
 from lakedupes.llm.minhash_forest import near_duplicates
+from lakedupes.llm.neighbours import nearest
 from lakedupes.llm.piece_tokens import encode_decode
 from lakedupes.llm.quality import scores
 from lakedupes.llm.secrets import KINDS, find_secrets
@@ -62,6 +63,12 @@ def op6_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder).select("doc_id", "text"), size=3, percent=85)
 
 
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards of equal numbers of rows, copies together where there is room."""
     return shard_rows(documents(spark, folder).select("doc_id", "text"), shards=24)
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
     "op6_minhash_forest": op6_minhash_forest,
+    "op7_neighbours": op7_neighbours,
     "op8_shards": op8_shards,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
