@@ -13,13 +13,15 @@ SLICE_BYTES = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in slices of about ``SLICE_BYTES`` of ``column``."""
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of about ``size`` bytes of ``column``."""
     for batch in batches:
         _, offsets = text_buffer(batch.column(column))
         start = 0
         while start < batch.num_rows:
-            limit = offsets[start] + SLICE_BYTES
+            limit = offsets[start] + size
             end = max(start + 1, int(np.searchsorted(offsets, limit, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
@@ -27,7 +29,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts, and the n + 1 offsets of the texts in them. Null is empty."""
-    array = texts.fill_null("").cast(pa.large_string())
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], texts.type)
+    array = texts.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, np.int64)[array.offset:array.offset + len(array) + 1]
     if len(offsets) == 0:

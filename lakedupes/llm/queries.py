@@ -15,6 +15,7 @@ from lakedupes.llm.piece_tokens import encode_decode
 from lakedupes.llm.quality import scores
 from lakedupes.llm.secrets import KINDS, find_secrets
 from lakedupes.llm.shards import shard_rows
+from lakedupes.llm.substrings import repeated_bytes
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +59,16 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated strings of 50 bytes cut out of all documents."""
+    done = repeated_bytes(documents(spark, folder).select("doc_id", "text"), length=50)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
     return near_duplicates(documents(spark, folder).select("doc_id", "text"), size=3, percent=85)
@@ -92,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
     "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
+    "op5_substrings": op5_substrings,
     "op6_minhash_forest": op6_minhash_forest,
     "op7_neighbours": op7_neighbours,
     "op8_shards": op8_shards,
