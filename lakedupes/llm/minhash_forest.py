@@ -110,7 +110,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(run, "sid long, items array<long>").withColumn("n", F.size("items"))
 
 
-def _agree(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have ``100 * intersection >= percent * union``."""
     left = sets.select(F.col("sid").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
@@ -123,7 +123,7 @@ def _agree(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _reachable(sets: DataFrame, percent: int) -> DataFrame:
+def reachable_sets(sets: DataFrame, percent: int) -> DataFrame:
     """(sid, rest): the sets of which enough shingles, ``rest``, occur in other sets too."""
     alone = (
         sets.select("sid", F.explode("items").alias("h"))
@@ -138,7 +138,7 @@ def _reachable(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _regions(labelled: DataFrame) -> DataFrame:
+def regions_of(labelled: DataFrame) -> DataFrame:
     """(sid, n, tree, hi, full, lo, region): rows whose region holds more than one set."""
     shared = labelled.groupBy("tree", "hi").agg(F.count(F.lit(1)).alias("region")).where("region > 1")
     return labelled.join(shared, ["tree", "hi"])
@@ -168,7 +168,7 @@ def _neighbours(regions: DataFrame) -> DataFrame:
     return union(pairs, stitched)
 
 
-def _hubs(regions: DataFrame) -> DataFrame:
+def to_hubs(regions: DataFrame) -> DataFrame:
     """(a, b): every set and the hub of each of its regions."""
     central = regions.groupBy("sid").agg(F.sum("region").alias("central"))
     placed = regions.select("sid", "tree", "hi").join(central, "sid")
@@ -178,7 +178,7 @@ def _hubs(regions: DataFrame) -> DataFrame:
     ).where("sid <> b").select(F.col("sid").alias("a"), "b")
 
 
-def _apart(regions: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def apart(regions: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(a, b): sets that share a region, may agree, and lie in different components.
 
     No intersection exceeds ``rest`` of either set. A set that cannot agree with one of the least size in its
@@ -229,16 +229,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
         "sid", "n", "tree", F.shiftrightunsigned("label.hi", 16 * (4 - depth)).alias("hi"),
         F.col("label.hi").alias("full"), "label.lo",
     )
-    regions, _ = stage(_regions(labelled))
+    regions, _ = stage(regions_of(labelled))
     members, _ = stage(regions.select("sid").distinct())
     sets, _ = stage(_sets_of(docs, members, size))
-    reachable, _ = stage(_reachable(sets, percent))
+    reachable, _ = stage(reachable_sets(sets, percent))
     sets, _ = stage(sets.join(reachable.select("sid"), "sid"))
-    regions, _ = stage(_regions(regions.drop("region").join(reachable, "sid")))  # with rest
+    regions, _ = stage(regions_of(regions.drop("region").join(reachable, "sid")))  # with rest
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, _ = stage(_agree(ordered(union(_neighbours(regions), _hubs(regions))), sets, percent))
+    links, _ = stage(verified(ordered(union(_neighbours(regions), to_hubs(regions))), sets, percent))
     roots = components(links)
-    more, n_more = stage(_agree(_apart(regions, roots, percent), sets, percent))
+    more, n_more = stage(verified(apart(regions, roots, percent), sets, percent))
     if n_more:
         roots = components(union(links, more))
     classed = classes.select("set_a", "set_b", "least", F.col("sid").alias("v")).join(roots, "v", "left").select(

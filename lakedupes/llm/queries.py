@@ -11,6 +11,7 @@ from lakedupes.llm.decontaminate import contamination_report
 from lakedupes.llm.language import identify
 from lakedupes.llm.minhash_forest import near_duplicates
 from lakedupes.llm.neighbours import nearest
+from lakedupes.llm.paragraphs import repeated_paragraphs
 from lakedupes.llm.piece_tokens import encode_decode
 from lakedupes.llm.quality import scores
 from lakedupes.llm.secrets import KINDS, find_secrets
@@ -45,6 +46,16 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scores(documents(spark, folder).select("doc_id", "text"), labels)
 
 
+def op3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated paragraphs of all documents, and the documents that keep them."""
+    found = repeated_paragraphs(documents(spark, folder).select("doc_id", "text"))
+    span = lambda r: F.concat_ws(":", r["begin"].cast("string"), r["end"].cast("string"))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "copies_of",
+        F.array_join(F.transform("removed", span), ",").alias("removed"),
+    )
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents."""
     found = find_secrets(documents(spark, folder).select("doc_id", "text"))
@@ -102,6 +113,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
     "op2_quality": op2_quality,
+    "op3_paragraphs": op3_paragraphs,
     "op4_secrets": op4_secrets,
     "op5_substrings": op5_substrings,
     "op6_minhash_forest": op6_minhash_forest,
