@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from typing import TypeVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lakedupes.fixed import SPACE
 
 Rule = Callable[[Column], Column]
+T = TypeVar("T")
 
 
 def strip_spaces(key: Column) -> Column:
@@ -35,11 +37,16 @@ def register_rule(name: str, rule: Rule) -> None:
     _RULES[name] = rule
 
 
+def chosen(registry: Mapping[str, T], names: Iterable[str], kind: str) -> list[tuple[str, T]]:
+    """The named entries of a registry, in order; the first name that it lacks is an error."""
+    out = []
+    for name in names:
+        if name not in registry:
+            raise ValueError(f"no {kind} {name!r}; there are {', '.join(registry)}")
+        out.append((name, registry[name]))
+    return out
+
+
 def rules_named(names: Sequence[str]) -> list[tuple[str, Rule]]:
-    """Look rules up; an unknown name is an error before any plan is built."""
-    unknown = [n for n in names if n not in _RULES]
-    if unknown:
-        raise ValueError(
-            f"unknown rules: {', '.join(unknown)}; known: {', '.join(sorted(_RULES))}"
-        )
-    return [(n, _RULES[n]) for n in names]
+    """Rules by name, looked up before any plan is built."""
+    return chosen(_RULES, names, "rule")

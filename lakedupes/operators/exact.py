@@ -53,10 +53,9 @@ def multipart_candidates(objects: DataFrame) -> DataFrame:
     sizes = (
         objects.groupBy("size")
         .agg(_count(), F.bool_or(unhashed).alias("_ambiguous"))
-        .where("n > 1 and _ambiguous")
-        .drop("_ambiguous")
+        .where("n > 1")
     )
-    return join_groups(objects, sizes, ["size"]).drop("n")
+    return join_groups(objects, sizes, ["size"], keep="_ambiguous").drop("n", "_ambiguous")
 
 
 def hash_groups(objects: DataFrame) -> DataFrame:
@@ -104,8 +103,9 @@ def all_duplicates(objects: DataFrame) -> DataFrame:
     member = ["size", "bucket", "key", "last_modified"]
     by_etag = join_groups(
         objects.select("etag", *member),
-        etag_groups(objects).where("not any_multipart").select("etag", "size", "n"),
+        etag_groups(objects),
         ["etag", "size"],
+        keep="not any_multipart",
     ).withColumns({"kind": F.lit("etag"), "fingerprint": F.col("etag")})
     by_hash = join_groups(
         objects.where(F.col("sha256").isNotNull()).select("sha256", *member),
@@ -130,7 +130,8 @@ def _identities(objects: DataFrame) -> DataFrame:
     """One row per distinct evidence: (size, etag, is_multipart, hash) with its content identity.
 
     Identity is the own hash, else the hash known for an equal (size, etag, is_multipart), else
-    the ETag where that is a content hash, else unknown (such evidence is left out).
+    the ETag where that is a content hash, else unknown: ``fingerprint`` is NULL. Evidence for which several
+    hashes are known could be any of them, so it is unknown too.
     """
     listed = ["size", "etag", "is_multipart"]
     hashed = (
@@ -139,8 +140,8 @@ def _identities(objects: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("fingerprint", F.col("_sha"))
     )
-    # The greatest hash is sought among hashed evidence only; counting the rest needs no sort.
-    known = hashed.groupBy(*listed).agg(F.max("_sha").alias("_known"))
+    # Hashes are compared among hashed evidence only; counting the rest needs no sort.
+    known = hashed.groupBy(*listed).agg(F.min("_sha").alias("_known"), F.max("_sha").alias("_other"))
     plain_etag = F.when(~F.col("is_multipart"), F.col("etag"))
     bare = (
         objects.where(F.col("sha256").isNull())
@@ -149,15 +150,16 @@ def _identities(objects: DataFrame) -> DataFrame:
         .join(known, listed, "left")
         .select(
             *listed, F.lit("").alias("_sha"), "_rows",
-            F.coalesce("_known", plain_etag).alias("fingerprint"),
+            F.when(F.col("_known").isNull(), plain_etag)
+            .when(F.col("_known") == F.col("_other"), F.col("_known")).alias("fingerprint"),
         )
     )
-    return union(hashed, bare.where("fingerprint is not null"))
+    return union(hashed, bare)
 
 
 def _exclusive(identities: DataFrame) -> DataFrame:
     return (
-        identities.groupBy("fingerprint", "size")
+        identities.where("fingerprint is not null").groupBy("fingerprint", "size")
         .agg(F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("_pairs"))
         .where("n > 1")
     )
@@ -186,13 +188,17 @@ def exclusive_duplicates(objects: DataFrame) -> DataFrame:
     one row until the final join back.
     """
     identities = _identities(objects)
-    lookup = join_groups(
-        identities, _exclusive(identities), ["fingerprint", "size"], weight="_pairs",
-        spread=["etag", "_sha"],
+    found = join_groups(
+        identities.where("fingerprint is not null"), _exclusive(identities), ["fingerprint", "size"],
+        weight="_pairs", how="left", spread=["etag", "_sha"],
     ).drop("_pairs")
+    # Evidence without a group stays: where it is hot, its rows must be known to be dropped.
+    unknown = identities.where("fingerprint is null").withColumn("n", F.lit(None).cast("long"))
+    lookup = union(found, unknown)
     member = ["bucket", "key", "last_modified"]
     rows = join_groups(
-        _evidence(objects).select(*_EVIDENCE, *member), lookup, _EVIDENCE, weight="_rows"
+        _evidence(objects).select(*_EVIDENCE, *member), lookup, _EVIDENCE, weight="_rows",
+        keep="n is not null",
     )
     return rows.withColumns({
         "kind": F.lit("content"),

@@ -48,27 +48,27 @@ def join_groups(
     weight: str = "n",
     how: str = "inner",
     spread: Sequence[str] = ("bucket", "key"),
+    keep: str = "true",
 ) -> DataFrame:
     """Join one-row-per-key ``groups`` to ``rows`` (which do not know their group's size).
 
-    ``weight`` is the column of ``groups`` with the number of rows of the key. The P heaviest keys
-    above ``piece_rows`` rows are broadcast to the rows, P being the number of shuffle partitions:
-    a list of at most P keys whatever the data. Their rows choose a piece by a hash of ``spread``;
-    group rows are repeated once per piece. A key beyond the list is joined whole, correctly, in
-    piece 0: P keys are heavier than it, so it has less than 1/P of the rows.
+    ``weight`` is the column of ``groups`` with the number of rows of the key; ``keep`` is a condition on
+    ``groups``. Groups that it refuses must be in ``groups`` too: only so are hot ones among them known.
+    All keys above ``piece_rows`` rows are broadcast to the rows. They are at most one per ``piece_rows`` rows of
+    data, some megabytes for 10^11 rows. The rows of a hot key that is refused go before the shuffle in
+    an inner join; those of other hot keys, and in a left join all, choose a piece by a hash of
+    ``spread``. Group rows are repeated once per piece.
     """
     keys = list(keys)
     spark = rows.sparkSession
-    heaviest = (
-        groups.where(f"{weight} > {piece_rows(spark)}")
-        .orderBy(F.desc(weight))
-        .limit(shuffle_partitions(spark))
-        .selectExpr(*keys, f"{_pieces(weight, spark)} AS _pieces")
+    hot = groups.where(f"{weight} > {piece_rows(spark)}").selectExpr(
+        *keys, f"{_pieces(weight, spark)} AS _pieces", f"coalesce({keep}, false) AS _wanted"
     )
-    salted = rows.join(F.broadcast(heaviest), keys, "left").selectExpr(
-        *rows.columns, _choose("_pieces", spread)
-    )
-    return salted.join(_repeat(groups, weight), [*keys, "_piece"], how).drop("_piece")
+    known = rows.join(F.broadcast(hot), keys, "left")
+    if how == "inner":
+        known = known.where("coalesce(_wanted, true)")
+    salted = known.selectExpr(*rows.columns, _choose("_pieces", spread))
+    return salted.join(_repeat(groups.where(keep), weight), [*keys, "_piece"], how).drop("_piece")
 
 
 def join_sized(

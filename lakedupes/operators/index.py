@@ -20,21 +20,32 @@ def snapshot_diff(
     """(bucket, key, change, old_etag, new_etag) for every key of either side below the prefix.
 
     Keys that the index has and the listing lacks are deleted, but only where the listing looked:
-    below ``prefix``, in ``bucket``.
+    below ``prefix``, in ``bucket``. Of several listing rows of one key the last modified counts. A listing row
+    without an ETag is an update: nothing shows that the object is the same.
     """
-    old = under_prefix(index, prefix, bucket).select(*KEY, F.col("etag").alias("old_etag"))
-    new = under_prefix(listing, prefix, bucket).select(*KEY, F.col("etag").alias("new_etag"))
+    old = under_prefix(index, prefix, bucket).select(
+        *KEY, F.col("etag").alias("old_etag"), F.lit(True).alias("_known")
+    )
+    new = _once(under_prefix(listing, prefix, bucket)).select(
+        *KEY, F.col("etag").alias("new_etag"), F.lit(True).alias("_listed")
+    )
     change = (
-        F.when(F.col("old_etag").isNull(), "new")
-        .when(F.col("new_etag").isNull(), "deleted")
-        .when(F.col("old_etag") != F.col("new_etag"), "updated")
-        .otherwise("unchanged")
+        F.when(F.col("_known").isNull(), "new")
+        .when(F.col("_listed").isNull(), "deleted")
+        .when(F.col("old_etag") == F.col("new_etag"), "unchanged")
+        .otherwise("updated")
     )
     return old.join(new, KEY, "full_outer").select(
         *KEY, change.alias("change"), "old_etag", "new_etag"
     )
 
 
+def _once(listing: DataFrame) -> DataFrame:
+    """One row per key: the last modified, then the greatest by ETag and size."""
+    order = [c for c in ("last_modified", "etag", "size") if c in listing.columns]
+    return latest(listing, KEY, order)
+
+
 def scan_result(diff: DataFrame) -> DataFrame:
     """Counts of new, updated and deleted keys in one row."""
     return diff.agg(*[
@@ -54,20 +65,28 @@ def apply_listing(
     """The index and media tables after a scan.
 
     Unchanged rows keep their hash. New and changed rows start without one. Deleted rows go, and
-    the media rows of deleted and changed keys with them. One full outer join on the key does it;
-    on tables bucketed by key (``save_index``) the index side needs no shuffle.
+    the media rows of deleted and changed keys with them. Repeated listing rows and rows without an ETag
+    are taken as in ``snapshot_diff``; an object whose ETag is unknown has an empty one and counts as multipart, so that only
+    its content decides. One full outer join on the key does it; on tables bucketed by key (``save_index``) the index side needs no
+    shuffle.
     """
     now = F.localtimestamp() if scanned_at is None else scanned_at
-    new = under_prefix(listing, prefix, bucket).select(
-        *KEY, *[F.col(c).alias(f"_{c}") for c in ("size", "etag", "is_multipart", "last_modified")]
+    unsure = F.col("etag").isNull()
+    listed_once = _once(under_prefix(listing, prefix, bucket)).withColumns({
+        "_listed": ~unsure, "etag": F.coalesce("etag", F.lit("")), "is_multipart": F.col("is_multipart") | unsure,
+    })
+    new = listed_once.select(
+        *KEY, "_listed",
+        *[F.col(c).alias(f"_{c}") for c in ("size", "etag", "is_multipart", "last_modified")],
     )
     old = conform(index, OBJECTS).withColumn("_known", F.lit(True))
     in_scope = F.col("key").startswith(prefix)
     if bucket is not None:
         in_scope = in_scope & (F.col("bucket") == bucket)
     joined = old.join(new, KEY, "full_outer")
-    listed = F.col("_etag").isNotNull()
-    fresh = listed & (F.col("_known").isNull() | (F.col("etag") != F.col("_etag")))
+    listed = F.col("_listed").isNotNull()
+    same = F.col("_listed") & (F.col("etag") == F.col("_etag"))
+    fresh = listed & (F.col("_known").isNull() | ~same)
     merged = joined.where(listed | ~in_scope).select(
         *KEY,
         *[

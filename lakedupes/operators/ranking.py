@@ -11,10 +11,6 @@ from pyspark.sql.window import Window
 from lakedupes.operators.groups import shuffle_partitions
 from lakedupes.staging import stage
 
-# A window sorts a group in one task. Up to this many rows that is cheap; above it the group is
-# spread over several tasks.
-WINDOW_ROWS = 1_000_000
-
 
 def spread_row_number(
     df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
@@ -50,16 +46,6 @@ def spread_row_number(
     )
 
 
-def group_row_number(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, largest: int
-) -> DataFrame:
-    """``row_number`` per ``group``: a window while the largest group is small, else spread."""
-    if largest <= WINDOW_ROWS:
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
-    return spread_row_number(df, group, order, name)
-
-
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "group_no") -> DataFrame:
     """1..n over the whole table in ``order`` (column names, ``-`` in front for descending)."""
     signed = [F.col(o[1:]) * -1 if o.startswith("-") else F.col(o) for o in order]

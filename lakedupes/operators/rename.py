@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakedupes.fixed import DEFAULT_RULES
 from lakedupes.functions.paths import ancestors, extension, folder_depth, without_extension
 from lakedupes.functions.rules import rules_named
-from lakedupes.operators.ranking import group_row_number
+from lakedupes.operators.ranking import spread_row_number
 from lakedupes.sources.listing import under_prefix
 from lakedupes.staging import stage
 from lakedupes.unions import union
@@ -83,7 +83,7 @@ def _suffixed(target: Column, number: Column) -> Column:
 
 
 def _place(
-    sources: DataFrame, taken: DataFrame, blocked: DataFrame, largest: int
+    sources: DataFrame, taken: DataFrame, blocked: DataFrame
 ) -> DataFrame:
     """Targets for ``sources`` (bucket, wanted, key, _rank), given what is taken.
 
@@ -105,8 +105,8 @@ def _place(
         *_TARGET, "cast(null as string) AS key", "0 AS _skip", "cast(null as bigint) AS _turn",
         "2 * (_number - 1 - _rank) + 1 AS _slot", "_rank AS _tie",
     )
-    merged = group_row_number(
-        union(turns, used), _TARGET, ["_slot", "_tie"], "_position", largest
+    merged = spread_row_number(
+        union(turns, used), _TARGET, ["_slot", "_tie"], "_position"
     ).where("key is not null")
     # The position counts turn 0, where there is one.
     suffixed = _suffixed(F.col("wanted"), F.expr("_position + _skip"))
@@ -161,27 +161,18 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
     )
     later = facts.where("_later is not null").selectExpr("bucket", "_later AS target")
 
-    load = union(
-        targets.selectExpr(*_TARGET, "n", "cast(0 as bigint) AS _links"),
-        facts.selectExpr(
-            *_TARGET, "cast(_later is null as bigint) AS n",
-            "cast(_later is not null as bigint) AS _links",
-        ),
-    ).groupBy(*_TARGET).agg(F.sum("n").alias("n"), F.sum("_links").alias("_links"))
-    bound = load.agg(F.max("n").alias("n"), F.sum("_links").alias("links")).first()
-    largest = bound.n or 0
-
+    chained = not later.isEmpty()
     contested = union(
         targets.where("n > 1").select(_TARGET), blocked,
         later.selectExpr("bucket", "target AS wanted"),
     ).distinct()
-    sources = group_row_number(
-        valid.join(contested, _TARGET, "left_semi"), _TARGET, ["key"], "_rank", largest
+    sources = spread_row_number(
+        valid.join(contested, _TARGET, "left_semi"), _TARGET, ["key"], "_rank"
     )
-    taken = group_row_number(numbers, _TARGET, ["_number"], "_rank", largest)
-    placed = _place(sources, taken, blocked, largest)
-    if bound.links:
-        placed = _settle_chains(placed, numbers, blocked, later, largest)
+    taken = spread_row_number(numbers, _TARGET, ["_number"], "_rank")
+    placed = _place(sources, taken, blocked)
+    if chained:
+        placed = _settle_chains(placed, numbers, blocked, later)
 
     target = F.coalesce(
         "_placed", F.when(F.col("wanted") != "", F.col("wanted")).otherwise(F.col("key"))
@@ -201,7 +192,7 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def _settle_chains(
-    placed: DataFrame, numbers: DataFrame, blocked: DataFrame, later: DataFrame, largest: int
+    placed: DataFrame, numbers: DataFrame, blocked: DataFrame, later: DataFrame
 ) -> DataFrame:
     """Place the targets again that lost their own name to a suffix of another target.
 
@@ -223,11 +214,11 @@ def _settle_chains(
         blocked = union(blocked, lost)
         sources = first.join(lost, _TARGET, "left_semi").select(*_TARGET, "key")
         placed, _ = stage(_place(
-            group_row_number(sources, _TARGET, ["key"], "_rank", largest),
-            group_row_number(
-                numbers.join(lost, _TARGET, "left_semi"), _TARGET, ["_number"], "_rank", largest
+            spread_row_number(sources, _TARGET, ["key"], "_rank"),
+            spread_row_number(
+                numbers.join(lost, _TARGET, "left_semi"), _TARGET, ["_number"], "_rank"
             ),
-            lost, largest,
+            lost,
         ))
         parts.append(placed)
     if not parts:

@@ -24,7 +24,6 @@ def suspect_names(objects: DataFrame, identity: str = "etag") -> DataFrame:
             F.min(identity).alias("_least"),
             F.max(identity).alias("_greatest"),
         )
-        .where("n > 1 and _least <> _greatest")
-        .select("normalized", "n")
+        .where("n > 1")
     )
-    return join_groups(named, names, ["normalized"]).select("normalized", *columns, "n")
+    return join_groups(named, names, ["normalized"], keep="_least <> _greatest").select("normalized", *columns, "n")

@@ -14,6 +14,7 @@ from lakedupes.operators.folders import duplicate_folders
 from lakedupes.operators.rename import emptied_folders, moves, plan_renames
 from lakedupes.operators.retention import retention, to_delete
 from lakedupes.sources.listing import with_endpoint
+from lakedupes.staging import stage
 from lakedupes.unions import union
 
 
@@ -54,6 +55,31 @@ def delete_plan(
     )
 
 
+def _depths(moved: DataFrame) -> DataFrame:
+    """(bucket, key, _depth): the number of moves that must come before, for moves that wait for another.
+
+    Every pass doubles the stretch that a move looks back over its chain, so there are as many passes as the longest
+    chain has binary digits. What still looks back after as many as the number of waiting moves has, goes in a circle
+    and is left out.
+    """
+    chain, n = stage(
+        moved.where("depends_on is not null")
+        .selectExpr("bucket", "key", "depends_on AS _back", "cast(1 as bigint) AS _depth")
+    )
+    open_rows, passes = n, n.bit_length()
+    while open_rows and passes:
+        before = chain.selectExpr("bucket", "key AS _back", "_back AS _further", "_depth AS _more")
+        # A chain ends at a move that waits for none: that one is not in the table.
+        chain, _ = stage(
+            chain.join(before, ["bucket", "_back"], "left").selectExpr(
+                "bucket", "key", "_further AS _back", "_depth + coalesce(_more, 0) AS _depth"
+            )
+        )
+        open_rows = chain.where("_back is not null").count()
+        passes -= 1
+    return chain.where("_back is null").select("bucket", "key", "_depth")
+
+
 def rename_plan(
     objects: DataFrame,
     rules: Sequence[str] = DEFAULT_RULES,
@@ -65,18 +91,23 @@ def rename_plan(
 ) -> DataFrame:
     """Moves, then deletions of the folders they leave empty.
 
-    Run in the order of (step, key): moves first (1), then the moves onto a name that another move
-    gives up (2), then folders, deepest first (3; ``order_key`` sorts them).
+    Run in the order of (step, order_key, key): moves first (1), then the moves onto a name that another move
+    gives up (2; ``order_key`` counts the moves that must come before, less one), then folders, deepest first (3).
+    Moves that wait for each other in a circle, and those that wait for such, have neither ``order_key`` nor command.
     """
     if resolved is None:
         resolved = plan_renames(objects, rules, prefix, bucket)
-    move = _endpoint(moves(resolved), config, endpoint_url).select(
-        F.when(F.col("depends_on").isNull(), 1).otherwise(2).alias("step"),
-        F.lit(0).alias("order_key"), "bucket", "key", "target", "conflict", "depends_on",
-        _command(
-            "mv --copy-props none", store_uri(F.col("bucket"), F.col("key")),
-            store_uri(F.col("bucket"), F.col("target")),
-        ).alias("command"),
+    waiting = F.col("depends_on").isNotNull()
+    command = _command(
+        "mv --copy-props none", store_uri(F.col("bucket"), F.col("key")),
+        store_uri(F.col("bucket"), F.col("target")),
+    )
+    ordered = moves(resolved).join(_depths(moves(resolved)), ["bucket", "key"], "left")
+    move = _endpoint(ordered, config, endpoint_url).select(
+        F.when(waiting, 2).otherwise(1).alias("step"),
+        F.when(waiting, F.col("_depth") - 1).otherwise(0).cast("int").alias("order_key"),
+        "bucket", "key", "target", "conflict", "depends_on",
+        F.when(~waiting | F.col("_depth").isNotNull(), command).alias("command"),
     )
     text = F.lit(None).cast("string")
     marker = F.concat("dir", F.lit("/"))

@@ -9,48 +9,30 @@ from pyspark.sql import functions as F
 
 from lakedupes.functions.text import iso_time
 
-# A document holds about this many members. A larger group becomes several documents.
-MEMBERS_PER_DOCUMENT = 10_000
-
 FORMATS = ("csv", "json", "orc", "parquet")
 
 
-def nest(
-    rows: DataFrame,
-    group: Sequence[str],
-    member: Sequence[Column],
-    name: str,
-    order: str,
-    n: str = "n",
-) -> DataFrame:
-    """One document per group with its members as an array sorted by ``order``.
+def nest(rows: DataFrame, group: Sequence[str], member: Sequence[Column], name: str) -> DataFrame:
+    """One document per member: the columns of its group, and the member as ``name``.
 
-    ``n`` is the number of rows of the group. Groups beyond ``MEMBERS_PER_DOCUMENT`` are split by a
-    hash of ``order`` into numbered parts, so no array grows with the data and no member is lost.
+    A group of any size has this form, so nothing is gathered; ``write_report`` with ``order_by`` the group's columns
+    and ``name`` puts the members of a group side by side, in the order of the member's fields.
     """
-    parts = F.ceil(F.col(n) / F.lit(MEMBERS_PER_DOCUMENT)).cast("long")
-    members = rows.select(
-        *group, parts.alias("parts"), F.struct(*member).alias("_member")
-    ).withColumn("part", F.pmod(F.xxhash64(f"_member.{order}"), "parts"))
-    in_order = F.array_sort(
-        F.collect_list("_member"),
-        lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0),
-    )
-    return members.groupBy(*group, "parts", "part").agg(in_order.alias(name))
+    return rows.select(*group, F.struct(*member).alias(name))
 
 
 def duplicate_documents(members: DataFrame) -> DataFrame:
     """Group documents of the duplicate section."""
     return nest(
         members, ["fingerprint", "size", "wasted_bytes"],
-        [F.col("key"), iso_time(F.col("last_modified")).alias("last_modified")], "objects", "key",
+        [F.col("bucket"), F.col("key"), iso_time(F.col("last_modified")).alias("last_modified")], "object",
     )
 
 
 def suspect_documents(suspects: DataFrame) -> DataFrame:
     """Group documents of the suspect-name section."""
     return nest(
-        suspects, ["normalized"], [F.col("key"), F.col("size"), F.col("etag")], "files", "key"
+        suspects, ["normalized"], [F.col("bucket"), F.col("key"), F.col("size"), F.col("etag")], "file",
     )
 
 
@@ -58,7 +40,7 @@ def work_documents(works: DataFrame) -> DataFrame:
     """Group documents of the same-work section."""
     return nest(
         works, ["artist", "title"],
-        [F.col("key"), F.col("codec"), F.col("bitrate"), F.col("size")], "files", "key",
+        [F.col("bucket"), F.col("key"), F.col("codec"), F.col("bitrate"), F.col("size")], "file",
     )
 
 
@@ -69,7 +51,7 @@ def folder_documents(folders: DataFrame) -> DataFrame:
         ["bucket", "base_name", "category"],
         [F.col("folder").alias("path"), F.col("file_count"), F.col("media_count"),
          F.col("image_count"), F.col("total_size")],
-        "folders", "path",
+        "folder",
     )
 
 
@@ -92,10 +74,16 @@ def write_json_report(
     path: str, stats: DataFrame, members: DataFrame, suspects: DataFrame | None = None,
     works: DataFrame | None = None, mode: str = "errorifexists",
 ) -> None:
-    """The whole report as JSON lines: one folder per section, sections without rows left out."""
+    """The whole report as JSON lines: one folder per section, sections without rows left out.
+
+    Groups come by waste, then name; names and works in order; members by bucket and key.
+    """
     write_report(stats, f"{path}/stats", "json", mode)
-    write_report(duplicate_documents(members), f"{path}/groups", "json", mode)
+    write_report(duplicate_documents(members), f"{path}/groups", "json", mode,
+                 order_by=[F.desc("wasted_bytes"), "fingerprint", "size", "object"])
     if suspects is not None and not suspects.isEmpty():
-        write_report(suspect_documents(suspects), f"{path}/suspect_names", "json", mode)
+        write_report(suspect_documents(suspects), f"{path}/suspect_names", "json", mode,
+                     order_by=["normalized", "file"])
     if works is not None and not works.isEmpty():
-        write_report(work_documents(works), f"{path}/same_work", "json", mode)
+        write_report(work_documents(works), f"{path}/same_work", "json", mode,
+                     order_by=["artist", "title", "file"])

@@ -116,34 +116,3 @@ def extract_tags(
         "bucket string, key string, artist string, album string, title string, "
         "duration_s double, codec string, bitrate long, error string",
     )
-
-
-def mutagen_tags(data: bytes, ext: str) -> dict[str, Any] | None:
-    """An extractor for workers that have the public ``mutagen`` package installed."""
-    from io import BytesIO
-
-    import mutagen
-
-    stream = BytesIO(data)
-    stream.name = f"head{ext or '.bin'}"
-    tags = mutagen.File(stream, easy=True)
-    if tags is None:
-        return None
-
-    def first(*names: str) -> str | None:
-        values = next((v for v in map(tags.get, names) if v), None)
-        return values[0] if isinstance(values, list) else values and str(values)
-
-    out = {
-        "artist": first("artist", "albumartist"),
-        "album": first("album"),
-        "title": first("title"),
-    }
-    info = getattr(tags, "info", None)
-    if info:
-        out |= {
-            "duration_s": getattr(info, "length", None),
-            "bitrate": getattr(info, "bitrate", None),
-            "codec": type(tags).__name__.lower(),
-        }
-    return out

@@ -9,9 +9,6 @@ from lakedupes.functions.text import is_multipart_etag
 from lakedupes.operators.groups import shuffle_partitions
 from lakedupes.schema import LISTING
 
-# A config table of at most this many buckets is broadcast.
-BROADCAST_BUCKETS = 50_000
-
 
 def normalize_listing(listing: DataFrame, bucket: str | None = None, prefix: str = "") -> DataFrame:
     """Listing rows as index columns, without empty objects (folder markers).
@@ -113,15 +110,13 @@ def all_keys(objects: DataFrame, prefix: str = "", bucket: str | None = None) ->
 def with_endpoint(df: DataFrame, config: DataFrame, given: str | None = None) -> DataFrame:
     """Add ``endpoint_url``: the given one, else the one stored for the row's bucket.
 
-    One bucket may hold most rows, so the join must not gather rows by bucket. A config table is
-    broadcast when it is seen to be small; a larger one is repeated, and the rows of a bucket are
-    spread over its copies.
+    One bucket may hold most rows, so the join must not gather rows by bucket: the config table is
+    repeated, and the rows of a bucket are spread over its copies. Spark broadcasts it by itself where it
+    sees at run time that it is small.
     """
     if given is not None:
         return df.withColumn("endpoint_url", F.lit(given))
     stored = config.select("bucket", "endpoint_url")
-    if stored.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS:
-        return df.join(F.broadcast(stored), "bucket", "left")
     parts = shuffle_partitions(df.sparkSession)
     copies = stored.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     spread = df.withColumn("_copy", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int"))

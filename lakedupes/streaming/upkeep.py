@@ -8,6 +8,8 @@ which costs as much as the page; the log is folded into the index when it is wor
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,11 +51,15 @@ def fold_changes(
 ) -> tuple[DataFrame, DataFrame]:
     """The index and media tables after ``changes``: the last change of each key counts.
 
-    A key seen again with its known ETag keeps its row and its hash.
+    ``order_by`` should name a sequence or event time of the log. At equal order a deletion is later than a write, and so is
+    a deletion without any order; a write without one is earlier than all others. A key seen again with its known
+    ETag keeps its row and its hash.
     """
     if "deleted" not in changes.columns:
         changes = changes.withColumn("deleted", F.lit(False))
-    last = latest(changes, KEY, order_by)
+    unordered = reduce(or_, [F.col(c).isNull() for c in order_by], F.lit(False))
+    marked = changes.withColumn("_open", F.col("deleted") & unordered)
+    last = latest(marked, KEY, ["_open", *order_by, "deleted"]).drop("_open")
     known = index.select(*KEY, F.col("etag").alias("_etag"))
     fresh = (
         last.where(~F.col("deleted")).join(known, KEY, "left")

@@ -2,11 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import io
-import sys
-import types
 
 import lakedupes as ld
-from lakedupes.sources.content import hash_paths, mutagen_tags, open_uri, sha256_stream
+from lakedupes.sources.content import hash_paths, open_uri, sha256_stream
 from lakedupes.sources.listing import read_files
 from tests.conftest import rows
 
@@ -82,21 +80,6 @@ def test_enrichment(spark, make, tmp_path):
     assert rows(ld.media_pending(files, stored)) == []
 
 
-def test_tag_reader_adapter(monkeypatch):
-    class MP3(dict):
-        info = types.SimpleNamespace(length=2.0, bitrate=128)
-
-    fake = types.ModuleType("mutagen")
-    tags = MP3(albumartist=["AA"], title=["S", "T"])
-    fake.File = lambda stream, easy: tags if stream.read() == b"ok" else None
-    monkeypatch.setitem(sys.modules, "mutagen", fake)
-    assert mutagen_tags(b"ok", ".mp3") == {
-        "artist": "AA", "album": None, "title": "S", "duration_s": 2.0, "bitrate": 128,
-        "codec": "mp3",
-    }
-    assert mutagen_tags(b"?", ".mp3") is None
-
-
 def test_scan(spark, make, tmp_path):
     root = folder(tmp_path, a_mp3=b"same", b_mp3=b"same", c_txt=b"diff")
     (tmp_path / "sub" / "d #1%20.txt").write_bytes(b"same")

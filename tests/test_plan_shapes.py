@@ -45,9 +45,9 @@ def test_unhashed_rows_are_skipped_by_the_scan(stored):
     assert "IsNotNull(sha256)" in plan(ld.hash_duplicates(stored))
 
 
-def test_hot_list_is_limited_and_windows_are_partitioned(stored):
+def test_hot_list_is_whole_and_windows_are_partitioned(stored):
     text = plan(ld.all_duplicates(stored))
-    assert "TakeOrderedAndProject" in text
+    assert "TakeOrderedAndProject" not in text and "Limit" not in text
     for name in ("all_duplicates", "exclusive_duplicates", "size_duplicates", "suspect_names"):
         assert "Window" not in plan(getattr(ld, name)(stored))
 

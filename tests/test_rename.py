@@ -91,10 +91,9 @@ def test_random_conflicts_match_the_definition(spark, make):
     assert checked > 500 and conflicts > 200
 
 
-def test_spread_ranking_gives_the_same(spark, make, monkeypatch):
+def test_many_sources_of_one_target(spark, make):
     wanted = {f"{'!' * (i % 5)} {i:03d}": f"t{i % 3}.x" for i in range(90)}
     existing = {"t0.x", "t0_5.x", "t1_2.x", "t1_3.x"} | set(wanted)
-    monkeypatch.setattr(ranking, "WINDOW_ROWS", 5)
     got = resolved(spark, make, wanted, existing)
     assert {k: r.target for k, r in got.items()} == served(wanted, existing)
 

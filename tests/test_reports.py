@@ -7,7 +7,7 @@ import pytest
 import lakedupes as ld
 from lakedupes.plans.report import folder_report_rows, same_work_rows, summary_text
 from lakedupes.sinks import reports
-from tests.conftest import rows
+from tests.conftest import DAY, rows
 
 
 def index(make):
@@ -51,37 +51,35 @@ def test_json_report(make, tmp_path):
                          ld.suspect_names(objects), None)
 
     def lines(section):
-        return [json.loads(line) for f in (tmp_path / "r" / section).glob("part*")
+        return [json.loads(line) for f in sorted((tmp_path / "r" / section).glob("part*"))
                 for line in f.read_text().splitlines()]
 
     assert lines("stats") == [{"total_objects": 6, "total_size": 16394, "duplicate_groups": 2,
                                "duplicate_objects": 3, "wasted_bytes": 10240}]
-    groups = {g["fingerprint"]: g for g in lines("groups")}
-    assert groups["e"] == {
-        "fingerprint": "e", "size": 2048, "wasted_bytes": 2048, "parts": 1, "part": 0,
-        "objects": [{"key": "a.mp3", "last_modified": "2024-01-01T00:00:00"},
-                    {"key": "b/a (1).mp3", "last_modified": "2024-01-01T00:00:00"}],
-    }
-    assert [f["key"] for f in lines("suspect_names")[0]["files"]] == [
-        "a.mp3", "b/a (1).mp3", "c/a.mp3"
+    assert [(g["fingerprint"], g["object"]["key"]) for g in lines("groups")] == [
+        ("g", "x.bin"), ("g", "y.bin"), ("g", "z.bin"), ("e", "a.mp3"), ("e", "b/a (1).mp3")
     ]
+    assert lines("groups")[3] == {
+        "fingerprint": "e", "size": 2048, "wasted_bytes": 2048,
+        "object": {"bucket": "b", "key": "a.mp3", "last_modified": "2024-01-01T00:00:00"},
+    }
+    assert [f["file"]["key"] for f in lines("suspect_names")] == ["a.mp3", "b/a (1).mp3", "c/a.mp3"]
     assert not (tmp_path / "r" / "same_work").exists()
 
 
-def test_large_groups_become_several_documents(make, monkeypatch):
-    monkeypatch.setattr(reports, "MEMBERS_PER_DOCUMENT", 4)
-    objects = make.objects(*[(f"k{i:02d}", 5, "e") for i in range(30)])
-    documents = reports.duplicate_documents(ld.all_duplicates(objects)).collect()
-    assert len(documents) > 4 and {d.parts for d in documents} == {8}
-    assert sorted(o.key for d in documents for o in d.objects) == [f"k{i:02d}" for i in range(30)]
+def test_documents_name_the_bucket(make):
+    objects = make.objects(("k", 5, "e"), ("k", 5, "e", False, None, DAY, "b2"))
+    found = reports.duplicate_documents(ld.all_duplicates(objects))
+    assert rows(found, "object.bucket", "object.key") == [("b", "k"), ("b2", "k")]
 
 
 def test_work_documents(make):
     objects = index(make)
     media = make.media(("a.mp3", "A", "S", "mp3"), ("c/a.mp3", "A", "S"))
-    doc = reports.work_documents(ld.same_work_groups(objects, media)).first()
-    assert [(f.key, f.codec, f.size) for f in doc.files] == [("a.mp3", "mp3", 2048),
-                                                             ("c/a.mp3", None, 10)]
+    found = reports.work_documents(ld.same_work_groups(objects, media))
+    assert rows(found, "artist", "file.key", "file.codec", "file.size") == [
+        ("A", "a.mp3", "mp3", 2048), ("A", "c/a.mp3", None, 10)
+    ]
 
 
 def test_csv_is_quoted(spark, make, tmp_path):

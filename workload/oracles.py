@@ -323,7 +323,7 @@ select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S')
  ||case when microsecond(ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end as iso
 from events""",
     "shell_words": f"""
-select doc_id, {_QUOTE.format(x="split_part(text, chr(10), 1)")} as word from documents""",
+select doc_id, {_QUOTE.format(x="text")} as word from documents""",
     "key_ancestors": _with(_OBJ) + """
 select key, array_to_string(list_slice(string_split(key, '/'), 1, i), '/') as dir,
  cast(i - 1 as integer) as depth

@@ -89,9 +89,7 @@ def iso_times(spark, folder):
 
 @query
 def shell_words(spark, folder):
-    quoted = tables.documents(spark, folder).select("doc_id", F.substring_index(
-        "text", "\n", 1).alias("line"))
-    return quoted.select("doc_id", text.shell_quote(F.col("line")).alias("word"))
+    return tables.documents(spark, folder).select("doc_id", text.shell_quote(F.col("text")).alias("word"))
 
 
 @query

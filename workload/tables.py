@@ -58,7 +58,7 @@ def build_objects(spark: SparkSession, folder: str) -> DataFrame:
     sizes = (
         rows.groupBy("size")
         .agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_multipart").alias("_hash"))
-        .where("n > 1 and _hash")
+        .where("n > 1")
     )
     marked = join_groups(rows, sizes, ["size"], how="left", spread=["doc_id"])
     return marked.withColumn("sha256", F.when(F.col("_hash"), F.col("sha256"))).select(rows.columns)
