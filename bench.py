@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from workload import tables
 from workload.registry import QUERIES
 
 HEADLINE = [
@@ -34,7 +35,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/documents.parquet").write.format("noop").mode("overwrite").save()
     runs = int(os.environ.get("BENCH_RUNS", "1"))
-    times = {}
+    # The index that most queries read is built once, and timed as a row of its own.
+    start = time.perf_counter()
+    tables.objects(spark, folder)
+    times = {"stored_index": round(time.perf_counter() - start, 3)}
     for name in HEADLINE:
         seconds = []
         for _ in range(runs):

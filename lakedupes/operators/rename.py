@@ -130,10 +130,12 @@ def resolve_conflicts(renamed: DataFrame, existing: DataFrame) -> DataFrame:
     so one pass settles all targets but those that lose their own name to a suffix; only these are
     placed again, once per link of the longest such chain (normally not at all).
     """
-    valid = renamed.where("wanted <> ''").select(*KEY, "wanted")
-    targets = valid.groupBy(*_TARGET).agg(
+    # The cleaning rules run once, not in each of the uses below.
+    renamed, _ = stage(renamed.select(*KEY, "wanted"))
+    valid = renamed.where("wanted <> ''")
+    targets, _ = stage(valid.groupBy(*_TARGET).agg(
         F.count(F.lit(1)).alias("n"), F.min("key").alias("_first")
-    )
+    ))
     # One pass over the index finds the targets and the suffixes its keys stand in the way of; keys
     # that move away are not in the way.
     in_the_way = (

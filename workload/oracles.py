@@ -461,6 +461,12 @@ select 'duplicate' as section, fingerprint as group_id, size as group_size, key
  strftime(last_modified, '%Y-%m-%dT%H:%M:%S') as detail from dups
 union all select 'suspect_name', normalized, size, key, etag from suspects
 union all select 'same_work', artist||' - '||title, size, key, coalesce(codec, '') from works""",
+    "report_documents": _with(_OBJ, _DUPS_H) + """
+select fingerprint, size, wasted_bytes, bucket, key,
+ strftime(last_modified, '%Y-%m-%dT%H:%M:%S') as last_modified from dups""",
+    "folder_documents": _with(_OBJ, _FOLDERS) + """
+select bucket, base_name, category, folder as path, file_count, media_count, image_count, total_size
+from dupfolders""",
     "folder_stats": _with(_OBJ, _FOLDERS) + "select * from stats",
     "folder_category": _with(_OBJ, _FOLDERS) + "select * from fgroups2",
     "duplicate_folders": _with(_OBJ, _FOLDERS) + "select * from dupfolders",

@@ -11,6 +11,7 @@ import lakedupes as ld
 from lakedupes.functions import names, paths, rules, text
 from lakedupes.operators import folders, index, rename
 from lakedupes.plans import actions, report
+from lakedupes.sinks import reports
 from lakedupes.sources import listing
 from lakedupes.unions import union
 from workload import tables
@@ -411,6 +412,12 @@ def report_rows(spark, folder):
     return ld.report(objects, tables.media(objects))
 
 
+@query
+def report_documents(spark, folder):
+    members = ld.all_duplicates(tables.objects(spark, folder, hashed=True))
+    return reports.duplicate_documents(members).select("fingerprint", "size", "wasted_bytes", "object.*")
+
+
 # Folders
 
 @query
@@ -428,6 +435,12 @@ def duplicate_folders(spark, folder):
     return ld.duplicate_folders(folder_stats(spark, folder))
 
 
+@query
+def folder_documents(spark, folder):
+    found = reports.folder_documents(duplicate_folders(spark, folder))
+    return found.select("bucket", "base_name", "category", "folder.*")
+
+
 @query
 def orphan_folders(spark, folder):
     return folders.with_category(duplicate_folders(spark, folder), "orphan").select(
