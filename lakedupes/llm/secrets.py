@@ -46,12 +46,13 @@ _TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 _TAIL_STEP = 0.2316419
 
 
-def _spans(text: Column, pattern: str, kind: str, min_group: int = 0) -> Column:
-    """Spans of all leftmost, non-overlapping matches; with ``min_group``, those whose group 1 has so many letters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if min_group else found
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string,value:string>>").alias("spans"))
+_NO_SPANS = "array<struct<start:int,end:int,token:string,value:string>>"
+
+
+def _located(text: Column, found: Column, pattern: str, group: int = 0) -> Column:
+    """Spans (start, end, token, value) of the matches ``found``; value is the group's text. Texts without a match, nearly
+    all, are searched no further."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("spans"))
 
     def step(done: Column, x: Column) -> Column:
         begin = done["at"] + F.char_length(x["gap"])
@@ -59,15 +60,11 @@ def _spans(text: Column, pattern: str, kind: str, min_group: int = 0) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), x["token"].alias("token"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     zipped = F.arrays_zip(
-        F.slice(between, 1, F.size(found)).alias("gap"), found.alias("token"), groups.alias("value")
+        F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("token"), values.alias("value")
     )
-    none = F.array().cast("array<struct<start:int,end:int,token:string,value:string>>")
-    # Texts without a match, nearly all, are read by the first search only.
-    spans = F.when(F.size(found) > 0, F.aggregate(zipped, start, step)["spans"]).otherwise(none)
-    if min_group:
-        spans = F.filter(spans, lambda s: F.char_length(s["value"]) >= min_group)
-    return F.transform(spans, lambda s: F.struct(s["start"], s["end"], F.lit(kind).alias("kind"), s["token"]))
+    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step)["spans"]).otherwise(F.array().cast(_NO_SPANS))
 
 
 def _tail(z: Column) -> Column:
@@ -93,42 +90,59 @@ def _length_class(n: Column) -> Column:
     return sum(((n >= at).cast("int") for at in _LONGER), F.lit(0))
 
 
-def _battery(token: Column, alphabet: Column) -> Column:
-    """The joint p-value of a token under a uniform random source over its alphabet."""
-    x = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c) - 1)
-    n, k = F.size(x).cast("double"), F.char_length(alphabet).cast("double")
-    squares = F.aggregate(
-        F.array_distinct(x), F.lit(0.0),
-        lambda total, v: total + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)),
+def _battery(tokens: Column) -> Column:
+    """For tokens (start, end, token): start, end, alphabet size k, length class and joint p-value under a uniform random source; tokens
+    without an encoding are left out.
+
+    Each step names what the next one uses, so that the plan stays small.
+    """
+    place = lambda s: (s["start"].alias("start"), s["end"].alias("end"))
+    encoded = F.filter(
+        F.transform(tokens, lambda s: F.struct(*place(s), s["token"].alias("token"), _alphabet(s["token"]).alias("letters"))),
+        lambda s: s["letters"].isNotNull(),
     )
-    df = k - 1
-    chi2 = squares * k / n - n
+    indexed = F.transform(encoded, lambda s: F.struct(
+        *place(s), F.char_length(s["letters"]).cast("double").alias("k"), F.char_length(s["token"]).cast("double").alias("n"),
+        F.transform(F.split(s["token"], ""), lambda c: F.instr(s["letters"], c) - 1).alias("x"),
+    ))
+    paired = F.transform(indexed, lambda s: F.struct(
+        *place(s), s["k"].alias("k"), s["n"].alias("n"), s["x"].alias("x"),
+        F.arrays_zip(F.slice(s["x"], 1, F.size(s["x"]) - 1).alias("a"), F.slice(s["x"], 2, F.size(s["x"]) - 1).alias("b")).alias("pairs"),
+    ))
+    counted = F.transform(paired, lambda s: F.struct(
+        *place(s), s["k"].alias("k"), s["n"].alias("n"),
+        F.aggregate(
+            F.array_distinct(s["x"]), F.lit(0.0),
+            lambda total, v: total + F.pow(F.size(F.filter(s["x"], lambda y: y == v)).cast("double"), F.lit(2.0)),
+        ).alias("squares"),
+        F.size(F.filter(s["pairs"], lambda p: (p["a"] * 2 >= s["k"]) != (p["b"] * 2 >= s["k"]))).alias("turns"),
+        F.aggregate(s["pairs"], F.lit(0.0), lambda t, p: t + (p["a"] - (s["k"] - 1) / 2) * (p["b"] - (s["k"] - 1) / 2)).alias("product"),
+    ))
     # Wilson and Hilferty: the cube root of chi-squared is nearly normal.
-    z_chi = (F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    turns = F.size(F.filter(pairs, lambda p: (p["a"] * 2 >= k) != (p["b"] * 2 >= k)))
-    z_runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    mean, var = (k - 1) / 2, (k * k - 1) / 12
-    product = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
-    z_serial = product / (var * F.sqrt(n - 1))
-    floor = F.lit(1e-300)
-    half = -(
-        F.ln(F.greatest(_tail(z_chi), floor))
-        + F.ln(F.greatest(2 * _tail(F.abs(z_runs)), floor))
-        + F.ln(F.greatest(2 * _tail(F.abs(z_serial)), floor))
-    )
+    normal = F.transform(counted, lambda s: F.struct(
+        *place(s), s["k"].alias("k"), s["n"].alias("n"),
+        ((F.pow((s["squares"] * s["k"] / s["n"] - s["n"]) / (s["k"] - 1), F.lit(1 / 3)) - (1 - 2 / (9 * (s["k"] - 1)))) / F.sqrt(2 / (9 * (s["k"] - 1)))).alias("chi"),
+        F.abs((s["turns"] - (s["n"] - 1) / 2) / F.sqrt((s["n"] - 1) / 4)).alias("runs"),
+        F.abs(s["product"] / ((s["k"] * s["k"] - 1) / 12 * F.sqrt(s["n"] - 1))).alias("serial"),
+    ))
+    log = lambda p: F.ln(F.greatest(p, F.lit(1e-300)))
     # Fisher: minus twice the sum of logarithms is chi-squared with six degrees of freedom.
-    return F.exp(-half) * (1 + half + half * half / 2)
-
-
-def _tested(docs: DataFrame, text: Column) -> DataFrame:
-    """(alphabet size, length class, p) of every token with an encoding."""
+    halved = F.transform(normal, lambda s: F.struct(
+        *place(s), s["k"].cast("int").alias("k"), _length_class(s["n"]).alias("longer"),
+        (-(log(_tail(s["chi"])) + log(2 * _tail(s["runs"])) + log(2 * _tail(s["serial"])))).alias("half"),
+    ))
+    return F.transform(halved, lambda s: F.struct(
+        *place(s), s["k"].alias("k"), s["longer"].alias("longer"),
+        (F.exp(-s["half"]) * (1 + s["half"] + s["half"] * s["half"] / 2)).alias("p"),
+    ))
+
+
+def _tested(docs: DataFrame) -> DataFrame:
+    """(k, longer, p) of every token with an encoding."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = docs.select(F.explode(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))).alias("token"))
-    encoded = tokens.withColumn("alphabet", _alphabet(F.col("token"))).where("alphabet IS NOT NULL")
-    return encoded.select(
-        F.char_length("alphabet").alias("k"), _length_class(F.char_length("token")).alias("longer"),
-        _battery(F.col("token"), F.col("alphabet")).alias("p"),
-    )
+    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("token")))
+    return tokens.select(F.explode(_battery(one)).alias("t")).select("t.k", "t.longer", "t.p")
 
 
 def cuts(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], float]:
@@ -137,7 +151,7 @@ def cuts(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], float]:
     Counts in ``_BINS`` bins of p are all that leaves the tasks: at most 100 rows per class.
     """
     bins = (
-        _tested(docs, F.coalesce("text", F.lit("")))
+        _tested(docs)
         .groupBy("k", "longer", F.least(F.floor(F.col("p") * _BINS), F.lit(_BINS - 1)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -150,38 +164,44 @@ def cuts(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], float]:
     return {(r.k, r.longer): r.cut for r in rows}
 
 
-def spans_of(text: Column, cut: dict[tuple[int, int], float]) -> Column:
-    """All spans (start, end, kind) of a text by start, then kind; code points, end exclusive.
+def _with_spans(docs: DataFrame, cut: dict[tuple[int, int], float], name: str) -> DataFrame:
+    """``docs`` with column ``name``: all spans (start, end, kind) by start, then kind; code points, end exclusive.
 
     A random token that overlaps a base span is not added.
     """
-    text = F.coalesce(text, F.lit(""))
-    base = F.concat(
-        _spans(text, ASSIGN_PATTERN, KINDS[0], ASSIGN_LETTERS),
-        _spans(text, ACCESS_PATTERN, KINDS[1]),
-        _spans(text, HEX_PATTERN, KINDS[2]),
+    # Columns for the steps, with names that no column of ``docs`` has: expressions used twice are not repeated in the plan.
+    tag = "_step"
+    while any(c.startswith(tag) for c in docs.columns):
+        tag += "_"
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    patterns = {KINDS[0]: ASSIGN_PATTERN, KINDS[1]: ACCESS_PATTERN, KINDS[2]: HEX_PATTERN, "random": TOKEN_PATTERN}
+    kinds = [k for k in patterns if k != "random" or cut]
+    text = F.col(f"{tag}text")
+    # After a fold to one column per step the JVM keeps each search apart.
+    step = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(f"{tag}text"))
+    step = step.select("*", *[F.regexp_extract_all(text, F.lit(patterns[k]), F.lit(0)).alias(f"{tag}{k}") for k in kinds])
+    step = step.select(
+        *columns, *[_located(text, F.col(f"{tag}{k}"), patterns[k], int(k == KINDS[0])).alias(f"{tag}{k}") for k in kinds]
     )
-    order = {kind: i for i, kind in enumerate((*KINDS, "random"))}
+    order = {kind: i for i, kind in enumerate(patterns)}
 
-    def ranked(spans: Column) -> Column:
-        rank = lambda s: sum((F.when(s["kind"] == kind, i).otherwise(0) for kind, i in order.items()), F.lit(0))
-        return F.transform(spans, lambda s: F.struct(s["start"], rank(s).alias("rank"), s["end"], s["kind"]))
+    def ranked(spans: Column, kind: str) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order[kind]).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    spans = base
+    assigned = F.filter(F.col(f"{tag}{KINDS[0]}"), lambda s: F.char_length(s["value"]) >= ASSIGN_LETTERS)
+    base = F.concat(ranked(assigned, KINDS[0]), *[ranked(F.col(f"{tag}{k}"), k) for k in KINDS[1:]])
+    step = step.select(*columns, *[F.col(f"{tag}random")] * bool(cut), base.alias(f"{tag}base"))
+    spans = F.col(f"{tag}base")
     if cut:
         limit = F.create_map(*[F.lit(x) for (k, c), p in sorted(cut.items()) for x in (k * 10 + c, p)])
-
-        def accepted(s: Column) -> Column:
-            letters = _alphabet(s["token"])
-            key = F.char_length(letters) * 10 + _length_class(F.char_length(s["token"]))
-            return letters.isNotNull() & (_battery(s["token"], letters) >= F.coalesce(limit[key], F.lit(2.0)))
-
-        def apart(s: Column) -> Column:
-            return ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-
-        tokens = _spans(text, TOKEN_PATTERN, "random")
-        spans = F.concat(base, F.filter(tokens, lambda s: apart(s) & accepted(s)))
-    return F.transform(F.array_sort(ranked(spans)), lambda s: F.struct(s["start"], s["end"], s["kind"]))
+        alone = F.filter(
+            F.col(f"{tag}random"),
+            lambda s: ~F.exists(F.col(f"{tag}base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        )
+        random = F.filter(_battery(alone), lambda s: s["p"] >= F.coalesce(limit[s["k"] * 10 + s["longer"]], F.lit(2.0)))
+        spans = F.concat(spans, ranked(random, "random"))
+    final = F.transform(F.array_sort(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return step.select(*columns, final.alias(name))
 
 
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -190,28 +210,33 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     A null text counts as empty and has no spans, as any text without a match. Repeated rows get equal
     spans; an empty table stays empty. A column named ``spans`` is replaced.
     """
-    return docs.withColumn("spans", spans_of(F.col("text"), cuts(docs, rate)))
+    return _with_spans(docs, cuts(docs, rate), "spans")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataFrame:
     """``docs``, all rows and columns, with each secret replaced by ``mark``; ``n_chars`` follows the text."""
-    found = docs.withColumn("_spans", spans_of(F.col("text"), cuts(docs, rate)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    name = "_spans"
+    while name in docs.columns:
+        name += "_"
+    found = _with_spans(docs, cuts(docs, rate), name)
+    text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["start"] >= done["at"]
-        gap = F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"])
+        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
         return F.struct(
             F.greatest(done["at"], s["end"]).alias("at"),
             F.when(fresh, F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"]).alias("out"),
         )
 
     cleaned = F.aggregate(
-        "_spans", start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2**31 - 1)))
+        F.col(name), start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.lit(2**31 - 1)))
     )
-    text = F.when(F.size("_spans") > 0, cleaned).otherwise(F.col("text"))
-    out = found.withColumn("_text", text)
-    if "n_chars" in docs.columns:
+    hit = F.size(name) > 0
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+    counted = [F.col("n_chars"), hit.alias(name)] if "n_chars" in docs.columns else []
+    out = found.select(*others, *counted, F.when(hit, cleaned).otherwise(text).alias("text"))
+    if counted:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("_text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_text")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(name), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
