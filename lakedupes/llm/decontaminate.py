@@ -13,12 +13,10 @@ is broadcast in blocks of at most ``block_shingles`` shingles, one pass over the
 
 from __future__ import annotations
 
-from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lakedupes.staging import stage
 from lakedupes.unions import union
