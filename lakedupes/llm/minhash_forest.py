@@ -10,7 +10,7 @@ regions is in no intersection, and a set with too many of them is out of reach o
 Candidates of the others are, in every tree, the neighbours in label order (longest common prefix, so dense
 regions are compared at greater depth) and the hub of the region: the set that shares most regions with
 others, which is the text from which near copies were made, or is nearest to it. What is then
-still apart but shares a region is compared pair by pair, so no link between different
+still apart but shares a region is compared as far as it may agree, so no link between different
 components is lost. Links inside a component that is already known need no check.
 """
 
@@ -110,17 +110,17 @@ def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(run, "sid long, items array<long>").withColumn("n", F.size("items"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have ``100 * intersection >= percent * union``."""
-    left = sets.select(F.col("sid").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .withColumn("both", both)
-        .where(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent)
-        .select("a", "b")
-    )
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets, n and m, and of the intersection, both."""
+    left = sets.select(F.col("sid").alias("a"), "n", F.col("items").alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("items").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).alias("both")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", both)
+
+
+def agreeing(compared_pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) where ``100 * intersection >= percent * union``."""
+    return compared_pairs.where(f"both * 100 >= (n + m - both) * {percent}").select("a", "b")
 
 
 def reachable_sets(sets: DataFrame, percent: int) -> DataFrame:
@@ -178,11 +178,15 @@ def to_hubs(regions: DataFrame) -> DataFrame:
     ).where("sid <> b").select(F.col("sid").alias("a"), "b")
 
 
-def apart(regions: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets that share a region, may agree, and lie in different components.
+def apart(regions: DataFrame, roots: DataFrame, checked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of different components that may agree, with all such pairs of a region among them.
 
-    No intersection exceeds ``rest`` of either set. A set that cannot agree with one of the least size in its
-    region agrees with none there; regions that then hold one component are done.
+    No intersection exceeds ``rest`` of either set: a set that cannot agree with one of the least size in its region
+    agrees with none there, and regions that then hold one component are done. For the others,
+    let h be the set with which x has been found to share most, ``near`` shingles. A partner of x that shares
+    nothing with x outside h shares ``near`` at most. If that is too little, the partner must hold one of the few
+    shingles that x has beyond h, so it is found by those; only pairs for which neither side asks that are
+    compared region by region.
     """
     def mixed(rows: DataFrame) -> DataFrame:
         facts = rows.groupBy("tree", "hi").agg(
@@ -194,16 +198,32 @@ def apart(regions: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         roots.select(F.col("v").alias("sid"), "root"), "sid", "left"
     ).withColumn("root", F.coalesce("root", "sid"))
     able = mixed(placed).where(f"rest * 100 >= (n + greatest(fewest, rest) - rest) * {percent}").drop("fewest")
-    able, _ = stage(mixed(able).drop("fewest"))
-    other = able.select(
-        "tree", "hi", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("root").alias("other")
+    sides = union(
+        checked.select(F.col("a").alias("sid"), F.col("b").alias("h"), "both"),
+        checked.select(F.col("b").alias("sid"), F.col("a").alias("h"), "both"),
+    )
+    best = sides.groupBy("sid").agg(F.max(F.struct("both", "h")).alias("best")).select("sid", "best.h", F.col("best.both").alias("near"))
+    able, _ = stage(mixed(able).drop("fewest").join(best, "sid"))
+    open_sets = able.select("sid", "n", "rest", "root", "h", "near").distinct()
+    items = open_sets.join(sets.select("sid", "items"), "sid")
+    hubs = sets.select(F.col("sid").alias("h"), F.col("items").alias("known"))
+    beyond = items.join(hubs, "h").select("sid", "n", "rest", "root", "near", F.explode(F.array_except("items", "known")).alias("item"))
+    other = items.select(
+        F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("root").alias("root_b"),
+        F.explode("items").alias("item"),
     )
     most = "least(rest, rest_b)"
-    return (
-        able.withColumnRenamed("sid", "a").join(other, ["tree", "hi"])
-        .where(f"a < b AND root <> other AND {most} * 100 >= (n + m - {most}) * {percent}")
-        .select("a", "b").distinct()
+    may = f"root <> root_b AND {most} * 100 >= (n + m - {most}) * {percent}"
+    enough = lambda near: f"{near} * (100 + {percent}) >= (n + m) * {percent}"
+    by_item = beyond.withColumnRenamed("sid", "a").join(other, "item").where(f"a <> b AND {may} AND NOT {enough('near')}").select("a", "b")
+    mates = able.select(
+        "tree", "hi", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"),
+        F.col("root").alias("root_b"), F.col("near").alias("near_b"),
     )
+    by_region = able.withColumnRenamed("sid", "a").join(mates, ["tree", "hi"]).where(
+        f"a < b AND {may} AND {enough('near')} AND {enough('near_b')}"
+    ).select("a", "b")
+    return union(by_item, by_region).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -236,9 +256,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     sets, _ = stage(sets.join(reachable.select("sid"), "sid"))
     regions, _ = stage(regions_of(regions.drop("region").join(reachable, "sid")))  # with rest
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, _ = stage(verified(ordered(union(_neighbours(regions), to_hubs(regions))), sets, percent))
+    checked, _ = stage(compared(ordered(union(_neighbours(regions), to_hubs(regions))), sets))
+    links = agreeing(checked, percent)
     roots = components(links)
-    more, n_more = stage(verified(apart(regions, roots, percent), sets, percent))
+    more, n_more = stage(agreeing(compared(apart(regions, roots, checked, sets, percent), sets), percent))
     if n_more:
         roots = components(union(links, more))
     classed = classes.select("set_a", "set_b", "least", F.col("sid").alias("v")).join(roots, "v", "left").select(

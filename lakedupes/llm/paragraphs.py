@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lakedupes.llm.batches import distinct_sets, lists, lower_ascii, mix, range_hashes, shingles, slices, text_buffer, words
 from lakedupes.llm.components import components
-from lakedupes.llm.minhash_forest import SPACES, apart, reachable_sets, regions_of, to_hubs, verified
+from lakedupes.llm.minhash_forest import SPACES, agreeing, apart, compared, reachable_sets, regions_of, to_hubs
 from lakedupes.staging import stage
 from lakedupes.unions import union
 
@@ -139,9 +139,10 @@ def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, min_w
     sets, _ = stage(sets.join(able.select("sid"), "sid"))
     regions, _ = stage(regions_of(shared.join(able, "sid")))
     ordered = to_hubs(regions).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, _ = stage(verified(ordered, sets, percent))
+    checked, _ = stage(compared(ordered, sets))
+    links = agreeing(checked, percent)
     roots = components(links)
-    more, n_more = stage(verified(apart(regions, roots, percent), sets, percent))
+    more, n_more = stage(agreeing(compared(apart(regions, roots, checked, sets, percent), sets), percent))
     if n_more:
         roots = components(union(links, more))
     rows = signed.select("doc_id", "begin", "end", "sid").join(roots.withColumnRenamed("v", "sid"), "sid", "left")
