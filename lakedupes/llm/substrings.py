@@ -18,6 +18,8 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 from lakedupes.llm.batches import mix, range_hashes, slices, text_buffer
 from lakedupes.llm.suffix_sort import common_prefixes, two_stage_order
 from lakedupes.operators.groups import shuffle_partitions
-from lakedupes.staging import stage
 from lakedupes.unions import union
 
 LENGTH = 50
@@ -150,12 +151,21 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids, pa.int64()), pa.array(packs, pa.binary())], ["doc_id", "pack"])
 
 
-_CONTEXT = "bucket long, key long, doc_id long, firsts array<int>, starts int, context binary, gone binary"
+_CONTEXT = "bucket long, doc_id long, pack binary, gone binary"
+_COLUMNS = ["key", "doc_id", "firsts", "starts", "context"]
+
+
+def _write(table: pa.RecordBatch) -> bytes:
+    """A batch, each column compressed: in a shuffle that takes half the room of plain rows."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(table)
+    return out.getvalue().to_pybytes()
 
 
 def _contexts(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Contexts of shared anchors, one row for each different one of a task's least document; and, in ``gone``, the repeats that
-    the task settles (bucket null)."""
+    """Contexts of shared anchors, each different one once with its least document in the task, packed by bucket; and, in
+    ``gone``, the repeats that the task settles, on their way with any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(_unpacked(batches), "text", FLUSH_BYTES):
@@ -183,18 +193,22 @@ def _contexts(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(local, pa.int32()))
             raw = data.tobytes()
             context = [raw[a:b] for a, b in zip(first[head].tolist(), (first[head] + starts[head] + length - 1).tolist(), strict=True)]
-            n, m = len(head), len(gone)
+            found = pa.RecordBatch.from_arrays(
+                [pa.array(key[head]), pa.array(doc[head]), lists, pa.array(starts[head].astype(np.int32)), pa.array(context, pa.binary())], _COLUMNS
+            )
+            bucket = key[head] % buckets
+            order = np.argsort(bucket, kind="stable")
+            bucket, found = bucket[order], found.take(pa.array(order))
+            packs = [(int(bucket[a]), _write(found.slice(a, b - a))) for a, b in _runs(bucket)]
+            n, m = len(packs), len(gone)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*(key[head] % buckets).tolist(), *[None] * m], pa.int64()),
-                    pa.array([*key[head].tolist(), *[None] * m], pa.int64()),
-                    pa.array([*doc[head].tolist(), *[g[0] for g in gone]], pa.int64()),
-                    pa.concat_arrays([lists, pa.nulls(m, pa.list_(pa.int32()))]),
-                    pa.array([*starts[head].tolist(), *[None] * m], pa.int32()),
-                    pa.array([*context, *[None] * m], pa.binary()),
+                    pa.array([*[p[0] for p in packs], *[g[0] % buckets for g in gone]], pa.int64()),
+                    pa.array([*[None] * n, *[g[0] for g in gone]], pa.int64()),
+                    pa.array([*[p[1] for p in packs], *[None] * m], pa.binary()),
                     pa.array([*[None] * n, *[g[1] for g in gone]], pa.binary()),
                 ],
-                [f.split()[0] for f in _CONTEXT.split(", ")],
+                ["bucket", "doc_id", "pack", "gone"],
             )
 
     return texts.mapInArrow(run, _CONTEXT)
@@ -218,8 +232,12 @@ def _spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[in
 
 
 def _owned(table: pa.Table, length: int) -> pa.Table:
-    """(doc_id, gone): the repeats among the contexts of one bucket."""
-    table = table.combine_chunks()
+    """(doc_id, gone): the repeats among the contexts of one bucket, and those settled before."""
+    settled = table.filter(pa.compute.is_valid(table["gone"])).select(["doc_id", "gone"])
+    packs = [pa.ipc.open_stream(p).read_all() for p in table["pack"].drop_null().to_pylist()]
+    if not packs:
+        return settled
+    table = pa.concat_tables(packs).combine_chunks()
     doc = table["doc_id"].to_numpy()
     starts = table["starts"].to_numpy().astype(np.int64)
     data, offsets = text_buffer(table["context"].combine_chunks())
@@ -237,7 +255,8 @@ def _owned(table: pa.Table, length: int) -> pa.Table:
     index = np.repeat(bound[context] - np.cumsum(times) + times, times) + np.arange(times.sum())
     begin = places[index] + np.repeat(at, times)
     gone = _spans(np.repeat(doc[context], times), begin, begin + length)
-    return pa.table([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.binary())], ["doc_id", "gone"])
+    new = pa.table([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.binary())], ["doc_id", "gone"])
+    return pa.concat_tables([settled.cast(new.schema), new])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,11 +296,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = proofs.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_meet, "doc_id long, pack binary")
     direct = proofs.where("bucket IS NULL").select("doc_id", "pack")
     marks = union(met, direct).groupBy("doc_id").agg(F.collect_list("pack").alias("packs"))
-    contexts, _ = stage(_contexts(_packed_texts(long).join(marks, "doc_id"), length, buckets))
-    sorted_ = contexts.where("bucket IS NOT NULL").select("bucket", "doc_id", "firsts", "starts", "context").groupBy("bucket").applyInArrow(
-        lambda t: _owned(t, length), "doc_id long, gone binary"
-    )
-    gone = union(sorted_, contexts.where("bucket IS NULL").select("doc_id", "gone")).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
+    contexts = _contexts(_packed_texts(long).join(marks, "doc_id"), length, buckets)
+    repeats = contexts.groupBy("bucket").applyInArrow(lambda t: _owned(t, length), "doc_id long, gone binary")
+    gone = repeats.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _unpacked(batches):
