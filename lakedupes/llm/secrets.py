@@ -6,14 +6,14 @@ of its letter counts, a runs test (upper and lower half of the alphabet) and lag
 joined by Fisher's rule into one p-value. Random tokens have uniform p-values, other tokens small ones.
 Over the whole corpus, and for each alphabet and class of lengths on its own, the p-values above one
 half tell how many tokens are random; the cut is the lowest p at which tokens that are not random are
-estimated to be at most ``RATE`` of those accepted.
+estimated to be at most ``RATE`` of those accepted. Classes with few tokens lean on their alphabet and on all tokens.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # The kinds and patterns of the base scan, in the order of ties.
 KINDS = ("assign", "access", "hex")
@@ -27,6 +27,8 @@ TOKEN_PATTERN = "[A-Za-z0-9+/_-]{20,}"
 RATE = 0.05
 _LONGER = (28, 40, 64)  # length classes begin at 20 and here
 _BINS = 100
+# Tokens that a class borrows from its alphabet, and an alphabet from all.
+_SHRINK = 200
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Pattern of the whole token, and its alphabet in order; the first that fits is inferred.
@@ -146,7 +148,7 @@ def _tested(docs: DataFrame) -> DataFrame:
 
 
 def cuts(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], float]:
-    """The least accepted p for each (alphabet size, length class); one pass over the whole corpus.
+    """The least accepted p for each (alphabet size, length class) that occurs; one pass over the whole corpus.
 
     Counts in ``_BINS`` bins of p are all that leaves the tasks: at most 100 rows per class.
     """
@@ -155,13 +157,34 @@ def cuts(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], float]:
         .groupBy("k", "longer", F.least(F.floor(F.col("p") * _BINS), F.lit(_BINS - 1)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    whole = Window.partitionBy("k", "longer")
-    above = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    random = F.sum(F.when(F.col("bin") >= _BINS // 2, F.col("n")).otherwise(0)).over(whole) * 2
-    wrong = 1 - random * (1 - F.col("bin") / _BINS) / F.sum("n").over(above)
-    chosen = bins.withColumn("wrong", wrong).where((F.col("wrong") <= rate) & (F.col("bin") <= _BINS // 2))
-    rows = chosen.groupBy("k", "longer").agg((F.min("bin") / _BINS).alias("cut")).collect()
-    return {(r.k, r.longer): r.cut for r in rows}
+    counts: dict[tuple[int, int], np.ndarray] = {}
+    for r in bins.collect():
+        counts.setdefault((r.k, r.longer), np.zeros(_BINS))[r.bin] = r.n
+    return class_cuts(counts, rate)
+
+
+def class_cuts(counts: dict[tuple[int, int], np.ndarray], rate: float = RATE) -> dict[tuple[int, int], float]:
+    """The cut of each class from its counts by bin of p.
+
+    Each class is joined by ``_SHRINK`` tokens spread like the others of its alphabet, these by as many spread like
+    the tokens of other alphabets, and these by as many of which half are random. So few tokens are judged by what
+    is known of others, and many by themselves. Every bin edge from 0 to one half is tried, whether tokens lie there or not.
+    """
+    def shrunk(own: list[np.ndarray], wider: np.ndarray) -> np.ndarray:
+        return sum(own, _SHRINK * wider / wider.sum())
+
+    start = np.full(_BINS, 0.5 / _BINS)
+    start[0] += 0.5
+    edges = np.arange(_BINS // 2 + 1)
+    out = {}
+    for k, longer in counts:
+        elsewhere = shrunk([n for c, n in counts.items() if c[0] != k], start)
+        alphabet = shrunk([n for c, n in counts.items() if c[0] == k and c[1] != longer], elsewhere)
+        n = shrunk([counts[k, longer]], alphabet)
+        above = np.cumsum(n[::-1])[::-1][edges]
+        wrong = 1 - 2 * n[_BINS // 2:].sum() * (1 - edges / _BINS) / above
+        out[k, longer] = float(edges[wrong <= rate + 1e-9].min() / _BINS)
+    return out
 
 
 def _with_spans(docs: DataFrame, cut: dict[tuple[int, int], float], name: str) -> DataFrame:
