@@ -3,7 +3,8 @@
 On a bounded sample, a neighbour graph is cut into partitions of nearly equal size by label propagation
 under quotas, and a softmax classifier learns from each vector in which partitions its neighbours lie.
 Every vector of the table goes to its most probable partition; a query goes to its most probable ones until
-their chances reach a level that is calibrated on queries of the sample, and all vectors there are ranked exactly. Partitions are
+their chances reach a level that is calibrated on queries of the sample, and as many more as it takes to hold enough
+vectors; all vectors there are ranked exactly. Partitions are
 worked on in blocks, so that one of any size is spread over tasks.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakedupes.staging import stage
+from lakedupes.unions import union
 
 # Vectors that partitions and classifier are learned from, at most: a share of the table by a hash of vec_id.
 SAMPLE_ROWS = 8_192
@@ -43,11 +45,13 @@ class Router:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def routed(self, chances: np.ndarray, level: float) -> np.ndarray:
-        """Which partitions each query visits."""
+    def routed(self, chances: np.ndarray, level: float, held: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """Which partitions each query visits; further ones until those visited hold ``least`` of the rows ``held``."""
         order = np.argsort(-chances, axis=1, kind="stable")
         ranked = np.take_along_axis(chances, order, 1)
         visit = np.cumsum(ranked, axis=1) - ranked < level
+        if held is not None:
+            visit |= np.cumsum(held[order], axis=1) - held[order] < least
         out = np.zeros(chances.shape, bool)
         np.put_along_axis(out, order, visit, 1)
         return out
@@ -168,8 +172,8 @@ def nearest(
 
     ``vectors`` has vec_id and embedding. Rows without vec_id, and vectors that are null, zero, of another
     length than most, or hold null or non-finite components take no part. Rows of one vec_id are
-    taken for the same vector. Fewer than ``k`` candidates give all of them; no proper row gives none. Equal scores go to the
-    smaller vec_id.
+    taken for the same vector: one of them, the least, counts. Only a table of fewer than ``k`` other vectors gives fewer; no
+    proper row gives none. Equal scores go to the smaller vec_id.
     """
     narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     schema = "query_id long, rank int, vec_id long, score double"
@@ -178,6 +182,10 @@ def nearest(
         return vectors.sparkSession.createDataFrame([], schema)
     size = usual.size
     proper = narrow.where(_proper(size))
+    repeated, again = stage(proper.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"))
+    if again:
+        one = proper.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        proper = union(proper.join(repeated, "vec_id", "left_anti"), one)
     total = proper.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -193,18 +201,21 @@ def nearest(
                 home = router.chances(_matrix(batch.column("embedding"), size)).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], ["vec_id", "embedding", "part"])
 
+    kind = "vec_id long, embedding array<double>, part int"
+    index, _ = stage(proper.mapInArrow(place, kind))
+    held = {r.part: r.n for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows_held = np.array([held.get(p, 0) for p in range(router.weights.shape[1])])
+
     def route(batches):
         for batch in batches:
             if batch.num_rows:
-                visit = router.routed(router.chances(_matrix(batch.column("embedding"), size)), router.level)
-                row, part = np.nonzero(visit)
+                chances = router.chances(_matrix(batch.column("embedding"), size))
+                # A query may lie in one of its partitions itself.
+                row, part = np.nonzero(router.routed(chances, router.level, rows_held, k + 1))
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(part.astype(np.int32))], ["vec_id", "embedding", "part"])
 
-    kind = "vec_id long, embedding array<double>, part int"
-    index, _ = stage(proper.mapInArrow(place, kind))
-    asked, _ = stage(proper.where(is_query).mapInArrow(route, kind).dropDuplicates(["vec_id", "part"]))
-    held = {r.part: r.n for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked, _ = stage(index.drop("part").where(is_query).mapInArrow(route, kind))
     wanted = {r.part: r.n for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not wanted:
         return vectors.sparkSession.createDataFrame([], schema)
