@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,8 +70,14 @@ def _labels(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return longs.astype(np.int64)
 
 
+def row_identity(docs: DataFrame) -> Column:
+    """16 bytes that rows share only where doc_id and text are equal; a null text counts as empty."""
+    doc_id, text = docs["doc_id"].cast("long").cast("string"), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id, F.lit("")), F.lit(":"), text).cast("binary")))
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, set_a, set_b, labels): set size, a 128-bit identity of the set, and 2 * TREES longs."""
+    """(doc_id, rid, n, set_a, set_b, labels): row identity, set size, a 128-bit identity of the set, and 2 * TREES longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -88,16 +94,18 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 labels[full] = _labels(hashes, first)
             each = pa.FixedSizeListArray.from_arrays(pa.array(labels.ravel()), TREES * 2).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), each],
-                ["doc_id", "n", "set_a", "set_b", "labels"],
+                [part.column("doc_id"), part.column("rid"), pa.array(count.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), each],
+                ["doc_id", "rid", "n", "set_a", "set_b", "labels"],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, labels array<long>")
+    narrow = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), row_identity(docs).alias("rid"), F.col("text").cast("string").alias("text")
+    )
+    return narrow.mapInArrow(run, "doc_id long, rid binary, n long, set_a long, set_b long, labels array<long>")
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(sid, n, items): the full sets of ``members`` (sid, set_a, set_b), read from the texts again."""
+    """(sid, n, items): the full sets of ``members`` (sid, rid), read from the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -105,8 +113,8 @@ def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             items = lists(hashes.view(np.int64), owners, part.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("sid"), items], ["sid", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("sid"), F.col("text").cast("string").alias("text"))
-    wanted = texts.join(members.select("sid"), "sid").select("sid", "text").dropDuplicates(["sid"])
+    texts = docs.select(row_identity(docs).alias("rid"), F.col("text").cast("string").alias("text"))
+    wanted = texts.join(members.select("sid", "rid"), "rid").select("sid", "text").dropDuplicates(["sid"])
     return wanted.mapInArrow(run, "sid long, items array<long>").withColumn("n", F.size("items"))
 
 
@@ -226,20 +234,14 @@ def apart(regions: DataFrame, roots: DataFrame, checked: DataFrame, sets: DataFr
     return union(by_item, by_region).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links).
-
-    Documents are linked where their sets of ``size``-word shingles have a Jaccard similarity of
-    ``percent`` / 100 or more. A text with fewer words has one shingle of all of them; a text without words, or
-    null, has none and is its own component. Equal sets are one class. Repeated rows share
-    their class. A row without doc_id takes part in its class; a class of such rows alone has a null component_id.
-    """
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (set_a, set_b, root) of the classes of equal sets; root is the least sid of the component."""
     signed, _ = stage(signatures(docs, size))
     full = signed.where("n > 0")
     classes, _ = stage(
         full.groupBy("set_a", "set_b").agg(
-            F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("labels").alias("labels")
-        ).withColumn("sid", F.coalesce("least", "set_a"))
+            F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("labels").alias("labels")
+        ).withColumn("sid", F.xxhash64("set_a", "set_b"))
     )
     # Values of a label that make a region.
     depth = next((d for d in (4, 3, 2) if (1 - (percent / 100) ** d) ** TREES < 1.2e-5), 1)
@@ -250,7 +252,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
         F.col("label.hi").alias("full"), "label.lo",
     )
     regions, _ = stage(regions_of(labelled))
-    members, _ = stage(regions.select("sid").distinct())
+    members, _ = stage(classes.join(regions.select("sid").distinct(), "sid").select("sid", "rid"))
     sets, _ = stage(_sets_of(docs, members, size))
     reachable, _ = stage(reachable_sets(sets, percent))
     sets, _ = stage(sets.join(reachable.select("sid"), "sid"))
@@ -262,10 +264,23 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     more, n_more = stage(agreeing(compared(apart(regions, roots, checked, sets, percent), sets), percent))
     if n_more:
         roots = components(union(links, more))
-    classed = classes.select("set_a", "set_b", "least", F.col("sid").alias("v")).join(roots, "v", "left").select(
-        "set_a", "set_b", F.when(F.col("root").isNull() | (F.col("least").isNull()), F.col("least")).otherwise(F.col("root")).alias("component_id")
-    )
+    rooted = classes.select("set_a", "set_b", F.col("sid").alias("v")).join(roots, "v", "left")
+    return signed, rooted.select("set_a", "set_b", F.coalesce("root", "v").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links).
+
+    Documents are linked where their sets of ``size``-word shingles have a Jaccard similarity of
+    ``percent`` / 100 or more. A text with fewer words has one shingle of all of them; a text without words, or
+    null, has none and is its own component. Equal sets are one class, whatever their doc_id. Repeated rows share
+    their class. A row without doc_id takes part in its component; a component of such rows alone has a null component_id.
+    """
+    signed, rooted = _classes(docs, size, percent)
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b")
+    least = rows.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least")).join(rooted, ["set_a", "set_b"])
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    classed = rooted.join(named, "root").select("set_a", "set_b", "component_id")
     with_class = rows.where("n_shingles > 0").join(classed, ["set_a", "set_b"])
     without = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id"]
@@ -275,6 +290,25 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that represent their component of near duplicates."""
-    gone = near_duplicates(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs``, all columns, that represent their component of near duplicates: one row of each.
+
+    It is a row of the least doc_id, one without doc_id only where no other has one. Rows without words stay.
+    """
+    signed, rooted = _classes(docs, size, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    rows, _ = stage(
+        signed.where("n > 0").groupBy("set_a", "set_b", "rid").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("m"))
+        .join(rooted, ["set_a", "set_b"]).select("root", "place", "m")
+    )
+    heads = rows.groupBy("root").agg(F.min(F.struct("place", "m")).alias("head")).select("root", "head.place.rid", "head.m")
+    gone = rows.join(heads.select("root", "rid"), "root").where("place.rid <> rid").select(F.col("place.rid").alias("_gone"))
+    columns = docs.columns
+    tag = "_rid"
+    while tag in columns:
+        tag += "_"
+    left = docs.withColumn(tag, row_identity(docs)).join(gone, F.col(tag) == F.col("_gone"), "left_anti")
+    twice, n_twice = stage(heads.where("m > 1").select(F.col("rid").alias("_twice")))
+    if n_twice:
+        again = left.join(twice, F.col(tag) == F.col("_twice"), "left_semi").dropDuplicates([tag])
+        left = union(left.join(twice, F.col(tag) == F.col("_twice"), "left_anti"), again)
+    return left.select(*[F.col(f"`{c}`") for c in columns])

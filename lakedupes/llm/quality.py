@@ -88,17 +88,24 @@ def statistics_of(texts: pa.Array) -> np.ndarray:
     return np.column_stack(columns)
 
 
+def text_digest(text: Column) -> Column:
+    """The MD5 of a text, 16 bytes; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of every row's whole text."""
+    """(doc_id, digest, x): the statistics of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             x = statistics_of(part.column("text"))
             each = lists(x.ravel(), np.repeat(np.arange(len(x)), x.shape[1]), len(x), pa.float64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), each], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), each], ["doc_id", "digest", "x"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, x array<double>")
+    narrow = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text")
+    )
+    return narrow.mapInArrow(run, "doc_id long, digest binary, x array<double>")
 
 
 def remainder(doc_id: Column, of: int) -> Column:
@@ -204,13 +211,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEA
     return model
 
 
-def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score (chance of label 1), predicted.
-
-    Labels are learned only where crc32 of doc_id modulo 3 is not 1. A document with several labels has their mean, rounded.
-    Empty and null texts are scored like others. Without any label every score is 0.5.
-    Repeated rows are scored alike; rows without doc_id are scored and not held out.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(doc_id, digest, score) per row of ``docs``."""
     measured, _ = stage(statistics(docs))
     marks = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         (F.avg("quality") >= 0.5).cast("int").alias("y")
@@ -222,15 +224,28 @@ def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
         for part in parts:
             if len(part):
                 found = model.score(_matrix(part)) if model else np.full(len(part), 0.5)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": found})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "digest": part["digest"], "score": found})
+
+    return measured.mapInPandas(run, "doc_id long, digest binary, score double")
 
-    return measured.mapInPandas(run, "doc_id long, score double").select(
+
+def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score (chance of label 1), predicted.
+
+    Labels are learned only where crc32 of doc_id modulo 3 is not 1. A document with several labels has their mean, rounded.
+    Empty and null texts are scored like others. Without any label every score is 0.5.
+    Repeated rows are scored alike; rows without doc_id are scored and not held out.
+    """
+    return _scored(docs, labels, sample_rows).select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier accepts."""
-    gone = scores(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs``, all columns, that the classifier accepts.
+
+    The score of a row is that of its text, so decisions are carried by the digest of the text and not by doc_id.
+    """
+    gone = _scored(docs, labels, SAMPLE_ROWS).where("score < 0.5").select(F.col("digest").alias("_gone")).distinct()
+    return docs.join(gone, text_digest(docs["text"]) == gone["_gone"], "left_anti")
