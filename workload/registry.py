@@ -257,6 +257,7 @@ def delete_cascade(spark, folder):
 
 @query
 def update_sha256(spark, folder):
+    """Partial hashes are the case shown here: hashes come for documents with even doc_id, and the others keep what they have."""
     objects = tables.objects(spark, folder)
     hashes = tables.content(spark, folder).where("doc_id % 2 = 0").select(
         "bucket", "key", F.sha2("content", 256).alias("sha256")
