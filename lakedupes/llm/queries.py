@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakedupes.llm.alignment import align
 from lakedupes.llm.decontaminate import contamination_report
 from lakedupes.llm.language import identify
+from lakedupes.llm.licenses import find_licenses
 from lakedupes.llm.minhash_forest import near_duplicates
 from lakedupes.llm.neighbours import nearest
 from lakedupes.llm.paragraphs import repeated_paragraphs
@@ -16,6 +18,7 @@ from lakedupes.llm.piece_tokens import encode_decode
 from lakedupes.llm.quality import scores
 from lakedupes.llm.secrets import KINDS, find_secrets
 from lakedupes.llm.shards import shard_rows
+from lakedupes.llm.spellings import variants
 from lakedupes.llm.substrings import repeated_bytes
 
 
@@ -23,10 +26,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_piece_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,6 +113,32 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and identifiers in all documents; the score says how far the licences found restrict use (0: none found)."""
+    found = find_licenses(documents(spark, folder).select("doc_id", "text"))
+    base = F.filter("findings", lambda f: f["kind"] == "base")
+    label = lambda rows: F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda f: f["label"]))), ",")
+    place = F.transform(base, lambda f: f["word"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(place).alias("first_word"), F.array_max(place).alias("last_word"),
+        label(base).alias("base_labels"), label(F.col("findings")).alias("labels"),
+        (1 - F.coalesce("freedom", F.lit(1.0))).alias("score"),
+    )
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents by two tokenizers: groups, links, and how many documents share the linked pairs."""
+    return align(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), tokenizer_path()).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op13_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of all documents, their near words, and the commoner form of each."""
+    return variants(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_tokens": op1_piece_tokens,
     "op2_quality": op2_quality,
@@ -121,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
+    "op11_licenses": op11_licenses,
+    "op12_alignment": op12_alignment,
+    "op13_spellings": op13_spellings,
 }
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

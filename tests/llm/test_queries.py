@@ -38,7 +38,7 @@ def same(found, expected) -> None:
 
 def test_registered():
     assert set(QUERIES) <= set(contract.queries())
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
