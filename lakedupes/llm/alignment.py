@@ -3,7 +3,9 @@
 Both tokenizers cut the same bytes. Places where a token of either ends cut both sequences into groups, found by
 diagonal run skipping: as long as the end arrays agree at the present index shift, probes of doubling width
 jump over one-to-one stretches; where they differ, one irregular group is resolved token by token and the shift
-updated. The ids of a group are linked with each other.
+updated. The ids of a group are linked with each other. Both cut at the spaces between words, so a task aligns each
+distinct chunk between such spaces once, all new chunks of a slice in one sweep, and puts the groups of a text together by
+position; a text without such a space is one chunk.
 
 How many documents hold a pair is counted in two steps. A slice of texts (a block) counts its own pairs; the sums of
 all blocks are joined back to the blocks' pair lists, so what is shuffled is a list of distinct pairs per block, not a
@@ -31,7 +33,7 @@ from lakedupes.operators.groups import join_groups
 from lakedupes.staging import stage
 
 # Distinct chunks that a task keeps before it starts its tables again.
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 200_000
 # A cut before a space with one of these behind it is a cut of either tokenizer's own first step.
 _CUT = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 _MARK = "▁"
@@ -61,7 +63,7 @@ class ByteTokens:
         self.bytes = [n.encode() if i in special else bytes(letters[c] for c in n) for i, n in enumerate(names)]
 
     def encode(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
 
 
 class PieceTokens:
@@ -77,7 +79,7 @@ class PieceTokens:
             self.bytes.append(bytes([int(found[1], 16)]) if found else name.replace(_MARK, " ").encode())
 
     def encode(self, chunks: list[str]) -> list[list[int]]:
-        return self.model.encode([c[1:] for c in chunks])
+        return self.model.encode(chunks)
 
 
 @functools.lru_cache(maxsize=2)
@@ -85,34 +87,6 @@ def _encoders(byte_path: str, piece_path: str) -> tuple[ByteTokens, PieceTokens]
     return ByteTokens(byte_path), PieceTokens(piece_path)
 
 
-class Table:
-    """Ids of the distinct chunks that an encoder has seen, as one flat array."""
-
-    def __init__(self, encoder: ByteTokens | PieceTokens):
-        self.encoder = encoder
-        self.sizes = self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int64)
-        self.exact = np.zeros(0, bool)  # whether the bytes of the ids are those of the chunk
-
-    def add(self, chunks: list[str]) -> None:
-        found = self.encoder.encode(chunks)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
-        names = self.encoder.bytes
-        same = [b"".join([names[i] for i in ids]) == c.encode() for ids, c in zip(found, chunks, strict=True)]
-        self.exact = np.concatenate((self.exact, np.array(same, bool)))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, flat))
-
-    def ids(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts made of ``counts`` chunks each, and the n + 1 offsets of the texts in them."""
-        size = self.sizes[codes]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(self.starts[codes] - upto[:-1], size) + np.arange(upto[-1])
-        return self.flat[at], upto[np.concatenate(([0], np.cumsum(counts)))]
-
-
 def common_ends(left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Index after the last token of each group, on either side, from the tokens' ends (both rising to one value).
 
@@ -189,94 +163,117 @@ def _group_pairs(
     return np.repeat(group_a, fan), np.repeat(a, fan) * width + b[other], np.repeat(times_a, fan) * times_b[other]
 
 
-_DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>, times array<long>"
+def _at(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs of ``sizes`` that start at ``starts``, one run after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - (upto - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-class Aligner:
-    """Aligns the texts of one task, block by block."""
+class Chunks:
+    """The distinct chunks of a task with the alignment of each: sizes, pairs, and its groups as text."""
 
     def __init__(self, byte_path: str, piece_path: str):
         self.encoders = _encoders(byte_path, piece_path)
         self.width = len(self.encoders[1].bytes)
-        names = [[str(i) for i in range(len(e.bytes))] for e in self.encoders]
         self.sizes = [np.array([len(b) for b in e.bytes], np.int64) for e in self.encoders]
-        inner = [np.array([n + "," for n in side], object) for side in names]
-        last = [np.array([n + mark for n in side], object) for side, mark in zip(names, "|;", strict=True)]
-        self.names = inner, last
+        names = [[str(i) for i in range(len(e.bytes))] for e in self.encoders]
+        self.inner = [np.array([n + "," for n in side], object) for side in names]
+        self.last = [np.array([n + mark for n in side], object) for side, mark in zip(names, "|;", strict=True)]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.tables = [Table(e) for e in self.encoders]
+        self.groups: list[str] = []
+        self.exact = np.zeros(0, bool)  # whether the bytes of the ids of both sides are those of the chunk
+        self.facts = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, links
+        self.starts = self.counts = np.zeros(0, np.int64)  # the chunk's pairs in the next two
+        self.pairs, self.times = np.zeros((2, 0), np.int64)
 
-    def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of A and B over all texts, and the offsets of the texts in either; none where the bytes differ."""
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                parts = _CUT.split(text)
-                pieces += parts
-                counts[k] = len(parts)
-        chunks = [" " + p for p in pieces]
-        new = list(dict.fromkeys(c for c in chunks if c not in self.index))
-        if new:
-            first = len(self.index)
-            self.index.update(zip(new, range(first, first + len(new)), strict=True))
-            for table in self.tables:
-                table.add(new)
-        codes = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        sides = [table.ids(codes, counts) for table in self.tables]
-        owner = np.repeat(np.arange(len(texts)), counts)
-        whole = np.ones(len(texts), bool)
-        for (ids, at), table in zip(sides, self.tables, strict=True):
-            for k in np.unique(owner[~table.exact[codes]]).tolist():
-                joined = b"".join([table.encoder.bytes[i] for i in ids[at[k]:at[k + 1]]])
-                whole[k] &= joined == b" " + (texts[k] or "").encode()
-        kept, offsets = [], []
-        for ids, at in sides:
-            count = np.diff(at)
-            kept.append(ids[np.repeat(whole, count)])
-            offsets.append(np.concatenate(([0], np.cumsum(count * whole))))
-        return kept, offsets
-
-    def block(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray | list], np.ndarray, np.ndarray]:
-        """Facts of each text; the distinct pair codes of the block, and in how many of its texts each is."""
-        n = len(texts)
-        (ids_a, ids_b), (at_a, at_b) = self.tokens(texts)
-        bytes_a, bytes_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
-        ends_a, ends_b = common_ends(bytes_a.tolist(), bytes_b.tolist())
-        owner = np.searchsorted(at_a, ends_a - 1, "right") - 1  # texts end together, so groups lie in texts
+    def add(self, chunks: list[str]) -> None:
+        """Align new chunks, all in one sweep: their ends coincide, so no group crosses from one to the next."""
+        n, sides = len(chunks), []
+        exact = np.ones(n, bool)
+        for encoder in self.encoders:
+            found = encoder.encode(chunks)
+            names = encoder.bytes
+            exact &= [b"".join([names[i] for i in ids]) == b" " + c.encode() for ids, c in zip(found, chunks, strict=True)]
+            sides.append(found)
+        flat = []
+        for found in sides:
+            for k in np.flatnonzero(~exact).tolist():
+                found[k] = []
+            count = np.fromiter(map(len, found), np.int64, n)
+            flat.append((np.fromiter(itertools.chain.from_iterable(found), np.int64, int(count.sum())), np.cumsum(count)))
+        (ids_a, to_a), (ids_b, to_b) = flat
+        ends = [np.cumsum(size[ids]).tolist() for size, ids in zip(self.sizes, (ids_a, ids_b), strict=True)]
+        ends_a, ends_b = common_ends(*ends)
+        owner = np.searchsorted(to_a, ends_a - 1, "right")
         group, pair, times = _group_pairs(ids_a, ids_b, ends_a, ends_b, self.width)
-        n_links = np.bincount(owner[group], times, n).astype(np.int64) if len(group) else np.zeros(n, np.int64)
-        pairs, code = np.unique(pair, return_inverse=True)
-        # Pairs of each text, with how often it links them.
-        keys, inverse = np.unique(owner[group] * max(1, len(pairs)) + code, return_inverse=True)
-        per_text = np.bincount(inverse, times, len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-        texts_of, codes = keys // max(1, len(pairs)), keys % max(1, len(pairs))
-        facts: dict[str, np.ndarray | list] = {
-            "n_a": np.diff(at_a), "n_b": np.diff(at_b), "n_groups": np.bincount(owner, minlength=n), "n_links": n_links,
-            "groups_sha256": self.digests(ids_a, ids_b, ends_a, ends_b, at_a, at_b),
-            "codes": lists(codes.astype(np.int32), texts_of, n, pa.int32()), "times": lists(per_text, texts_of, n, pa.int64()),
-        }
-        return facts, pairs, np.bincount(codes, minlength=len(pairs))
-
-    def digests(self, ids_a, ids_b, ends_a, ends_b, at_a, at_b) -> list[str]:
-        """Digest of each text's groups as ``a1,a2|b1;a3|b2,b3``; '' without tokens."""
-        inner, last = self.names
+        of = owner[group]  # rises; a pair that several groups of a chunk link stays in several rows
+        counts = np.bincount(of, minlength=n)
+        links = np.bincount(of, times, n).astype(np.int64)
+        self.index.update(zip(chunks, range(len(self.index), len(self.index) + n), strict=True))
+        self.groups += self._texts(ids_a, ids_b, ends_a, ends_b, to_a + to_b)
+        self.exact = np.concatenate((self.exact, exact))
+        facts = np.stack((np.diff(to_a, prepend=0), np.diff(to_b, prepend=0), np.bincount(owner, minlength=n), links))
+        self.facts = np.concatenate((self.facts, facts), axis=1)
+        self.starts = np.concatenate((self.starts, len(self.pairs) + np.cumsum(counts) - counts))
+        self.counts = np.concatenate((self.counts, counts))
+        self.pairs, self.times = np.concatenate((self.pairs, pair)), np.concatenate((self.times, times))
+
+    def _texts(self, ids_a, ids_b, ends_a, ends_b, upto: np.ndarray) -> list[str]:
+        """The groups of each chunk as ``a1,a2|b1;a3|b2,b3;``."""
         sizes_a, sizes_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
         line = np.empty(len(ids_a) + len(ids_b), object)
         # In front of a token stand the tokens of its own side, and those of the other in earlier groups (B: and its own).
         place_a = np.arange(len(ids_a)) + np.repeat(ends_b - sizes_b, sizes_a)
         place_b = np.arange(len(ids_b)) + np.repeat(ends_a, sizes_b)
-        line[place_a], line[place_b] = inner[0][ids_a], inner[1][ids_b]
-        line[place_a[ends_a - 1]] = last[0][ids_a[ends_a - 1]]
-        line[place_b[ends_b - 1]] = last[1][ids_b[ends_b - 1]]
-        cuts = at_a + at_b
-        return [
-            hashlib.sha256("".join(line[a:b].tolist())[:-1].encode()).hexdigest() if b > a else ""
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
-        ]
+        line[place_a], line[place_b] = self.inner[0][ids_a], self.inner[1][ids_b]
+        line[place_a[ends_a - 1]] = self.last[0][ids_a[ends_a - 1]]
+        line[place_b[ends_b - 1]] = self.last[1][ids_b[ends_b - 1]]
+        line = line.tolist()
+        cuts = [0, *upto.tolist()]
+        return ["".join(line[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def block(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray | list | pa.Array], np.ndarray, np.ndarray]:
+        """Facts of each text; the distinct pair codes of the block, and in how many of its texts each is."""
+        n = len(texts)
+        pieces: list[str] = []
+        upto = [0]
+        for text in texts:
+            if text:
+                pieces += _CUT.split(text)
+            upto.append(len(pieces))
+        new = set(pieces).difference(self.index)
+        if new:
+            self.add(list(new))
+        codes = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        owner = np.repeat(np.arange(n), np.diff(upto))
+        whole = np.bincount(owner, ~self.exact[codes], n) == 0
+        codes, owner = codes[whole[owner]], owner[whole[owner]]
+        names = ("n_a", "n_b", "n_groups", "n_links")
+        facts: dict[str, np.ndarray | list | pa.Array] = {
+            k: np.bincount(owner, f[codes], n).astype(np.int64) for k, f in zip(names, self.facts, strict=True)
+        }
+        cuts = np.searchsorted(owner, np.arange(n + 1)).tolist()
+        order, get = codes.tolist(), self.groups.__getitem__
+        lines = ("".join(map(get, order[a:b]))[:-1] for a, b in zip(cuts, cuts[1:], strict=False))
+        facts["groups_sha256"] = [hashlib.sha256(line.encode()).hexdigest() if line else "" for line in lines]
+        # Pairs of each text, with how often they are linked: chunks first, then the pairs of each.
+        chunk, repeats = np.unique(owner * max(1, len(self.groups)) + codes, return_counts=True)
+        owner, chunk = chunk // max(1, len(self.groups)), chunk % max(1, len(self.groups))
+        sizes = self.counts[chunk]
+        at = _at(self.starts[chunk], sizes)
+        pairs = np.unique(self.pairs[at])
+        keys = np.repeat(owner, sizes) * max(1, len(pairs)) + np.searchsorted(pairs, self.pairs[at])
+        key = np.unique(keys)
+        times = np.bincount(np.searchsorted(key, keys), self.times[at] * np.repeat(repeats, sizes), len(key)).astype(np.int64)
+        owner, code = key // max(1, len(pairs)), key % max(1, len(pairs))
+        facts["codes"], facts["times"] = lists(code.astype(np.int32), owner, n, pa.int32()), lists(times, owner, n, pa.int64())
+        return facts, pairs, np.bincount(code, minlength=len(pairs))
+
+
+_DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>, times array<long>"
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -286,13 +283,13 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     block's list ``pairs`` (a * size of B + b); ``texts`` counts the block's documents that hold each pair.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_path, piece_path)
+        chunks = Chunks(byte_path, piece_path)
         task = TaskContext.get().partitionId()
         for number, part in enumerate(slices(batches, "text")):
-            if len(aligner.index) > TABLE_CHUNKS:
-                aligner.clear()
+            if len(chunks.index) > TABLE_CHUNKS:
+                chunks.clear()
             n = part.num_rows
-            facts, pairs, texts = aligner.block(part.column("text").to_pylist())
+            facts, pairs, texts = chunks.block(part.column("text").to_pylist())
             made = {"block": pa.array(np.full(n, task << 32 | number)), "doc_id": part.column("doc_id")}
             made |= {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in facts.items()}
             for name, values in (("pairs", pairs), ("texts", texts)):

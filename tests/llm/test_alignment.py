@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from lakedupes.llm.alignment import Aligner, align, common_ends
+from lakedupes.llm.alignment import Chunks, align, common_ends
 from lakedupes.llm.queries import QUERIES, tokenizer_path
 
 PATHS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path()
@@ -76,20 +76,22 @@ def test_odd_texts(spark):
     same([tuple(r) for r in align(docs, *PATHS).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()], expected(rows))
 
 
-def test_chunks_are_independent():
-    """Ids from chunks are those of the libraries on whole texts of letters that mix every kind of character."""
+def test_chunks_are_independent(spark):
+    """Results from chunks are those of the libraries on whole texts of letters that mix every kind of character."""
     r = random.Random(5)
-    letters = "ab Z09 .,'éßñ\n\t  ɏɐ日😀  ́▁<>_-"
-    texts = ["".join(r.choices(letters, k=r.randint(1, 60))) for _ in range(1500)]
-    aligner = Aligner(*PATHS)
-    (ids_a, ids_b), (at_a, at_b) = aligner.tokens(texts)
-    for k, text in enumerate(texts):
-        got_a, got_b = ids_a[at_a[k]:at_a[k + 1]].tolist(), ids_b[at_b[k]:at_b[k + 1]].tolist()
-        if "▁" in text:
-            assert got_a == got_b == []
-        else:
-            assert got_a == aligner.encoders[0].model.encode(" " + text, add_special_tokens=False).ids, text
-            assert got_b == aligner.encoders[1].model.encode(text), text
+    letters = "ab Z09 .,'éßñ\n\t  ɏɐ日😀  ́▁<>_-"
+    rows = [(i, "".join(r.choices(letters, k=r.randint(1, 60)))) for i in range(1500)]
+    found = align(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), *PATHS)
+    same([tuple(x) for x in found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()], expected(rows))
+
+
+def test_table_starts_again():
+    chunks = Chunks(*PATHS)
+    first = chunks.block(["one two two", "three  four"])
+    chunks.clear()
+    again = chunks.block(["one two two", "three  four"])
+    assert first[0]["groups_sha256"] == again[0]["groups_sha256"] and first[1].tolist() == again[1].tolist()
+    assert chunks.block([None, ""])[0]["groups_sha256"] == ["", ""]
 
 
 @pytest.mark.parametrize("seed", range(40))
