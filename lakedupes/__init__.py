@@ -8,7 +8,14 @@ import sys
 
 from pyspark import cloudpickle
 
-from lakedupes.operators.content import enrich_media, hash_candidates, media_pending
+from lakedupes.operators.bins import content_bins
+from lakedupes.operators.content import (
+    enrich_media,
+    hash_candidates,
+    hash_pending,
+    media_pending,
+    remember_failures,
+)
 from lakedupes.operators.exact import (
     all_duplicates,
     content_identity,
@@ -52,19 +59,20 @@ from lakedupes.operators.works import same_work_groups
 from lakedupes.plans.actions import delete_plan, orphan_plan, orphan_totals, rename_plan
 from lakedupes.plans.report import ranked_groups, report, report_rows
 from lakedupes.plans.scan import Scan, scan
-from lakedupes.schema import BUCKET_CONFIG, MEDIA, OBJECTS, conform
+from lakedupes.schema import BUCKET_CONFIG, FAILURES, MEDIA, OBJECTS, conform
 from lakedupes.sinks.reports import write_json_report, write_report
+from lakedupes.sources.content import hash_chunks
 from lakedupes.sources.listing import normalize_listing, read_files, read_listing
 
 __all__ = [
-    "BUCKET_CONFIG", "MEDIA", "OBJECTS", "Scan", "all_duplicates", "apply_listing", "clean_keys",
-    "conform", "content_identity", "delete_objects", "delete_plan", "diagnosis_summary",
+    "BUCKET_CONFIG", "FAILURES", "MEDIA", "OBJECTS", "Scan", "all_duplicates", "apply_listing", "clean_keys",
+    "conform", "content_bins", "content_identity", "delete_objects", "delete_plan", "diagnosis_summary",
     "duplicate_folders", "duplicate_groups", "emptied_folders", "enrich_media",
     "etag_duplicates", "exclusive_duplicates", "exclusive_groups", "folder_groups",
-    "folder_stats", "hash_candidates", "hash_duplicates", "keys_after_rename",
+    "folder_stats", "hash_candidates", "hash_chunks", "hash_duplicates", "hash_pending", "keys_after_rename",
     "media_pending", "multipart_candidates", "normalize_listing", "orphan_plan",
     "orphan_totals", "plan_renames", "ranked_groups", "read_files", "read_listing",
-    "rename_plan", "rename_stats", "report", "report_rows", "resolve_conflicts", "retention",
+    "remember_failures", "rename_plan", "rename_stats", "report", "report_rows", "resolve_conflicts", "retention",
     "rule_counts", "same_work_groups", "scan", "scan_result", "scan_stats", "size_duplicates",
     "snapshot_diff", "suspect_names", "to_delete", "update_sha256", "upsert_config",
     "upsert_media", "upsert_objects", "write_json_report", "write_report",

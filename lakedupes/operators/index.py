@@ -54,6 +54,52 @@ def scan_result(diff: DataFrame) -> DataFrame:
     ])
 
 
+_STATE = ("size", "etag", "is_multipart", "last_modified")
+
+
+def classified(
+    index: DataFrame, listing: DataFrame, prefix: str = "", bucket: str | None = None
+) -> DataFrame:
+    """The index joined with a listing: bucket, key, ``change``, the index row, and the listed state as ``new_*``.
+
+    ``change`` is null for index rows outside the prefix or bucket. One full outer join on the key tells the result of a
+    scan, the new index and the keys that lose their media rows; on tables bucketed by key (``save_index``)
+    the index side needs no shuffle.
+    """
+    unsure = F.col("etag").isNull()
+    new = _once(under_prefix(listing, prefix, bucket)).select(
+        *KEY, (~unsure).alias("_sure"), F.col("size").alias("new_size"), F.coalesce("etag", F.lit("")).alias("new_etag"),
+        (F.col("is_multipart") | unsure).alias("new_is_multipart"), F.col("last_modified").alias("new_last_modified"),
+    )
+    old = conform(index, OBJECTS).withColumn("_known", F.lit(True))
+    in_scope = F.col("key").startswith(prefix)
+    if bucket is not None:
+        in_scope = in_scope & (F.col("bucket") == bucket)
+    change = (
+        F.when(F.col("_sure").isNull(), F.when(in_scope, "deleted"))
+        .when(F.col("_known").isNull(), "new")
+        .when(F.col("_sure") & (F.col("etag") == F.col("new_etag")), "unchanged")
+        .otherwise("updated")
+    )
+    return old.join(new, KEY, "full_outer").withColumn("change", change).drop("_sure", "_known")
+
+
+def index_of(rows: DataFrame, scanned_at: Column | None = None) -> DataFrame:
+    """The index after the scan that ``classified`` describes."""
+    now = F.localtimestamp() if scanned_at is None else scanned_at
+    fresh = F.coalesce(F.col("change").isin("new", "updated"), F.lit(False))
+    state = {c: F.when(fresh, F.col(f"new_{c}")).otherwise(F.col(c)) for c in _STATE}
+    return conform(rows.where("change IS NULL OR change <> 'deleted'").withColumns({
+        **state, "sha256": F.when(~fresh, F.col("sha256")), "scanned_at": F.when(fresh, now).otherwise(F.col("scanned_at")),
+    }), OBJECTS)
+
+
+def media_of(media: DataFrame, rows: DataFrame) -> DataFrame:
+    """The media rows that stay after the scan that ``classified`` describes."""
+    gone = rows.where("change IN ('deleted', 'updated')").select(KEY)
+    return media.join(gone, KEY, "left_anti")
+
+
 def apply_listing(
     index: DataFrame,
     media: DataFrame,
@@ -67,41 +113,10 @@ def apply_listing(
     Unchanged rows keep their hash. New and changed rows start without one. Deleted rows go, and
     the media rows of deleted and changed keys with them. Repeated listing rows and rows without an ETag
     are taken as in ``snapshot_diff``; an object whose ETag is unknown has an empty one and counts as multipart, so that only
-    its content decides. One full outer join on the key does it; on tables bucketed by key (``save_index``) the index side needs no
-    shuffle.
+    its content decides. ``classified`` joins index and listing; ``scan`` stages what it gives and uses it thrice.
     """
-    now = F.localtimestamp() if scanned_at is None else scanned_at
-    unsure = F.col("etag").isNull()
-    listed_once = _once(under_prefix(listing, prefix, bucket)).withColumns({
-        "_listed": ~unsure, "etag": F.coalesce("etag", F.lit("")), "is_multipart": F.col("is_multipart") | unsure,
-    })
-    new = listed_once.select(
-        *KEY, "_listed",
-        *[F.col(c).alias(f"_{c}") for c in ("size", "etag", "is_multipart", "last_modified")],
-    )
-    old = conform(index, OBJECTS).withColumn("_known", F.lit(True))
-    in_scope = F.col("key").startswith(prefix)
-    if bucket is not None:
-        in_scope = in_scope & (F.col("bucket") == bucket)
-    joined = old.join(new, KEY, "full_outer")
-    listed = F.col("_listed").isNotNull()
-    same = F.col("_listed") & (F.col("etag") == F.col("_etag"))
-    fresh = listed & (F.col("_known").isNull() | ~same)
-    merged = joined.where(listed | ~in_scope).select(
-        *KEY,
-        *[
-            F.when(fresh, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-            for c in ("size", "etag", "is_multipart")
-        ],
-        F.when(~fresh, F.col("sha256")).alias("sha256"),
-        F.when(fresh, F.col("_last_modified")).otherwise(F.col("last_modified"))
-        .alias("last_modified"),
-        F.when(fresh, now).otherwise(F.col("scanned_at")).alias("scanned_at"),
-    )
-    gone = snapshot_diff(index, listing, prefix, bucket).where(
-        F.col("change").isin("deleted", "updated")
-    )
-    return conform(merged, OBJECTS), media.join(gone.select(KEY), KEY, "left_anti")
+    rows = classified(index, listing, prefix, bucket)
+    return index_of(rows, scanned_at), media_of(media, rows)
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:

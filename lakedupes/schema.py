@@ -34,6 +34,15 @@ BUCKET_CONFIG = T.StructType([
     T.StructField("updated_at", T.TimestampNTZType()),
 ])
 
+# Objects whose content could not be read, and must not be opened again as long as their ETag is the same.
+FAILURES = T.StructType([
+    T.StructField("bucket", T.StringType(), False),
+    T.StructField("key", T.StringType(), False),
+    T.StructField("etag", T.StringType(), False),
+    T.StructField("error", T.StringType()),
+    T.StructField("failed_at", T.TimestampNTZType()),
+])
+
 # A listing as stores and inventory reports write it.
 LISTING = T.StructType([
     T.StructField("Key", T.StringType()),

@@ -385,6 +385,29 @@ select bucket, key, case when doc_id%2=0 then any_sha end as sha256 from obj""",
 select bucket, key, any_sha as sha256, cast(null as varchar) as error from obj
 where size in (select size from obj where is_multipart and sha256 is null)
  and size in (select size from obj group by size having count(*) > 1)""",
+    "content_bins": _with(_OBJ) + """
+select bucket, key, size, cast(floor((sum(size + 100) over (order by bucket, key rows unbounded preceding) - size - 100) / 1000000) as bigint) as bin
+from obj where size in (select size from obj where is_multipart and sha256 is null)
+ and size in (select size from obj group by size having count(*) > 1)""",
+    "hash_pending": _with(_OBJ) + """
+select bucket, key, etag from obj
+where size in (select size from obj where is_multipart)
+ and size in (select size from obj group by size having count(*) > 1) and doc_id%3<>0 and doc_id%5<>0""",
+    "remember_failures": _with(_OBJ) + """
+select bucket, key, etag, 'denied' as error, TIMESTAMP '2024-06-01 00:00:00' as failed_at
+from obj where doc_id%4=1 and doc_id%3=0
+union all
+select bucket, key, etag, 'timeout', last_modified from obj where doc_id%5=0 and doc_id%4<>1""",
+    "chunked_sha256": _with(_OBJ) + """
+select bucket, key, any_sha as sha256, size, cast(greatest(1, ceil(size / 4096)) as bigint) as chunks,
+ cast(null as varchar) as error from obj""",
+    "enrich_media": _with(_OBJ.replace("sha256(text) as any_sha", "sha256(text) as any_sha, encode(text) as content"), _MEDIA) + f"""
+select o.bucket, o.key, md5(content[1:64]) as artist, cast(null as varchar) as album, lower({_ext('o.key')}) as title,
+ octet_length(content[1:64]) / 2 as duration_s, cast(null as varchar) as codec, cast(octet_length(content[1:64]) as bigint) as bitrate,
+ cast(null as varchar) as error
+from obj o left join (select * from media where doc_id%2=0) m on o.key = m.key
+where m.key is null and lower({_ext('o.key')}) in ('.mp3','.flac','.ogg','.m4a','.aac','.wma',
+ '.opus','.wav','.mp4','.mkv','.avi','.mov','.wmv','.webm')""",
     "media_pending": _with(_OBJ, _MEDIA) + f"""
 select o.bucket, o.key from obj o left join (select * from media where doc_id%2=0) m
  on o.key = m.key

@@ -279,6 +279,62 @@ def hash_candidates(spark, folder):
     return ld.hash_candidates(objects, content)
 
 
+@query
+def content_bins(spark, folder):
+    """The candidates of the content pass in bins of a megabyte."""
+    wanted = ld.multipart_candidates(tables.objects(spark, folder))
+    return ld.content_bins(wanted, 1_000_000, 100).select("bucket", "key", "size", "bin")
+
+
+def _failures(objects):
+    """Earlier failures: some of the objects as they are, some of a state that has passed."""
+    etag = F.when(F.col("doc_id") % 5 == 0, F.col("etag")).otherwise(F.concat(F.lit("old-"), "etag"))
+    return objects.where("doc_id % 5 < 2").select(
+        "bucket", "key", etag.alias("etag"), F.lit("timeout").alias("error"), F.col("last_modified").alias("failed_at")
+    )
+
+
+@query
+def hash_pending(spark, folder):
+    objects = tables.objects(spark, folder)
+    content_known = F.when(F.col("doc_id") % 3 == 0, F.md5("key"))
+    return ld.hash_pending(objects.withColumn("sha256", content_known), _failures(objects)).select("bucket", "key", "etag")
+
+
+@query
+def remember_failures(spark, folder):
+    objects = tables.objects(spark, folder)
+    found = objects.where("doc_id % 4 = 1").select(
+        "bucket", "key", F.when(F.col("doc_id") % 3 == 0, "denied").alias("error")
+    )
+    return ld.remember_failures(_failures(objects), objects, found, _scanned())
+
+
+@query
+def chunked_sha256(spark, folder):
+    """Hashes of the whole content of every object from its chunks of 4,096 bytes."""
+    last = F.greatest(F.octet_length("content") - 1, F.lit(0))
+    chunks = tables.content(spark, folder).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.floor(last / 4096).cast("int")))
+    ).select("bucket", "key", "chunk", F.substring("content", F.col("chunk") * 4096 + 1, F.lit(4096)).alias("content"))
+    return ld.hash_chunks(chunks)
+
+
+def _head_tags(data: bytes, ext: str) -> dict:
+    """Stands for a tag parser: everything comes from the head alone."""
+    import hashlib
+
+    return {"artist": hashlib.md5(data).hexdigest(), "title": ext, "bitrate": len(data), "duration_s": len(data) / 2}
+
+
+@query
+def enrich_media(spark, folder):
+    """Tags of the media objects that have none, from the first 64 bytes of their content."""
+    objects = tables.objects(spark, folder)
+    pending = ld.media_pending(objects, tables.media(objects).where("doc_id % 2 = 0"))
+    return ld.enrich_media(pending, _head_tags, content=tables.content(spark, folder), head=64)
+
+
 @query
 def media_pending(spark, folder):
     objects = tables.objects(spark, folder)
