@@ -82,3 +82,29 @@ def join_sized(
     keys = list(keys)
     salted = rows.selectExpr("*", _choose(_pieces(size, rows.sparkSession), spread))
     return salted.join(_repeat(groups, size).drop(size), [*keys, "_piece"]).drop("_piece")
+
+
+def join_counted(
+    rows: DataFrame,
+    groups: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    how: str = "inner",
+) -> DataFrame:
+    """Join one-row-per-key ``groups`` to ``rows`` where neither knows how many rows a key has.
+
+    The rows of each key are counted here, so ``rows`` should be staged. Keys above ``piece_rows`` rows, at most one per
+    ``piece_rows`` rows of data, are broadcast to both sides: their rows choose a piece by a hash of ``spread``, and their
+    group row is repeated per piece. ``how`` is ``inner`` or ``left``.
+    """
+    keys = list(keys)
+    spark = rows.sparkSession
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(f"_n > {piece_rows(spark)}").selectExpr(
+        *keys, f"{_pieces('_n', spark)} AS _pieces"
+    )
+    salted = rows.join(F.broadcast(hot), keys, "left").selectExpr(*rows.columns, _choose("_pieces", spread))
+    last = "greatest(coalesce(_pieces, 1), 1) - 1"
+    repeated = groups.join(F.broadcast(hot), keys, "left").selectExpr(
+        *groups.columns, f"explode(sequence(cast(0 as bigint), cast({last} as bigint))) AS _piece"
+    )
+    return salted.join(repeated, [*keys, "_piece"], how).drop("_piece")
