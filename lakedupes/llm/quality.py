@@ -29,6 +29,7 @@ from lakedupes.llm.batches import (
     text_buffer,
     words,
 )
+from lakedupes.llm.columns import free_names
 from lakedupes.staging import stage
 
 STATISTICS = (
@@ -122,19 +123,31 @@ class Model:
     directions: np.ndarray
     phases: np.ndarray
     weights: np.ndarray
+    low: np.ndarray  # least and greatest labelled value of each statistic, standardised
+    high: np.ndarray
+    share: float = 0.5  # of label 1 among the labelled rows
     knots: np.ndarray | None = None
     levels: np.ndarray | None = None
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.centre) / self.scale, -8, 8)
+        z = np.clip((x - self.centre) / self.scale, self.low, self.high)
         waves = np.cos(z @ self.directions + self.phases) * np.sqrt(2 / len(self.phases))
         return np.column_stack([waves, np.ones(len(x))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.features(x) @ self.weights
 
+    def support(self, x: np.ndarray) -> np.ndarray:
+        """1 inside the labelled range, falling to 0 outside as the kernel does: there no labelled text is near."""
+        z = (x - self.centre) / self.scale
+        beyond = np.maximum(0, np.maximum(self.low - z, z - self.high))
+        return np.exp(-(np.minimum(beyond, 1e3) ** 2).sum(axis=1) / (2 * x.shape[1]))
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(self.raw(x), self.knots, self.levels), 0, 1)
+        """The calibrated chance of label 1, drawn towards the share of that label where no labelled text is near."""
+        near = self.support(x)
+        found = np.clip(np.interp(self.raw(x), self.knots, self.levels), 0, 1)
+        return near * found + (1 - near) * self.share
 
 
 def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -170,12 +183,18 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEA
         labelled = labelled.where(pick < int(1_000_000 * sample_rows / counted))
     rows, _ = stage(labelled.withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit("later")), F.lit(4)) == 0).repartition(FIT_PARTITIONS))
     columns = [F.col("x")[i] for i in range(len(STATISTICS))]
-    moments = rows.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
     d = len(STATISTICS)
+    moments = rows.agg(
+        *[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns], *[F.min(c) for c in columns], *[F.max(c) for c in columns],
+        F.avg("y"),
+    ).first()
+    centre, spread, least, most = np.array(moments[:4 * d], float).reshape(4, d)
+    spread = np.maximum(spread, 1e-6)
     random = np.random.default_rng(11)
     model = Model(
-        np.array(moments[:d], float), np.maximum(np.array(moments[d:], float), 1e-6),
+        centre, spread,
         random.normal(size=(d, features)) / np.sqrt(d), random.uniform(0, 2 * np.pi, features), np.zeros(features + 1),
+        (least - centre) / spread, (most - centre) / spread, float(moments[4 * d]),
     )
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +213,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEA
     total = np.stack(equations.orderBy("i").toPandas()["row"].to_numpy())
     gram, target = total[:, :-1], total[:, -1]
     size = gram[-1, -1]
-    model.weights = np.linalg.solve(gram + ridge * size * np.eye(len(gram)) / len(gram), target)
+    penalty = np.append(np.ones(features), 1e-9)  # the intercept is free
+    model.weights = np.linalg.solve(gram + ridge * size * np.diag(penalty) / len(gram), target)
 
     def binned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -247,5 +267,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The score of a row is that of its text, so decisions are carried by the digest of the text and not by doc_id.
     """
-    gone = _scored(docs, labels, SAMPLE_ROWS).where("score < 0.5").select(F.col("digest").alias("_gone")).distinct()
-    return docs.join(gone, text_digest(docs["text"]) == gone["_gone"], "left_anti")
+    (name,) = free_names(docs.columns, "_gone")
+    gone = _scored(docs, labels, SAMPLE_ROWS).where("score < 0.5").select(F.col("digest").alias(name)).distinct()
+    return docs.join(gone, text_digest(docs["text"]) == gone[name], "left_anti")
