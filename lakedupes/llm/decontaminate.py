@@ -18,6 +18,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakedupes.llm.columns import free_names, quoted
 from lakedupes.staging import stage
 from lakedupes.unions import union
 
@@ -181,5 +182,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no window of the benchmark."""
     _, found = contamination(docs, benchmark)
-    taken = found.select(F.col("tkey").alias("_tkey"))
-    return docs.withColumn("_tkey", text_key(F.col("text"))).join(taken, "_tkey", "left_anti").select(*docs.columns)
+    (name,) = free_names(docs.columns, "_tkey")
+    taken = found.select(F.col("tkey").alias(name))
+    return docs.withColumn(name, text_key(F.col("text"))).join(taken, name, "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -13,14 +13,12 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lakedupes.llm.batches import slices
+from lakedupes.llm.columns import with_made
 
 _MARK = "▁"
 _CHUNK = re.compile(" +[^ ]+| +")
@@ -109,16 +107,15 @@ def encode_decode(
     empty: its ids are the end id alone, its decoded text is ''. Rows are independent: repeated
     rows give repeated results, an empty table an empty one. Texts may have any length.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = docs.select(*keep, F.lit(None).cast("array<int>").alias("ids"), F.lit("").alias("decoded")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         table = ChunkTable(model_path)
         end = table.model.eos_id()
-        for part in slices(batches, column):
+
+        def encode(texts: pa.Array) -> list[pa.Array]:
             if len(table.index) > table_chunks:
                 table.clear()
-            ids, decoded = _encode_slice(part.column(column).to_pylist(), table, end)
-            yield pa.RecordBatch.from_arrays([*part.columns, ids, decoded], [*keep, "ids", "decoded"])
+            return list(_encode_slice(texts.to_pylist(), table, end))
+
+        return encode
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return with_made(docs, column, {"ids": "array<int>", "decoded": "string"}, make)
