@@ -7,9 +7,9 @@ similarity share no region near 1e-5 (four for 0.85, three for 0.8).
 
 Sets that can have no link are taken out first, exactly: a shingle that occurs in one set only of those in
 regions is in no intersection, and a set with too many of them is out of reach of the threshold.
-Candidates of the others are, in every tree, the neighbours in label order (longest common prefix, so dense
-regions are compared at greater depth) and the hub of the region: the set that shares most regions with
-others, which is the text from which near copies were made, or is nearest to it. What is then
+Candidates of the others are the hub of each region, the set that shares most regions with others, which is
+the text from which near copies were made, or is nearest to it; then, in every tree, the neighbours in label order (longest
+common prefix, so dense regions are compared at greater depth) as far as hubs have left them apart. What is then
 still apart but shares a region is compared as far as it may agree, so no link between different
 components is lost. Links inside a component that is already known need no check.
 """
@@ -36,13 +36,16 @@ from lakedupes.llm.batches import (
     text_buffer,
     words,
 )
+from lakedupes.llm.columns import free_names, quoted
 from lakedupes.llm.components import components
-from lakedupes.operators.groups import shuffle_partitions
+from lakedupes.operators.groups import join_counted, join_groups, shuffle_partitions
 from lakedupes.staging import stage
 from lakedupes.unions import union
 
 TREES = 16
 DEPTH = 8
+# Cells of the table of shingle frequencies, two long numbers each: four megabytes, whatever the corpus.
+FREQUENCY_CELLS = 1 << 18
 SPACES = byte_set(0x20, (0x09, 0x0D))
 
 _RANDOM = np.random.default_rng(7)
@@ -119,11 +122,15 @@ def _sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their sets, n and m, and of the intersection, both."""
+    """The staged pairs (a, b) with the sizes of their sets, n and m, and of the intersection, both."""
     left = sets.select(F.col("sid").alias("a"), "n", F.col("items").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).alias("both")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", both)
+    half = join_counted(pairs, left, ["a"], ["b"])
+    # The first join keeps all pairs, so they are counted before it; a hub of many pairs is split on either side.
+    hot = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs"))
+    weighed = right.join(hot, "b")
+    return join_groups(half, weighed, ["b"], weight="pairs", spread=["a"]).select("a", "b", "n", "m", both)
 
 
 def agreeing(compared_pairs: DataFrame, percent: int) -> DataFrame:
@@ -149,7 +156,7 @@ def reachable_sets(sets: DataFrame, percent: int) -> DataFrame:
 def regions_of(labelled: DataFrame) -> DataFrame:
     """(sid, n, tree, hi, full, lo, region): rows whose region holds more than one set."""
     shared = labelled.groupBy("tree", "hi").agg(F.count(F.lit(1)).alias("region")).where("region > 1")
-    return labelled.join(shared, ["tree", "hi"])
+    return join_groups(labelled, shared, ["tree", "hi"], weight="region", spread=["sid"])
 
 
 def _neighbours(regions: DataFrame) -> DataFrame:
@@ -180,9 +187,12 @@ def to_hubs(regions: DataFrame) -> DataFrame:
     """(a, b): every set and the hub of each of its regions."""
     central = regions.groupBy("sid").agg(F.sum("region").alias("central"))
     placed = regions.select("sid", "tree", "hi").join(central, "sid")
-    hub = placed.groupBy("tree", "hi").agg(F.max(F.struct("central", (-F.col("sid")).alias("minus"))).alias("hub"))
-    return regions.select("sid", "tree", "hi").join(
-        hub.select("tree", "hi", (-F.col("hub.minus")).alias("b")), ["tree", "hi"]
+    hub = placed.groupBy("tree", "hi").agg(
+        F.max(F.struct("central", (-F.col("sid")).alias("minus"))).alias("hub"), F.count(F.lit(1)).alias("region")
+    )
+    return join_groups(
+        regions.select("sid", "tree", "hi"), hub.select("tree", "hi", "region", (-F.col("hub.minus")).alias("b")), ["tree", "hi"],
+        weight="region", spread=["sid"],
     ).where("sid <> b").select(F.col("sid").alias("a"), "b")
 
 
@@ -192,15 +202,17 @@ def apart(regions: DataFrame, roots: DataFrame, checked: DataFrame, sets: DataFr
     No intersection exceeds ``rest`` of either set: a set that cannot agree with one of the least size in its region
     agrees with none there, and regions that then hold one component are done. For the others,
     let h be the set with which x has been found to share most, ``near`` shingles. A partner of x that shares
-    nothing with x outside h shares ``near`` at most. If that is too little, the partner must hold one of the few
-    shingles that x has beyond h, so it is found by those; only pairs for which neither side asks that are
+    nothing with x outside h shares ``near`` at most. If that is too little, the partner must hold some of the
+    shingles that x has beyond h, and is found by those (``_by_item``); only pairs for which neither side asks that are
     compared region by region.
     """
     def mixed(rows: DataFrame) -> DataFrame:
         facts = rows.groupBy("tree", "hi").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("fewest")
-        ).where("low <> high")
-        return rows.join(facts.drop("low", "high"), ["tree", "hi"])
+            F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("fewest"), F.count(F.lit(1)).alias("region")
+        )
+        return join_groups(
+            rows, facts, ["tree", "hi"], weight="region", spread=["sid"], keep="low <> high"
+        ).drop("low", "high", "region")
 
     placed = regions.select("sid", "n", "rest", "tree", "hi").join(
         roots.select(F.col("v").alias("sid"), "root"), "sid", "left"
@@ -212,18 +224,10 @@ def apart(regions: DataFrame, roots: DataFrame, checked: DataFrame, sets: DataFr
     )
     best = sides.groupBy("sid").agg(F.max(F.struct("both", "h")).alias("best")).select("sid", "best.h", F.col("best.both").alias("near"))
     able, _ = stage(mixed(able).drop("fewest").join(best, "sid"))
-    open_sets = able.select("sid", "n", "rest", "root", "h", "near").distinct()
-    items = open_sets.join(sets.select("sid", "items"), "sid")
-    hubs = sets.select(F.col("sid").alias("h"), F.col("items").alias("known"))
-    beyond = items.join(hubs, "h").select("sid", "n", "rest", "root", "near", F.explode(F.array_except("items", "known")).alias("item"))
-    other = items.select(
-        F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("root").alias("root_b"),
-        F.explode("items").alias("item"),
-    )
     most = "least(rest, rest_b)"
     may = f"root <> root_b AND {most} * 100 >= (n + m - {most}) * {percent}"
     enough = lambda near: f"{near} * (100 + {percent}) >= (n + m) * {percent}"
-    by_item = beyond.withColumnRenamed("sid", "a").join(other, "item").where(f"a <> b AND {may} AND NOT {enough('near')}").select("a", "b")
+    by_item = _by_item(able.select("sid", "n", "rest", "root", "h", "near").distinct(), sets, percent, f"{may} AND NOT {enough('near')}")
     mates = able.select(
         "tree", "hi", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"),
         F.col("root").alias("root_b"), F.col("near").alias("near_b"),
@@ -234,6 +238,54 @@ def apart(regions: DataFrame, roots: DataFrame, checked: DataFrame, sets: DataFr
     return union(by_item, by_region).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _by_item(open_sets: DataFrame, sets: DataFrame, percent: int, condition: str) -> DataFrame:
+    """(a, b): pairs of ``open_sets`` (sid, n, rest, root, h, near) under ``condition`` that may share enough beyond the set h of a.
+
+    To agree, sets of n and m shingles share t = percent * (n + m) / (100 + percent) at least. Of these, a shares ``near`` at
+    most inside its h, and where b has the same h, b's ``near`` at most; so s = t less that lie beyond h. In one order of
+    all shingles, the rare ones first, a's shingles beyond h must meet b's before the last s - 1 of them (prefix
+    filter), and with the same h the meeting must come that early among b's too. Any order is right; frequencies
+    are counted in ``FREQUENCY_CELLS`` cells, a table of fixed size, which tells frequent shingles from rare ones.
+    """
+    items, _ = stage(open_sets.join(sets.select("sid", "items"), "sid"))
+    hubs = sets.select(F.col("sid").alias("h"), F.col("items").alias("known"))
+    split = join_counted(items, hubs, ["h"], ["sid"])
+    beyond = F.transform(F.array_except("items", "known"), lambda i: F.struct(i.alias("item"), F.lit(True).alias("beyond")))
+    inside = F.transform(F.array_intersect("items", "known"), lambda i: F.struct(i.alias("item"), F.lit(False).alias("beyond")))
+    facts = ["sid", "n", "rest", "root", "h", "near"]
+    each, _ = stage(
+        split.select(*facts, F.explode(F.concat(beyond, inside)).alias("i"))
+        .select(*facts, "i.item", "i.beyond", F.pmod("i.item", F.lit(FREQUENCY_CELLS)).alias("cell"))
+    )
+    cells = each.groupBy("cell").agg(F.count(F.lit(1)).alias("often"))
+    rank = Window.partitionBy("sid").orderBy("often", "item")  # the shingles of one set
+    asking, _ = stage(
+        each.where("beyond").join(F.broadcast(cells), "cell")
+        .withColumns({"pos": F.row_number().over(rank) - 1, "size": F.count(F.lit(1)).over(Window.partitionBy("sid"))})
+        .select(*facts, "item", "pos", "size")
+    )
+    asked = union(
+        each.where("NOT beyond").select(*facts, "item", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("size")),
+        asking.select(*facts, "item", "pos", "size"),
+    ).select(
+        F.col("sid").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("root").alias("root_b"),
+        F.col("h").alias("h_b"), F.col("near").alias("near_b"), "item", F.col("pos").alias("pos_b"), F.col("size").alias("size_b"),
+    )
+    t = f"ceil({percent} * (n + m) / {100 + percent})"
+    s = f"greatest(1, {t} - if(h = h_b, least(near, near_b), near))"
+    early = f"pos + {s} <= size AND (h <> h_b OR coalesce(pos_b + {s} <= size_b, false))"
+    return asking.withColumnRenamed("sid", "a").join(asked, "item").where(f"a <> b AND {condition} AND {early}").select("a", "b")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    of_a = roots.select(F.col("v").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("v").alias("b"), F.col("root").alias("root_b"))
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(
+        "coalesce(root_a, a) <> coalesce(root_b, b)"
+    ).select("a", "b")
+
+
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and (set_a, set_b, root) of the classes of equal sets; root is the least sid of the component."""
     signed, _ = stage(signatures(docs, size))
@@ -258,10 +310,20 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     sets, _ = stage(sets.join(reachable.select("sid"), "sid"))
     regions, _ = stage(regions_of(regions.drop("region").join(reachable, "sid")))  # with rest
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    checked, _ = stage(compared(ordered(union(_neighbours(regions), to_hubs(regions))), sets))
+    # Hubs first: within a group of copies they settle nearly all; then neighbours that are still apart.
+    by_hub, _ = stage(ordered(to_hubs(regions)))
+    checked, _ = stage(compared(by_hub, sets))
     links = agreeing(checked, percent)
     roots = components(links)
-    more, n_more = stage(agreeing(compared(apart(regions, roots, checked, sets, percent), sets), percent))
+    beside, _ = stage(_between(ordered(_neighbours(regions)), roots).join(by_hub, ["a", "b"], "left_anti"))
+    also, _ = stage(compared(beside, sets))
+    linked, n_linked = stage(agreeing(also, percent))
+    if n_linked:
+        links = union(links, linked)
+        roots = components(links)
+    checked = union(checked, also)
+    left, _ = stage(apart(regions, roots, checked, sets, percent))
+    more, n_more = stage(agreeing(compared(left, sets), percent))
     if n_more:
         roots = components(union(links, more))
     rooted = classes.select("set_a", "set_b", F.col("sid").alias("v")).join(roots, "v", "left")
@@ -301,14 +363,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         .join(rooted, ["set_a", "set_b"]).select("root", "place", "m")
     )
     heads = rows.groupBy("root").agg(F.min(F.struct("place", "m")).alias("head")).select("root", "head.place.rid", "head.m")
-    gone = rows.join(heads.select("root", "rid"), "root").where("place.rid <> rid").select(F.col("place.rid").alias("_gone"))
-    columns = docs.columns
-    tag = "_rid"
-    while tag in columns:
-        tag += "_"
-    left = docs.withColumn(tag, row_identity(docs)).join(gone, F.col(tag) == F.col("_gone"), "left_anti")
-    twice, n_twice = stage(heads.where("m > 1").select(F.col("rid").alias("_twice")))
+    tag, lost, twin = free_names(docs.columns, "_rid", "_gone", "_twice")
+    gone = rows.join(heads.select("root", "rid"), "root").where("place.rid <> rid").select(F.col("place.rid").alias(lost))
+    left = docs.withColumn(tag, row_identity(docs)).join(gone, F.col(tag) == F.col(lost), "left_anti")
+    twice, n_twice = stage(heads.where("m > 1").select(F.col("rid").alias(twin)))
     if n_twice:
-        again = left.join(twice, F.col(tag) == F.col("_twice"), "left_semi").dropDuplicates([tag])
-        left = union(left.join(twice, F.col(tag) == F.col("_twice"), "left_anti"), again)
-    return left.select(*[F.col(f"`{c}`") for c in columns])
+        again = left.join(twice, F.col(tag) == F.col(twin), "left_semi").dropDuplicates([tag])
+        left = union(left.join(twice, F.col(tag) == F.col(twin), "left_anti"), again)
+    return left.select(*[quoted(c) for c in docs.columns])

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from lakedupes.llm.batches import distinct_sets, lists, lower_ascii, mix, range_hashes, shingles, slices, text_buffer, words
 from lakedupes.llm.components import components
-from lakedupes.llm.minhash_forest import SPACES, agreeing, apart, compared, reachable_sets, regions_of, to_hubs
+from lakedupes.llm.minhash_forest import SPACES, agreeing, apart, compared, reachable_sets, regions_of, row_identity, to_hubs
+from lakedupes.operators.groups import join_counted, join_groups
 from lakedupes.staging import stage
 from lakedupes.unions import union
 
@@ -53,7 +54,7 @@ def _paragraphs(texts: pa.Array, size: int, min_words: int) -> tuple[np.ndarray,
 
 
 def _signed(docs: DataFrame, size: int, min_words: int) -> DataFrame:
-    """(doc_id, begin, end, sid, n, keys): one row per paragraph; ``keys`` has one long per band."""
+    """(doc_id, rid, begin, end, sid, n, keys): one row per paragraph; ``rid`` is its row's identity, ``keys`` has one long per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -70,24 +71,24 @@ def _signed(docs: DataFrame, size: int, min_words: int) -> DataFrame:
                 for j in range(BANDS * ROWS):
                     least = np.minimum.reduceat(x * _FACTORS[j] + _SHIFTS[j], first).astype(np.uint64)
                     keys[:, j // ROWS] = mix(keys[:, j // ROWS] ^ (least + np.uint64(j << 40)))
-            ids = part.column("doc_id").take(pa.array(text))
+            ids, rids = (part.column(c).take(pa.array(text)) for c in ("doc_id", "rid"))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(begin), pa.array(end), pa.array(sid), pa.array(n.astype(np.int64)),
+                [ids, rids, pa.array(begin), pa.array(end), pa.array(sid), pa.array(n.astype(np.int64)),
                  lists(keys.view(np.int64).ravel(), np.repeat(np.arange(m), BANDS), m, pa.int64())],
-                ["doc_id", "begin", "end", "sid", "n", "keys"],
+                ["doc_id", "rid", "begin", "end", "sid", "n", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, begin long, end long, sid long, n long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, rid binary, begin long, end long, sid long, n long, keys array<long>")
 
 
 def _sets_of(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
-    """(sid, n, items) of the paragraphs at ``places`` (doc_id, begin, end, sid), read from the texts again."""
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "sid")).alias("parts"))
+    """(sid, n, items) of the paragraphs at ``places`` (rid, begin, end, sid), read from the texts of exactly these rows again."""
+    wanted = places.groupBy("rid").agg(F.collect_list(F.struct("begin", "end", "sid")).alias("parts"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             packed = [zstandard.compress((t or "").encode(), 3) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(packed, pa.binary())], ["rid", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +97,6 @@ def _sets_of(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
                 pieces, sids = [], []
                 for packed, parts in zip(rows.column("text").to_pylist(), rows.column("parts").to_pylist(), strict=True):
                     text = zstandard.decompress(packed)
-                    # A row of the same doc_id with another text may be shorter; its sets are told apart below.
                     pieces += [text[p["begin"]:p["end"]] for p in parts]
                     sids += [p["sid"] for p in parts]
                 data, offsets = text_buffer(pa.array(pieces, pa.large_binary()))
@@ -107,9 +107,9 @@ def _sets_of(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
                     [pa.array(sids, pa.int64()), lists(hashes.view(np.int64), of, len(pieces), pa.int64())], ["sid", "items"]
                 )
 
-    texts = docs.mapInArrow(pack, "doc_id long, text binary")
+    texts = docs.select("rid", "text").mapInArrow(pack, "rid binary, text binary")
     return (
-        texts.join(wanted, "doc_id").select("text", "parts").mapInArrow(run, "sid long, items array<long>")
+        texts.join(wanted, "rid").select("text", "parts").mapInArrow(run, "sid long, items array<long>")
         .dropDuplicates(["sid"]).withColumn("n", F.size("items"))
     )
 
@@ -123,32 +123,33 @@ def repeated_paragraphs(docs: DataFrame, size: int = 5, percent: int = 80, min_w
     without paragraphs.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = narrow.where("doc_id IS NOT NULL")
+    known = narrow.where("doc_id IS NOT NULL").withColumn("rid", row_identity(narrow))
     signed, _ = stage(_signed(known, size, min_words))
     labelled = signed.select("sid", "n", F.posexplode("keys").alias("tree", "hi"))
-    collide = labelled.groupBy("tree", "hi").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high")
+    collide = labelled.groupBy("tree", "hi").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("bucket"))
     shared, _ = stage(
-        labelled.join(collide.select("tree", "hi"), ["tree", "hi"]).distinct()
+        join_groups(labelled, collide, ["tree", "hi"], weight="bucket", spread=["sid"], keep="low <> high").drop("low", "high", "bucket").distinct()
         .select("sid", "n", "tree", "hi", F.col("hi").alias("full"), F.lit(0).cast("long").alias("lo"))
     )
     members = shared.select("sid").distinct()
-    place = F.min(F.struct("doc_id", "begin", "end")).alias("p")
+    place = F.min(F.struct("rid", "begin", "end")).alias("p")
     places = signed.join(members, "sid").groupBy("sid").agg(place).select("p.*", "sid")
     sets, _ = stage(_sets_of(known, places, size))
     able, _ = stage(reachable_sets(sets, percent))
     sets, _ = stage(sets.join(able.select("sid"), "sid"))
     regions, _ = stage(regions_of(shared.join(able, "sid")))
-    ordered = to_hubs(regions).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered, _ = stage(to_hubs(regions).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     checked, _ = stage(compared(ordered, sets))
     links = agreeing(checked, percent)
     roots = components(links)
-    more, n_more = stage(agreeing(compared(apart(regions, roots, checked, sets, percent), sets), percent))
+    left, _ = stage(apart(regions, roots, checked, sets, percent))
+    more, n_more = stage(agreeing(compared(left, sets), percent))
     if n_more:
         roots = components(union(links, more))
-    rows = signed.select("doc_id", "begin", "end", "sid").join(roots.withColumnRenamed("v", "sid"), "sid", "left")
+    rows = join_counted(signed.select("doc_id", "begin", "end", "sid"), roots.withColumnRenamed("v", "sid"), ["sid"], ["doc_id", "begin"], "left")
     rows, _ = stage(rows.select("doc_id", "begin", "end", F.coalesce("root", "sid").alias("cluster")).distinct())
-    heads = rows.groupBy("cluster").agg(F.min(F.struct("doc_id", "begin")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    gone = rows.join(heads, "cluster").where("doc_id <> head.doc_id OR begin <> head.begin")
+    heads = rows.groupBy("cluster").agg(F.min(F.struct("doc_id", "begin")).alias("head"), F.count(F.lit(1)).alias("m"))
+    gone = join_groups(rows, heads, ["cluster"], weight="m", spread=["doc_id", "begin"], keep="m > 1").where("doc_id <> head.doc_id OR begin <> head.begin")
     by_doc = gone.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("removed"),
         F.array_sort(F.collect_set("head.doc_id")).alias("copies_of"),
