@@ -218,6 +218,27 @@ diff as (
   using (bucket, key))
 """
 
+_AFTER = r"""
+after as (
+ select size, etag, is_multipart, sha256 from old where key not in (select key from diff where change in ('deleted', 'updated'))
+ union all
+ select size, etag, is_multipart, null from cur where key in (select key from diff where change in ('new', 'updated'))),
+again as (
+ select size, count(*) as n from after group by etag, size having count(*) > 1 and not bool_or(is_multipart)
+ union all
+ select size, count(*) from after where sha256 is not null group by sha256, size having count(*) > 1)
+"""
+
+_LOG = r"""
+state as (
+ select *, not gone and changed and (not known or etag <> old_etag) as fresh from (
+  select bucket, key, doc_id%10<>2 as known, doc_id%6=1 and doc_id%7<>3 as gone,
+   doc_id%10=2 or doc_id%9=0 or doc_id%7=3 as changed, etag as new_etag,
+   case when doc_id%9=0 then 'old-'||etag else etag end as old_etag,
+   case when doc_id%7=3 then size+1 else size end as new_size,
+   size, etag, is_multipart, sha256, last_modified from objh))
+"""
+
 _CONFIG = r"""
 sources as (
  select source as bucket, max(doc_id) as last, count(*) as n from documents group by source),
@@ -361,6 +382,18 @@ from cur where key in (select key from diff where change in ('new', 'updated'))"
     + """
 select * exclude (doc_id) from media
 where key not in (select key from diff where change in ('deleted', 'updated'))""",
+    "stats_after_scan": _with(_OBJ, _SCAN.format(t="objh"), _DIFF.format(p="Music/en/"), _AFTER) + """
+select count(*) as total_objects, cast(coalesce(sum(size), 0) as bigint) as total_size,
+ (select count(*) from again) as duplicate_groups,
+ (select cast(coalesce(sum(n-1), 0) as bigint) from again) as duplicate_objects,
+ (select cast(coalesce(sum(size*(n-1)), 0) as bigint) from again) as wasted_bytes from after""",
+    "index_after_changes": _with(_OBJ, _SCAN.format(t="objh"), _LOG) + """
+select bucket, key, case when fresh then new_size else size end as size, case when fresh then new_etag else old_etag end as etag,
+ is_multipart, case when fresh then null else sha256 end as sha256, last_modified,
+ case when fresh then TIMESTAMP '2024-06-01 00:00:00' else last_modified end as scanned_at
+from state where not gone and (known or changed)""",
+    "media_after_changes": _with(_OBJ, _SCAN.format(t="objh"), _LOG, _MEDIA) + """
+select * exclude (doc_id) from media where key not in (select key from state where gone or fresh)""",
     "upsert_objects": _with(_OBJ) + """
 select bucket, key, size, etag, is_multipart, sha256, last_modified, last_modified as scanned_at
 from objh where doc_id%10 not in (1, 2)
@@ -526,6 +559,7 @@ having count(*) > 0""",
     "resolve_conflicts": _with(_RKEYS, _RESOLVED) + "select * from resolved",
     "keys_after_rename": _with(_RKEYS, _RESOLVED) + "select * from finalkeys",
     "emptied_folders": _with(_RKEYS, _RESOLVED) + "select * from emptied",
+    "emptied_by_counts": _with(_RKEYS, _RESOLVED) + "select * from emptied",
     "rename_plan": _with(_RKEYS, _RESOLVED) + f"""
 select case when depends_on is null then 1 else 2 end as step, 0 as order_key, bucket, key, target,
  conflict, depends_on,

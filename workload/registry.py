@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 import lakedupes as ld
 from lakedupes.functions import names, paths, rules, text
-from lakedupes.operators import folders, index, rename
+from lakedupes.operators import counts, folders, index, rename
 from lakedupes.plans import actions, report
-from lakedupes.sinks import reports
+from lakedupes.sinks import changelog, reports
 from lakedupes.sources import listing
 from lakedupes.unions import union
 from workload import tables
@@ -197,6 +197,37 @@ def apply_listing_media(spark, folder):
     return _scan(spark, folder)[1].drop("doc_id")
 
 
+@query
+def stats_after_scan(spark, folder):
+    """The totals after a scan, from the counts before it and what the scan changed."""
+    objects = tables.objects(spark, folder, hashed=True)
+    old = tables.previous_index(objects).withColumn("scanned_at", F.col("last_modified"))
+    changes = index.classified(old, tables.current_listing(objects), "Music/en/")
+    return counts.stats_of_counts(counts.counts_after_scan(counts.group_counts(old), changes))
+
+
+def _change_log(objects):
+    """Three batches: new and changed keys, then deletions, then keys that come back or are listed again."""
+    first = objects.where("doc_id % 10 = 2 OR doc_id % 9 = 0").selectExpr("*", "1L AS seq", "false AS deleted")
+    gone = objects.where("doc_id % 6 = 1").selectExpr("*", "2L AS seq", "true AS deleted")
+    again = objects.where("doc_id % 7 = 3").selectExpr("* EXCEPT (size)", "size + 1 AS size", "3L AS seq", "false AS deleted")
+    return union(first, gone, again.select(first.columns))
+
+
+@query
+def index_after_changes(spark, folder):
+    """The index merged with a change log on reading."""
+    objects = tables.objects(spark, folder, hashed=True)
+    old = tables.previous_index(objects).withColumn("scanned_at", F.col("last_modified"))
+    return changelog.merge_log(old, tables.media(objects), _change_log(objects), _scanned())[0]
+
+
+@query
+def media_after_changes(spark, folder):
+    objects = tables.objects(spark, folder, hashed=True)
+    return changelog.merge_log(tables.previous_index(objects), tables.media(objects), _change_log(objects), _scanned())[1]
+
+
 @query
 def upsert_objects(spark, folder):
     objects = tables.objects(spark, folder, hashed=True)
@@ -558,6 +589,13 @@ def emptied_folders(spark, folder):
     return rename.emptied_folders(*_resolved(spark, folder))
 
 
+@query
+def emptied_by_counts(spark, folder):
+    """The emptied folders from kept folder counts and the moves alone."""
+    resolved, keys = _resolved(spark, folder)
+    return counts.emptied_by_counts(counts.folder_counts(keys), resolved)
+
+
 @query
 def rename_plan(spark, folder):
     resolved, keys = _resolved(spark, folder)
