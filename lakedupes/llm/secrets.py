@@ -11,6 +11,8 @@ estimated to be at most ``RATE`` of those accepted. Classes with few tokens lean
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,25 +50,46 @@ _TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 _TAIL_STEP = 0.2316419
 
 
-_NO_SPANS = "array<struct<start:int,end:int,token:string,value:string>>"
+_NO_SPANS = "array<struct<start:int,end:int,byte:int,token:string,value:string>>"
+_WIDTHS = [2**i for i in range(31)]
 
 
-def _located(text: Column, found: Column, pattern: str, group: int = 0) -> Column:
-    """Spans (start, end, token, value) of the matches ``found``; value is the group's text. Texts without a match, nearly
-    all, are searched no further."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("spans"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once wherever it stands."""
+    return F.transform(F.array(value), use)[0]
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["token"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["token"].alias("token"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    zipped = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("token"), values.alias("value")
+def _running(values: Column, n: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running ``join`` of an array of ``n`` values from its front. Each step doubles what a place has taken in, so the work is
+    n log n, and no array grows value by value; ``join`` gets null before the front."""
+    return F.aggregate(
+        F.filter(F.array(*map(F.lit, _WIDTHS)), lambda width: width < n), values,
+        lambda done, width: F.transform(done, lambda x, i: join(x, F.get(done, i - width))),
     )
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step)["spans"]).otherwise(F.array().cast(_NO_SPANS))
+
+
+def _sums(values: Column, n: Column) -> Column:
+    return _running(values, n, lambda x, earlier: x + F.coalesce(earlier, F.lit(0)))
+
+
+def _located(text: Column, found: Column, pattern: str, group: int = 0) -> Column:
+    """Spans (start, end, byte, token, value) of the matches ``found``: code points, the byte where it starts, and the group's
+    text. Matches are ASCII. Texts without a match, nearly all, are searched no further."""
+    n = F.size(found)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+
+    def spans(gaps: Column) -> Column:
+        lengths = lambda measure: F.zip_with(gaps, found, lambda gap, token: measure(gap) + F.char_length(token))
+        zipped = F.arrays_zip(
+            _sums(lengths(F.char_length), n).alias("end"), _sums(lengths(F.octet_length), n).alias("last"),
+            found.alias("token"), values.alias("value"),
+        )
+        return F.transform(zipped, lambda x: F.struct(
+            (x["end"] - F.char_length(x["token"])).alias("start"), x["end"].alias("end"),
+            (x["last"] - F.char_length(x["token"])).alias("byte"), x["token"].alias("token"), x["value"].alias("value"),
+        ))
+
+    return F.when(n > 0, _let(F.slice(F.split(text, pattern, -1), 1, n), spans)).otherwise(F.array().cast(_NO_SPANS))
 
 
 def _tail(z: Column) -> Column:
@@ -93,57 +116,74 @@ def _length_class(n: Column) -> Column:
 
 
 def _battery(tokens: Column) -> Column:
-    """For tokens (start, end, token): start, end, alphabet size k, length class and joint p-value under a uniform random source; tokens
-    without an encoding are left out.
+    """For tokens (start, end, byte, token): start, end, byte, alphabet size k, length class and joint p-value under a uniform random
+    source; tokens without an encoding are left out.
 
-    Each step names what the next one uses, so that the plan stays small.
+    Each step names what the next one uses, so that the plan stays small; a token goes through all of them before the next one.
     """
-    place = lambda s: (s["start"].alias("start"), s["end"].alias("end"))
+    place = lambda s: (s["start"].alias("start"), s["end"].alias("end"), s["byte"].alias("byte"))
+    sized = lambda s: (*place(s), s["k"].alias("k"), s["n"].alias("n"))
+    log = lambda p: F.ln(F.greatest(p, F.lit(1e-300)))
+
+    def indexed(s: Column) -> Column:
+        return F.struct(
+            *place(s), F.char_length(s["letters"]).cast("double").alias("k"), F.char_length(s["token"]).cast("double").alias("n"),
+            F.transform(F.split(s["token"], ""), lambda c: F.instr(s["letters"], c) - 1).alias("x"),
+        )
+
+    def paired(s: Column) -> Column:
+        earlier, later = F.slice(s["x"], 1, F.size(s["x"]) - 1), F.slice(s["x"], 2, F.size(s["x"]) - 1)
+        return F.struct(*sized(s), s["x"].alias("x"), F.arrays_zip(earlier.alias("a"), later.alias("b")).alias("pairs"))
+
+    def counted(s: Column) -> Column:
+        return F.struct(
+            *sized(s),
+            F.aggregate(
+                F.array_distinct(s["x"]), F.lit(0.0),
+                lambda total, v: total + F.pow(F.size(F.filter(s["x"], lambda y: y == v)).cast("double"), F.lit(2.0)),
+            ).alias("squares"),
+            F.size(F.filter(s["pairs"], lambda p: (p["a"] * 2 >= s["k"]) != (p["b"] * 2 >= s["k"]))).alias("turns"),
+            F.aggregate(s["pairs"], F.lit(0.0), lambda t, p: t + (p["a"] - (s["k"] - 1) / 2) * (p["b"] - (s["k"] - 1) / 2)).alias("product"),
+        )
+
+    def normal(s: Column) -> Column:
+        # Wilson and Hilferty: the cube root of chi-squared is nearly normal.
+        ratio = (s["squares"] * s["k"] / s["n"] - s["n"]) / (s["k"] - 1)
+        return F.struct(
+            *sized(s),
+            ((F.pow(ratio, F.lit(1 / 3)) - (1 - 2 / (9 * (s["k"] - 1)))) / F.sqrt(2 / (9 * (s["k"] - 1)))).alias("chi"),
+            F.abs((s["turns"] - (s["n"] - 1) / 2) / F.sqrt((s["n"] - 1) / 4)).alias("runs"),
+            F.abs(s["product"] / ((s["k"] * s["k"] - 1) / 12 * F.sqrt(s["n"] - 1))).alias("serial"),
+        )
+
+    def halved(s: Column) -> Column:
+        # Fisher: minus twice the sum of logarithms is chi-squared with six degrees of freedom.
+        return F.struct(
+            *place(s), s["k"].cast("int").alias("k"), _length_class(s["n"]).alias("longer"),
+            (-(log(_tail(s["chi"])) + log(2 * _tail(s["runs"])) + log(2 * _tail(s["serial"])))).alias("half"),
+        )
+
+    def joint(s: Column) -> Column:
+        return F.struct(
+            *place(s), s["k"].alias("k"), s["longer"].alias("longer"),
+            (F.exp(-s["half"]) * (1 + s["half"] + s["half"] * s["half"] / 2)).alias("p"),
+        )
+
+    def through(s: Column, steps: Sequence[Callable[[Column], Column]]) -> Column:
+        return _let(steps[0](s), lambda t: through(t, steps[1:])) if len(steps) > 1 else steps[0](s)
+
     encoded = F.filter(
         F.transform(tokens, lambda s: F.struct(*place(s), s["token"].alias("token"), _alphabet(s["token"]).alias("letters"))),
         lambda s: s["letters"].isNotNull(),
     )
-    indexed = F.transform(encoded, lambda s: F.struct(
-        *place(s), F.char_length(s["letters"]).cast("double").alias("k"), F.char_length(s["token"]).cast("double").alias("n"),
-        F.transform(F.split(s["token"], ""), lambda c: F.instr(s["letters"], c) - 1).alias("x"),
-    ))
-    paired = F.transform(indexed, lambda s: F.struct(
-        *place(s), s["k"].alias("k"), s["n"].alias("n"), s["x"].alias("x"),
-        F.arrays_zip(F.slice(s["x"], 1, F.size(s["x"]) - 1).alias("a"), F.slice(s["x"], 2, F.size(s["x"]) - 1).alias("b")).alias("pairs"),
-    ))
-    counted = F.transform(paired, lambda s: F.struct(
-        *place(s), s["k"].alias("k"), s["n"].alias("n"),
-        F.aggregate(
-            F.array_distinct(s["x"]), F.lit(0.0),
-            lambda total, v: total + F.pow(F.size(F.filter(s["x"], lambda y: y == v)).cast("double"), F.lit(2.0)),
-        ).alias("squares"),
-        F.size(F.filter(s["pairs"], lambda p: (p["a"] * 2 >= s["k"]) != (p["b"] * 2 >= s["k"]))).alias("turns"),
-        F.aggregate(s["pairs"], F.lit(0.0), lambda t, p: t + (p["a"] - (s["k"] - 1) / 2) * (p["b"] - (s["k"] - 1) / 2)).alias("product"),
-    ))
-    # Wilson and Hilferty: the cube root of chi-squared is nearly normal.
-    normal = F.transform(counted, lambda s: F.struct(
-        *place(s), s["k"].alias("k"), s["n"].alias("n"),
-        ((F.pow((s["squares"] * s["k"] / s["n"] - s["n"]) / (s["k"] - 1), F.lit(1 / 3)) - (1 - 2 / (9 * (s["k"] - 1)))) / F.sqrt(2 / (9 * (s["k"] - 1)))).alias("chi"),
-        F.abs((s["turns"] - (s["n"] - 1) / 2) / F.sqrt((s["n"] - 1) / 4)).alias("runs"),
-        F.abs(s["product"] / ((s["k"] * s["k"] - 1) / 12 * F.sqrt(s["n"] - 1))).alias("serial"),
-    ))
-    log = lambda p: F.ln(F.greatest(p, F.lit(1e-300)))
-    # Fisher: minus twice the sum of logarithms is chi-squared with six degrees of freedom.
-    halved = F.transform(normal, lambda s: F.struct(
-        *place(s), s["k"].cast("int").alias("k"), _length_class(s["n"]).alias("longer"),
-        (-(log(_tail(s["chi"])) + log(2 * _tail(s["runs"])) + log(2 * _tail(s["serial"])))).alias("half"),
-    ))
-    return F.transform(halved, lambda s: F.struct(
-        *place(s), s["k"].alias("k"), s["longer"].alias("longer"),
-        (F.exp(-s["half"]) * (1 + s["half"] + s["half"] * s["half"] / 2)).alias("p"),
-    ))
+    return F.transform(encoded, lambda s: through(s, (indexed, paired, counted, normal, halved, joint)))
 
 
 def _tested(docs: DataFrame) -> DataFrame:
     """(k, longer, p) of every token with an encoding."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = docs.select(F.explode(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))).alias("token"))
-    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("token")))
+    one = F.array(F.struct(*[F.lit(0).alias(c) for c in ("start", "end", "byte")], F.col("token")))
     return tokens.select(F.explode(_battery(one)).alias("t")).select("t.k", "t.longer", "t.p")
 
 
@@ -188,7 +228,8 @@ def class_cuts(counts: dict[tuple[int, int], np.ndarray], rate: float = RATE) ->
 
 
 def _with_spans(docs: DataFrame, cut: dict[tuple[int, int], float], name: str) -> DataFrame:
-    """``docs`` with column ``name``: all spans (start, end, kind) by start, then kind; code points, end exclusive.
+    """``docs`` with column ``name``: all spans (start, rank, end, byte, kind) by start, then kind; code points, end exclusive, and the
+    byte where the span starts. The time for a text grows as its length and n log n of its n matches.
 
     A random token that overlaps a base span is not added.
     """
@@ -209,22 +250,45 @@ def _with_spans(docs: DataFrame, cut: dict[tuple[int, int], float], name: str) -
     order = {kind: i for i, kind in enumerate(patterns)}
 
     def ranked(spans: Column, kind: str) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order[kind]).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.transform(spans, lambda s: F.struct(
+            s["start"].alias("start"), F.lit(order[kind]).alias("rank"), s["end"].alias("end"), s["byte"].alias("byte"), F.lit(kind).alias("kind")
+        ))
 
     assigned = F.filter(F.col(f"{tag}{KINDS[0]}"), lambda s: F.char_length(s["value"]) >= ASSIGN_LETTERS)
     base = F.concat(ranked(assigned, KINDS[0]), *[ranked(F.col(f"{tag}{k}"), k) for k in KINDS[1:]])
-    step = step.select(*columns, *[F.col(f"{tag}random")] * bool(cut), base.alias(f"{tag}base"))
+    step = step.select(*columns, *[F.col(f"{tag}random")] * bool(cut), F.array_sort(base).alias(f"{tag}base"))
     spans = F.col(f"{tag}base")
     if cut:
         limit = F.create_map(*[F.lit(x) for (k, c), p in sorted(cut.items()) for x in (k * 10 + c, p)])
-        alone = F.filter(
-            F.col(f"{tag}random"),
-            lambda s: ~F.exists(F.col(f"{tag}base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        step = step.select(*columns, spans, _apart(F.col(f"{tag}random"), spans).alias(f"{tag}alone"))
+        random = F.filter(
+            _battery(F.col(f"{tag}alone")), lambda s: s["p"] >= F.coalesce(limit[s["k"] * 10 + s["longer"]], F.lit(2.0))
         )
-        random = F.filter(_battery(alone), lambda s: s["p"] >= F.coalesce(limit[s["k"] * 10 + s["longer"]], F.lit(2.0)))
-        spans = F.concat(spans, ranked(random, "random"))
-    final = F.transform(F.array_sort(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return step.select(*columns, final.alias(name))
+        spans = F.when(F.size(f"{tag}alone") > 0, F.array_sort(F.concat(spans, ranked(random, "random")))).otherwise(spans)
+    return step.select(*columns, spans.alias(name))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The ``tokens`` that overlap no span of ``base``; both in order of start. One sorted list of both tells each token how far the spans
+    before it reach and where the next one starts."""
+    side = lambda of, own: F.transform(of, lambda s: F.struct(
+        s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["byte"].alias("byte"),
+        (s["token"] if own else F.lit(None).cast("string")).alias("token"),
+    ))
+
+    def alone(both: Column) -> Column:
+        n = F.size(both)
+        reach = _running(F.transform(both, lambda s: F.when(s["own"] == 0, s["end"])), n, F.greatest)
+        following = F.reverse(_running(F.reverse(F.transform(both, lambda s: F.when(s["own"] == 0, s["start"]))), n, F.least))
+        zipped = F.arrays_zip(both.alias("s"), reach.alias("reach"), following.alias("next"))
+        kept = F.filter(zipped, lambda x: (
+            (x["s"]["own"] == 1) & (F.coalesce(x["reach"], F.lit(0)) <= x["s"]["start"]) & (F.coalesce(x["next"], x["s"]["end"]) >= x["s"]["end"])
+        ))
+        return F.transform(kept, lambda x: F.struct(*[x["s"][c].alias(c) for c in ("start", "end", "byte", "token")]))
+
+    plain = F.transform(tokens, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "byte", "token")]))
+    mixed = _let(F.array_sort(F.concat(side(base, 0), side(tokens, 1))), alone)
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), mixed).otherwise(plain)
 
 
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -233,33 +297,38 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     A null text counts as empty and has no spans, as any text without a match. Repeated rows get equal
     spans; an empty table stays empty. A column named ``spans`` is replaced.
     """
-    return _with_spans(docs, cuts(docs, rate), "spans")
+    found = _with_spans(docs, cuts(docs, rate), "spans")
+    return found.withColumn("spans", F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "kind")])))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataFrame:
     """``docs``, all rows and columns, with each secret replaced by ``mark``; ``n_chars`` follows the text."""
     name = "_spans"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
+    changed = f"{name}hit"
     found = _with_spans(docs, cuts(docs, rate), name)
-    text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, n = F.col("text"), F.size(name)
+    rest = F.lit(2**31 - 1)
 
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"]).alias("out"),
-        )
+    def cleaned(held: Column) -> Column:
+        """The text between the spans, ``mark`` in place of each run of overlapping ones; cut by bytes, which needs no search."""
+        data, reach = held["data"], held["reach"]
+        between = lambda at, length: F.substring(data, at + 1, length).cast("string")
 
-    cleaned = F.aggregate(
-        F.col(name), start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.lit(2**31 - 1)))
-    )
+        def piece(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(reach, i - 1), F.lit(0))
+            return F.when(s["byte"] >= before, F.concat(between(before, s["byte"] - before), F.lit(mark))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(F.col(name), piece), ""), between(F.get(reach, n - 1), rest))
+
+    ends = F.transform(F.col(name), lambda s: s["byte"] + s["end"] - s["start"])
+    held = F.struct(text.cast("string").cast("binary").alias("data"), _running(ends, n, F.greatest).alias("reach"))
     hit = F.size(name) > 0
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    counted = [F.col("n_chars"), hit.alias(name)] if "n_chars" in docs.columns else []
-    out = found.select(*others, *counted, F.when(hit, cleaned).otherwise(text).alias("text"))
+    counted = [F.col("n_chars"), hit.alias(changed)] if "n_chars" in docs.columns else []
+    out = found.select(*others, *counted, F.when(hit, _let(held, cleaned)).otherwise(text).alias("text"))
     if counted:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col(name), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(changed), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
