@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,9 +46,36 @@ def spread_row_number(
     )
 
 
+def _signed(order: Sequence[str]) -> list[Column]:
+    return [F.col(o[1:]) * -1 if o.startswith("-") else F.col(o) for o in order]
+
+
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "group_no") -> DataFrame:
     """1..n over the whole table in ``order`` (column names, ``-`` in front for descending)."""
-    signed = [F.col(o[1:]) * -1 if o.startswith("-") else F.col(o) for o in order]
-    keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(signed)})
+    keyed = df.withColumns({f"_o{i}": c for i, c in enumerate(_signed(order))})
     numbered = spread_row_number(keyed, [], [f"_o{i}" for i in range(len(order))], name)
     return numbered.select(name, *df.columns)
+
+
+def ordered_rows(df: DataFrame, order: Sequence[str], group: int = 0) -> tuple[DataFrame, int]:
+    """``df`` with ``position``, 1..n in ``order`` (as for ``number_rows``, unique), and ``first``: whether the row is the first one
+    with its values of the first ``group`` columns of ``order``; and n.
+
+    Rows are range partitioned on all of ``order``, so that a group of any size spans as many tasks as it needs. What a task must know
+    of those before it, their number of rows and the last group, is one row per partition.
+    """
+    by = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(by, _signed(order), strict=True)))
+    parts = shuffle_partitions(df.sparkSession)
+    cut, total = stage(keyed.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    label = F.struct(F.lit(0), *by[:group])
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.max(label).alias("_last")).select(
+        "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.max("_last").over(earlier).alias("_previous")
+    )
+    inside = Window.partitionBy("_part").orderBy(*by)
+    numbered = cut.withColumns({"_at": F.row_number().over(inside), "_label": label, "_above": F.lag(label).over(inside)})
+    return numbered.join(F.broadcast(edges), "_part").select(
+        (F.col("_at") + F.col("_before")).alias("position"),
+        (~F.col("_label").eqNullSafe(F.coalesce("_above", "_previous"))).alias("first"), *df.columns,
+    ), total

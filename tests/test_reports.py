@@ -3,8 +3,10 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import lakedupes as ld
+from lakedupes.operators.ranking import ordered_rows
 from lakedupes.plans.report import folder_report_rows, same_work_rows, summary_text
 from lakedupes.sinks import reports
 from tests.conftest import DAY, rows
@@ -50,23 +52,44 @@ def test_json_report(make, tmp_path):
     ld.write_json_report(path, ld.scan_stats(objects), ld.all_duplicates(objects),
                          ld.suspect_names(objects), None)
 
-    def lines(section):
-        return [json.loads(line) for f in sorted((tmp_path / "r" / section).glob("part*"))
-                for line in f.read_text().splitlines()]
+    def text(section):
+        return "".join(f.read_text() for f in sorted((tmp_path / "r" / section).glob("part*")))
 
-    assert lines("stats") == [{"total_objects": 6, "total_size": 16394, "duplicate_groups": 2,
-                               "duplicate_objects": 3, "wasted_bytes": 10240}]
-    assert [(g["fingerprint"], g["object"]["key"]) for g in lines("groups")] == [
-        ("g", "x.bin"), ("g", "y.bin"), ("g", "z.bin"), ("e", "a.mp3"), ("e", "b/a (1).mp3")
+    assert json.loads(text("stats")) == {"total_objects": 6, "total_size": 16394, "duplicate_groups": 2,
+                                         "duplicate_objects": 3, "wasted_bytes": 10240}
+    groups = json.loads(text("groups"))
+    assert [(g["fingerprint"], [o["key"] for o in g["objects"]]) for g in groups] == [
+        ("g", ["x.bin", "y.bin", "z.bin"]), ("e", ["a.mp3", "b/a (1).mp3"])
     ]
-    assert lines("groups")[3] == {
-        "fingerprint": "e", "size": 2048, "wasted_bytes": 2048,
-        "object": {"bucket": "b", "key": "a.mp3", "last_modified": "2024-01-01T00:00:00"},
+    assert groups[1] == {
+        "fingerprint": "e", "size": 2048, "wasted_bytes": 2048, "objects": [
+            {"bucket": "b", "key": k, "last_modified": "2024-01-01T00:00:00"} for k in ("a.mp3", "b/a (1).mp3")
+        ],
     }
-    assert [f["file"]["key"] for f in lines("suspect_names")] == ["a.mp3", "b/a (1).mp3", "c/a.mp3"]
+    names = json.loads(text("suspect_names"))
+    assert [[f["key"] for f in n["files"]] for n in names] == [["a.mp3", "b/a (1).mp3", "c/a.mp3"]]
     assert not (tmp_path / "r" / "same_work").exists()
 
 
+def test_documents_of_any_size(spark, make, tmp_path):
+    """A group larger than a task's share, groups of one row, null names, and order by position."""
+    works = [("b", f"k{i:03}", "A", "S", None, i % 7) for i in range(200)]
+    works += [("b", "z", None, "S", "mp3", 1), ("b", "y", "A", 'T"', "é", None), ("b", "x", "B", None, None, 3)]
+    found = spark.createDataFrame(works, "bucket string, key string, artist string, title string, codec string, bitrate long")
+    lines = reports.work_lines(found.withColumn("size", F.col("bitrate") * 2)).orderBy("position").collect()
+    assert [r.position for r in lines] == list(range(1, 204))
+    documents = json.loads("".join(r.text for r in lines))
+    assert [(d["artist"], d["title"], len(d["files"])) for d in documents] == [
+        (None, "S", 1), ("A", "S", 200), ("A", 'T"', 1), ("B", None, 1)
+    ]
+    files = [(f["size"], f["key"]) for f in documents[1]["files"]]
+    assert files == sorted(files, key=lambda f: (-f[0], f[1])) and len(set(files)) == 200
+    assert rows(reports.work_lines(ld.same_work_groups(make.objects(), make.media()))) == []
+    placed, n = ordered_rows(found, ["-bitrate", "key"], 1)
+    assert n == 203 and placed.where("first").count() == 8
+    assert placed.where("first").orderBy("position").first().bitrate is None
+
+
 def test_documents_name_the_bucket(make):
     objects = make.objects(("k", 5, "e"), ("k", 5, "e", False, None, DAY, "b2"))
     found = reports.duplicate_documents(ld.all_duplicates(objects))

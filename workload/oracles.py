@@ -323,6 +323,18 @@ _EX = _EXCLUSIVE.format(t="objp")
 
 _BEST = f"{_score('key')}, length({_base('key')}), last_modified, bucket, key"
 
+def _documents(rows: str, group: str, head: str, members: str, member: str, name: str) -> str:
+    """The texts of a JSON array with one document per group, one text per member."""
+    names = group.replace(" desc", "")
+    return f"""
+select row_number() over whole as position,
+ case when row_number() over inside > 1 then ',' else
+  case when row_number() over whole > 1 then ']}},' else '[' end
+  ||regexp_replace(cast(to_json({head}) as varchar), '.$', '')||',"{name}":[' end
+ ||cast(to_json({member}) as varchar)||case when row_number() over whole = (select count(*) from {rows}) then ']}}]' else '' end as text
+from {rows} window whole as (order by {group}, {members}), inside as (partition by {names} order by {members})"""
+
+
 ORACLES: dict[str, str] = {
     "multipart_flag": _with(_OBJ) + """
 select key, etag, regexp_matches(trim(etag, '"'), '-[0-9]+$') as multipart from obj""",
@@ -523,6 +535,25 @@ select fingerprint, size, wasted_bytes, bucket, key,
     "folder_documents": _with(_OBJ, _FOLDERS) + """
 select bucket, base_name, category, folder as path, file_count, media_count, image_count, total_size
 from dupfolders""",
+    "group_documents": _with(_OBJ, _DUPS_H) + _documents(
+        "dups", "wasted_bytes desc, fingerprint, size", "{'fingerprint': fingerprint, 'size': size, 'wasted_bytes': wasted_bytes}",
+        "bucket, key", "{'bucket': bucket, 'key': key, 'last_modified': strftime(last_modified, '%Y-%m-%dT%H:%M:%S')}", "objects",
+    ),
+    "folder_group_documents": _with(_OBJ, _FOLDERS) + _documents(
+        "dupfolders", "bucket, base_name, category", "{'bucket': bucket, 'base_name': base_name, 'category': category}",
+        "media_count desc, folder", "{'path': folder, 'file_count': file_count, 'media_count': media_count,"
+        " 'image_count': image_count, 'total_size': total_size}", "folders",
+    ),
+    "ordered_duplicates": _with(_OBJ, _DUPS_H) + """
+select row_number() over (order by wasted_bytes desc, fingerprint, size, key) as position, wasted_bytes, fingerprint, size, key
+from dups""",
+    "ordered_suspects": _with(_OBJ, _suspects("obj", "etag")) + """
+select row_number() over (order by normalized, key) as position, normalized, key from suspects""",
+    "ordered_works": _with(_OBJ, _MEDIA, _WORKS) + """
+select row_number() over (order by artist, title, size desc, key) as position, artist, title, size, key from works""",
+    "ordered_folders": _with(_OBJ, _FOLDERS) + """
+select row_number() over (order by base_name, media_count desc, folder) as position, base_name, media_count, folder
+from dupfolders where category = 'both_music'""",
     "folder_stats": _with(_OBJ, _FOLDERS) + "select * from stats",
     "folder_category": _with(_OBJ, _FOLDERS) + "select * from fgroups2",
     "duplicate_folders": _with(_OBJ, _FOLDERS) + "select * from dupfolders",

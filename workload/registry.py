@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import lakedupes as ld
 from lakedupes.functions import names, paths, rules, text
 from lakedupes.operators import counts, folders, index, rename
+from lakedupes.operators.ranking import ordered_rows
 from lakedupes.plans import actions, report
 from lakedupes.sinks import changelog, reports
 from lakedupes.sources import listing
@@ -506,6 +507,43 @@ def report_documents(spark, folder):
     return reports.duplicate_documents(members).select("fingerprint", "size", "wasted_bytes", "object.*")
 
 
+@query
+def group_documents(spark, folder):
+    return reports.duplicate_lines(ld.all_duplicates(tables.objects(spark, folder, hashed=True)))
+
+
+@query
+def folder_group_documents(spark, folder):
+    return reports.folder_lines(duplicate_folders(spark, folder))
+
+
+def _ordered(df: DataFrame, order: list[str]) -> DataFrame:
+    return ordered_rows(df, order)[0].drop("first")
+
+
+@query
+def ordered_duplicates(spark, folder):
+    members = ld.all_duplicates(tables.objects(spark, folder, hashed=True)).select("wasted_bytes", "fingerprint", "size", "key")
+    return _ordered(members, ["-wasted_bytes", "fingerprint", "size", "key"])
+
+
+@query
+def ordered_suspects(spark, folder):
+    return _ordered(suspect_names(spark, folder).select("normalized", "key"), ["normalized", "key"])
+
+
+@query
+def ordered_works(spark, folder):
+    works = same_work_groups(spark, folder).select("artist", "title", "size", "key")
+    return _ordered(works, ["artist", "title", "-size", "key"])
+
+
+@query
+def ordered_folders(spark, folder):
+    found = folders.with_category(duplicate_folders(spark, folder), "both_music")
+    return _ordered(found.select("base_name", "media_count", "folder"), ["base_name", "-media_count", "folder"])
+
+
 # Folders
 
 @query
