@@ -2,12 +2,11 @@
 
 Each language has a tree of byte contexts up to three bytes long, counted on a bounded sample of labelled
 texts. A byte costs its code length in the longest known context; where the context has not seen it,
-the context's escape (method C) is paid and the next shorter context asked, down to a uniform code. The
-statistics are frozen, so the cost of a byte is a function of itself and the three before: the trees
-become tables, and a text's exact code length in each language is a sum of table entries.
+the context's escape (method C) is paid and the next shorter context asked, down to eight bits for any byte. The
+statistics are frozen, so the cost of a byte is a function of itself and the three before: the trees become
+sorted tables of the byte strings seen, and a text's exact code length in each language is a sum of table entries.
 
-Texts are lower-cased, ASCII that is not a letter counts as a space, and the bytes that matter become
-64 codes: space, a-z, the commonest others, and one for the rest.
+Texts are lower-cased; all 256 bytes are told apart.
 """
 
 from __future__ import annotations
@@ -24,141 +23,136 @@ from pyspark.sql import functions as F
 from lakedupes.llm.batches import slices, text_buffer
 from lakedupes.llm.quality import remainder
 
-CODES = 64
-_BITS = 6
 ORDER = 3
+UNIFORM = 8.0
 UNKNOWN = "und"
-# Bytes of labelled text per language that the statistics are counted on; a share of whole texts by a hash of doc_id.
+# Bytes of labelled text that the statistics are counted on: per language, and in all languages together. Distinct
+# texts are taken by least hash, and at least one of each language.
 SAMPLE_BYTES = 4_000_000
+TOTAL_BYTES = 64_000_000
 
 
-def _code_table(commonest: list[int]) -> np.ndarray:
-    """Byte to code."""
-    table = np.zeros(256, np.uint32)
-    table[97:123] = np.arange(1, 27)
-    table[128:] = CODES - 1
-    for code, byte in enumerate(commonest[:CODES - 28], 27):
-        table[byte] = code
-    return table
-
-
-def _grams(texts: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each byte with the three before it as one number, and the offsets of the texts; three spaces stand before a text."""
     data, offsets = text_buffer(texts)
     m = len(offsets) - 1
-    padded = np.zeros(len(data) + ORDER * m, np.uint32)
+    padded = np.full(len(data) + ORDER * m, 32, np.uint32)
     place = np.arange(len(data)) + np.repeat(np.arange(1, m + 1) * ORDER, np.diff(offsets))
-    padded[place] = codes[data]
+    padded[place] = data
     gram = padded.copy()
     for k in range(1, ORDER + 1):
-        gram[k:] |= padded[:-k] << np.uint32(_BITS * k)
+        gram[k:] |= padded[:-k] << np.uint32(8 * k)
     return gram[place], offsets
 
 
+def _last(gram: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes of each number."""
+    return gram & np.uint32(256**n - 1)
+
+
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, values), max(len(table) - 1, 0))
+    return at, table[at] == values
+
+
+@dataclass
+class Level:
+    """Contexts of one length: what follows them and what leaving them costs, one column per language."""
+
+    known: np.ndarray  # context and byte as one number, sorted
+    cost: np.ndarray
+    contexts: np.ndarray  # sorted
+    escape: np.ndarray
+
+
 @dataclass
 class Trees:
-    """Code lengths in bits, one column per language."""
+    """Code lengths in bits, by length of context."""
 
     languages: list[str]
-    codes: np.ndarray
-    known: np.ndarray  # numbers of four bytes that some language has seen
-    full: np.ndarray  # their cost
-    escape: np.ndarray  # by three bytes: what leaving the longest context costs
-    shorter: np.ndarray  # by three bytes: cost of the last one from two bytes of context on
+    levels: list[Level]
+
+    def costs(self, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Of each number of ``order`` + 1 bytes, the cost of its last byte."""
+        if order < 0:
+            return np.full((len(gram), len(self.languages)), UNIFORM, np.float32)
+        level = self.levels[order]
+        at, there = _find(level.known, gram)
+        out = level.cost[at]
+        new = np.flatnonzero(~there)
+        if len(new):
+            at, there = _find(level.contexts, gram[new] >> np.uint32(8))
+            shorter, back = np.unique(_last(gram[new], order), return_inverse=True)
+            out[new] = np.where(there[:, None], level.escape[at], 0) + self.costs(shorter, order - 1)[back]
+        return out
 
-    def bits(self, texts: pa.Array, places: np.ndarray) -> np.ndarray:
+    def bits(self, texts: pa.Array) -> np.ndarray:
         """The code length of every text in every language."""
-        gram, offsets = _grams(texts, self.codes)
+        gram, offsets = _grams(texts)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(gram):
             return out
-        at = places[gram]
-        cost = self.full[at]
-        odd = np.flatnonzero(at == 0)
-        cost[odd] = self.escape[gram[odd] >> _BITS] + self.shorter[gram[odd] & (CODES**3 - 1)]
+        distinct, back = np.unique(gram, return_inverse=True)
+        cost = self.costs(distinct)[back]
         full = np.flatnonzero(np.diff(offsets))
         out[full] = np.add.reduceat(cost, offsets[:-1][full], axis=0, dtype=np.float64)
         return out
 
-    def places(self) -> np.ndarray:
-        """Row of ``full`` for each number of four bytes; 0 for those never seen."""
-        table = np.zeros(CODES**4, np.int32)
-        table[self.known] = np.arange(1, len(self.known) + 1)
-        return table
-
-
-def _order(counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Costs of symbols after contexts of one length, and escapes; ``counts`` and ``lower`` have shape (contexts, symbols, languages)."""
-    total = counts.sum(axis=1, keepdims=True)
-    kinds = (counts > 0).sum(axis=1, keepdims=True)
-    whole = np.maximum(1, total + kinds)
-    escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / whole), 0.0)
-    seen = -np.log2(np.maximum(counts, 1) / whole)
-    return np.where(counts > 0, seen, escape + lower), escape[:, 0]
-
 
-def grow(counted: pd.DataFrame, codes: np.ndarray) -> Trees:
+def grow(counted: pd.DataFrame) -> Trees:
     """The trees from rows (lang, gram, n)."""
     languages = sorted(counted["lang"].unique())
     column = counted["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    gram, n, size = counted["gram"].to_numpy(np.int64), counted["n"].to_numpy(float), len(languages)
-
-    def dense(length: int) -> np.ndarray:
-        table = np.zeros((CODES**length, size))
-        np.add.at(table, (gram & (CODES**length - 1), column), n)
-        return table
-
-    lower = np.full((CODES, size), np.log2(CODES))
-    for length in (1, 2, 3):
-        counts = dense(length).reshape(CODES ** (length - 1), CODES, size)
-        below = np.broadcast_to(lower.reshape(-1, CODES, size), (CODES if length > 1 else 1, CODES ** max(length - 2, 0), CODES, size))
-        cost, _ = _order(counts, below.reshape(-1, CODES, size))
-        lower = cost.reshape(-1, size)
-    known, row = np.unique(gram, return_inverse=True)
-    counts = np.zeros((len(known), size))
-    np.add.at(counts, (row, column), n)
-    context = known >> _BITS
-    total, kinds = np.zeros((CODES**3, size)), np.zeros((CODES**3, size))
-    np.add.at(total, context, counts)
-    np.add.at(kinds, context, counts > 0)
-    whole = np.maximum(1, total + kinds)
-    escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / whole), 0.0)
-    full = np.where(
-        counts > 0, -np.log2(np.maximum(counts, 1) / whole[context]), escape[context] + lower[known & (CODES**3 - 1)]
-    )
-    single = np.float32
-    return Trees(languages, codes, known, np.vstack([np.zeros((1, size)), full]).astype(single), escape.astype(single), lower.astype(single))
+    gram, n, size = counted["gram"].to_numpy().astype(np.uint32), counted["n"].to_numpy(float), len(languages)
+    levels: list[Level] = []
+    for order in range(ORDER + 1):
+        known, row = np.unique(_last(gram, order + 1), return_inverse=True)
+        counts = np.zeros((len(known), size))
+        np.add.at(counts, (row, column), n)
+        contexts, of = np.unique(known >> np.uint32(8), return_inverse=True)
+        total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+        np.add.at(total, of, counts)
+        np.add.at(kinds, of, counts > 0)
+        whole = np.maximum(1, total + kinds)
+        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / whole), 0.0)
+        # Whatever was seen after a context was seen after the shorter one too.
+        below = levels[-1].cost[_find(levels[-1].known, _last(known, order))[0]] if levels else UNIFORM
+        cost = np.where(counts > 0, -np.log2(np.maximum(counts, 1) / whole[of]), escape[of] + below)
+        levels.append(Level(known, cost.astype(np.float32), contexts, escape.astype(np.float32)))
+    return Trees(languages, levels)
+
+
+def sampled(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
+    """(lang, text): distinct texts of each language, those of least hash up to about its bytes, and at least one.
+
+    Copies of a text are drawn together and count once. One map of a number per language is all that the driver sees.
+    """
+    rows = labelled.where(F.octet_length("text") > 0)
+    spot = F.xxhash64("text", F.lit("ppm")).cast("double") / 2.0**64 + 0.5
+    found = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(spot).alias("least")).collect()
+    if not found:
+        return rows.select("lang", "text")
+    each = min(sample_bytes, total_bytes / len(found))
+    cut = F.create_map(*[F.lit(v) for r in found for v in (r.lang, float(max(each / r.bytes, r.least)))])
+    return rows.where(spot <= cut[F.col("lang")]).select("lang", "text").distinct()
 
 
 def train(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
-    """Trees from rows (doc_id, lang, text); None without any. What reaches the driver is bounded by the sample."""
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).where("bytes > 0").toPandas()
-    if not len(sizes):
-        return None
-    share = F.create_map(*[F.lit(v) for lang, b in zip(sizes["lang"], sizes["bytes"], strict=True) for v in (lang, min(1e6, 1e6 * sample_bytes / int(b)))])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(1_000_000)) < share[F.col("lang")])
-
-    def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for part in slices(batches, "text"):
-            total += np.bincount(text_buffer(part.column("text"))[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
-
-    common = sample.select("text").mapInArrow(count_bytes, "byte long, n long").where("byte >= 128 AND n > 0").groupBy("byte").agg(F.sum("n").alias("n"))
-    codes = _code_table([r.byte for r in common.orderBy(F.desc("n"), "byte").collect()])
+    """Trees from rows (lang, text); None without any. What reaches the driver is bounded by the sample."""
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            gram, offsets = _grams(part.column("text"), codes)
+            gram, offsets = _grams(part.column("text"))
             langs, of = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-            both, n = np.unique(np.repeat(of, np.diff(offsets)).astype(np.int64) * CODES**4 + gram, return_counts=True)
+            both, n = np.unique(np.repeat(of, np.diff(offsets)).astype(np.int64) << 32 | gram, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs[both // CODES**4].tolist(), pa.string()), pa.array(both % CODES**4), pa.array(n)], ["lang", "gram", "n"]
+                [pa.array(langs[both >> 32].tolist(), pa.string()), pa.array(both & (2**32 - 1)), pa.array(n)], ["lang", "gram", "n"]
             )
 
-    counted = sample.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long")
+    counted = sampled(labelled, sample_bytes).mapInArrow(count_grams, "lang string, gram long, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return grow(table, codes) if len(table) else None
+    return grow(table) if len(table) else None
 
 
 def identify(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -176,9 +170,8 @@ def identify(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     trees = train(narrow.where((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull()), sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = trees.places()
         for part in slices(batches, "text"):
-            bits = trees.bits(part.column("text"), places)
+            bits = trees.bits(part.column("text"))
             best = bits.argmin(axis=1)
             score = 1 / np.exp2(-(bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
