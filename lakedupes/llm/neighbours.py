@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample, a neighbour graph is cut into partitions of nearly equal size by label propagation
-under quotas, and a softmax classifier learns from each vector in which partitions its neighbours lie.
-Every vector of the table goes to its most probable partition; a query goes to its most probable ones until
-their chances reach a level that is calibrated on queries of the sample, and as many more as it takes to hold enough
+On a bounded sample, a neighbour graph is coarsened to communities, these are grown to partitions of nearly equal
+size along their links, and single vertices moved under quotas. A softmax classifier over the vector and its closeness to
+landmarks learns from each vector in which partitions its neighbours lie.
+Every vector of the table goes to its most probable partition; a query goes to as many of its most probable ones as
+queries kept out of the fit need, and as many more as it takes to hold enough
 vectors; all vectors there are ranked exactly. Partitions are
 worked on in blocks, so that one of any size is spread over tasks.
 """
@@ -23,33 +24,46 @@ from lakedupes.staging import stage
 from lakedupes.unions import union
 
 # Vectors that partitions and classifier are learned from, at most: a share of the table by a hash of vec_id.
-SAMPLE_ROWS = 8_192
-PARTITION_ROWS = 4_000
-MOST_PARTITIONS = 128
+SAMPLE_ROWS = 16_384
+# The number of partitions follows the table, as far as the sample can tell them apart.
+PARTITION_ROWS = 2_000
+LEAST_PARTITIONS = 16
+SAMPLE_PER_PARTITION = 32
 BLOCK_ROWS = 4_096
 GRAPH_DEGREE = 10
-# Recall on the sample's own queries that the calibration asks for.
-RECALL = 0.96
+LANDMARKS = 256
+# Sample vectors kept out of the fit, and the recall on them that the calibration asks for.
+HELD_OUT = 768
+RECALL = 0.97
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 @dataclass
 class Router:
-    """The classifier, and the chance at which a query has enough partitions."""
+    """The classifier, and the number of partitions that a query visits."""
 
     weights: np.ndarray
-    level: float = 1.0
+    probes: int = 1
+    landmarks: np.ndarray | None = None  # unit vectors, one per column
+    floor: float = 0.0  # closeness to a landmark that counts as none
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        unit = _unit(x)
+        close = [] if self.landmarks is None else [4 * np.maximum(0, unit @ self.landmarks - self.floor)]
+        return np.column_stack([unit, *close, np.ones(len(x))])
 
     def chances(self, x: np.ndarray) -> np.ndarray:
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        z = np.column_stack([unit, np.ones(len(x))]) @ self.weights
+        z = self.inputs(x) @ self.weights
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def routed(self, chances: np.ndarray, level: float, held: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+    def routed(self, chances: np.ndarray, probes: int, held: np.ndarray | None = None, least: int = 0) -> np.ndarray:
         """Which partitions each query visits; further ones until those visited hold ``least`` of the rows ``held``."""
         order = np.argsort(-chances, axis=1, kind="stable")
-        ranked = np.take_along_axis(chances, order, 1)
-        visit = np.cumsum(ranked, axis=1) - ranked < level
+        visit = np.broadcast_to(np.arange(chances.shape[1]) < probes, chances.shape).copy()
         if held is not None:
             visit |= np.cumsum(held[order], axis=1) - held[order] < least
         out = np.zeros(chances.shape, bool)
@@ -68,63 +82,106 @@ def _near(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _balanced(x: np.ndarray, graph: np.ndarray, parts: int, random: np.random.Generator) -> np.ndarray:
-    """A partition of the graph's vertices: median cuts along random directions, then label propagation under quotas."""
-    label = np.zeros(len(x), np.int64)
-    groups = [np.arange(len(x))]
-    while len(groups) < parts:
-        groups.sort(key=len)
-        largest = groups.pop()
-        order = largest[np.argsort(x[largest] @ random.normal(size=x.shape[1]))]
-        groups += [order[:len(order) // 2], order[len(order) // 2:]]
-    for i, g in enumerate(groups):
-        label[g] = i
-    size = np.bincount(label, minlength=parts)
-    quota = 1.1 * len(x) / parts
-    for _ in range(6):
+def _moved(label: np.ndarray, links: list[np.ndarray], most: float, rounds: int, random: np.random.Generator) -> np.ndarray:
+    """Label propagation: each vertex takes the commonest label of its links that has room below ``most``."""
+    label = label.copy()
+    size = np.bincount(label)
+    for _ in range(rounds):
         moved = 0
-        for v in random.permutation(len(x)):
-            votes = np.bincount(label[graph[v]], minlength=parts)
-            votes[(size >= quota) & (np.arange(parts) != label[v])] = -1
+        for v in random.permutation(len(label)):
+            names, votes = np.unique(label[links[v]], return_counts=True)
+            own = label[v]
+            room = (size[names] < most) | (names == own)
+            if not room.any():
+                continue
+            names, votes = names[room], votes[room]
             best = int(votes.argmax())
-            if votes[best] > votes[label[v]]:
-                size[label[v]] -= 1
-                size[best] += 1
-                label[v] = best
+            if names[best] != own and votes[best] > votes[names == own].sum():
+                size[own] -= 1
+                size[names[best]] += 1
+                label[v] = names[best]
                 moved += 1
-        if moved < len(x) / 100:
+        if moved < len(label) / 100:
             break
     return label
 
 
-def learn(x: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Router:
-    """The router from a sample of vectors."""
+def _balanced(unit: np.ndarray, graph: np.ndarray, parts: int, random: np.random.Generator) -> np.ndarray:
+    """A partition of the graph's vertices: communities, joined to parts along their links, refined under quotas."""
+    n = len(unit)
+    quota = 1.1 * n / parts
+    to = np.concatenate([graph.ravel(), np.repeat(np.arange(n), graph.shape[1])])
+    at = np.concatenate([np.repeat(np.arange(n), graph.shape[1]), graph.ravel()])
+    order = np.argsort(at, kind="stable")
+    links = np.split(to[order], np.cumsum(np.bincount(at, minlength=n))[:-1])
+    _, community = np.unique(_moved(np.arange(n), links, max(2.0, quota / 4), 8, random), return_inverse=True)
+    size = np.bincount(community)
+    middle = np.zeros((len(size), unit.shape[1]))
+    np.add.at(middle, community, unit)
+    middle = _unit(middle + 1e-12)
+    members = np.split(np.argsort(community, kind="stable"), np.cumsum(size)[:-1])
+    part = np.full(len(size), -1)
+    held = np.zeros(parts)
+    for p in range(parts):
+        free = part < 0
+        if not free.any():
+            break
+        pull, c = np.zeros(len(size)), int(np.where(free, size, -1).argmax())
+        total = np.zeros(unit.shape[1])
+        while True:
+            part[c], free[c] = p, False
+            held[p] += size[c]
+            total += size[c] * middle[c]
+            pull += np.bincount(community[np.concatenate([links[v] for v in members[c]])], minlength=len(size))
+            fits = free & (held[p] + size <= n / parts)
+            if not fits.any():
+                break
+            # Communities without links to the part come by direction.
+            score = pull / size + (middle @ total) / np.linalg.norm(total)
+            c = int(np.where(fits, score, -np.inf).argmax())
+    for c in np.flatnonzero(part < 0)[np.argsort(-size[part < 0], kind="stable")]:
+        p = int(held.argmin())
+        part[c] = p
+        held[p] += size[c]
+    return _moved(np.append(part[community], parts - 1), [*links, np.array([], int)], quota, 6, random)[:n]
+
+
+def learn(x: np.ndarray, parts: int, k: int, total: int | None = None, recall: float = RECALL) -> Router:
+    """The router from a sample of a table of ``total`` vectors.
+
+    The sample is thinner than the table, so the ``k`` nearest of a query there are taken for its share of them.
+    """
     random = np.random.default_rng(5)
-    if parts < 2 or len(x) <= max(k, GRAPH_DEGREE) + 1:
+    held = min(HELD_OUT, len(x) // 8)
+    if parts < 2 or len(x) - held <= max(k, GRAPH_DEGREE) + 1:
         return Router(np.zeros((x.shape[1] + 1, 1)))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    graph = _near(unit, np.arange(len(x)), GRAPH_DEGREE)
+    mixed = random.permutation(len(x))
+    fit, kept = x[mixed[held:]], mixed[:held]
+    unit = _unit(fit)
+    graph = _near(unit, np.arange(len(unit)), GRAPH_DEGREE)
     label = _balanced(unit, graph, parts, random)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.arange(len(x))[:, None], label[graph]), 1 / (2 * GRAPH_DEGREE))
-    target[np.arange(len(x)), label] += 0.5
-    inputs = np.column_stack([unit, np.ones(len(x))])
+    target = np.zeros((len(unit), parts))
+    np.add.at(target, (np.arange(len(unit))[:, None], label[graph]), 1 / (2 * GRAPH_DEGREE))
+    target[np.arange(len(unit)), label] += 0.5
+    landmarks = unit[random.choice(len(unit), min(LANDMARKS, len(unit)), replace=False)].T
+    floor = float(np.quantile(unit[:1024] @ landmarks, 0.8))
+    inputs = Router(np.zeros(0), 1, landmarks, floor).inputs(fit)
     weights, step, spread = np.zeros((inputs.shape[1], parts)), 0.0, 0.0
-    for i in range(1, 201):  # Adam
-        z = np.exp(inputs @ weights)
-        slope = inputs.T @ (z / z.sum(axis=1, keepdims=True) - target) / len(x)
+    for i in range(1, 301):  # Adam
+        rows = random.integers(len(inputs), size=min(2048, len(inputs)))
+        z = inputs[rows] @ weights
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        slope = inputs[rows].T @ (z / z.sum(axis=1, keepdims=True) - target[rows]) / len(rows)
         step, spread = 0.9 * step + 0.1 * slope, 0.99 * spread + 0.01 * slope**2
-        weights = weights - 0.2 * (step / (1 - 0.9**i)) / (np.sqrt(spread / (1 - 0.99**i)) + 1e-8)
-    router = Router(weights)
+        weights = weights - 0.1 * (step / (1 - 0.9**i)) / (np.sqrt(spread / (1 - 0.99**i)) + 1e-8)
+    router = Router(weights, parts, landmarks, floor)
     chances = router.chances(x)
     home = chances.argmax(axis=1)
-    queries = random.choice(len(x), min(512, len(x)), replace=False)
-    places = home[_near(x, queries, k)]
-    for level in np.linspace(0.3, 1.0, 71):
-        visit = router.routed(chances[queries], level)
-        if np.take_along_axis(visit, places, 1).mean() >= recall:
-            router.level = float(level)
-            break
+    share = max(4, ceil(k * min(1.0, len(x) / (total or len(x)))))
+    places = home[_near(x, kept, min(share, len(x) - 1))]
+    rank = np.argsort(np.argsort(-chances[kept], axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(rank, places, 1).ravel())
+    router.probes = 1 + int(needed[ceil(recall * len(needed)) - 1])
     return router
 
 
@@ -192,8 +249,8 @@ def nearest(
     picked = F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / total))
     sample = proper.where(picked).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * sample_rows)
     x = _matrix(sample.select("embedding").toArrow()["embedding"], size)
-    parts = int(np.clip(ceil(total / PARTITION_ROWS), 8, MOST_PARTITIONS))
-    router = learn(x, min(parts, max(1, len(x) // 50)), k)
+    parts = min(max(LEAST_PARTITIONS, ceil(total / PARTITION_ROWS)), max(1, len(x) // SAMPLE_PER_PARTITION))
+    router = learn(x, parts, k, total)
 
     def place(batches):
         for batch in batches:
@@ -211,7 +268,7 @@ def nearest(
             if batch.num_rows:
                 chances = router.chances(_matrix(batch.column("embedding"), size))
                 # A query may lie in one of its partitions itself.
-                row, part = np.nonzero(router.routed(chances, router.level, rows_held, k + 1))
+                row, part = np.nonzero(router.routed(chances, router.probes, rows_held, k + 1))
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(part.astype(np.int32))], ["vec_id", "embedding", "part"])
 
