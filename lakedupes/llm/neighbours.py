@@ -24,16 +24,16 @@ from lakedupes.staging import stage
 from lakedupes.unions import union
 
 # Vectors that partitions and classifier are learned from, at most: a share of the table by a hash of vec_id.
-SAMPLE_ROWS = 16_384
+SAMPLE_ROWS = 8_192
 # The number of partitions follows the table, as far as the sample can tell them apart.
-PARTITION_ROWS = 2_000
+PARTITION_ROWS = 1_000
 LEAST_PARTITIONS = 16
 SAMPLE_PER_PARTITION = 32
 BLOCK_ROWS = 4_096
 GRAPH_DEGREE = 10
 LANDMARKS = 256
 # Sample vectors kept out of the fit, and the recall on them that the calibration asks for.
-HELD_OUT = 768
+HELD_OUT = 512
 RECALL = 0.97
 
 
@@ -74,11 +74,11 @@ class Router:
 def _near(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     """The k other rows of ``x`` with the largest inner product, for each of ``rows``; in chunks."""
     found = []
-    for at in range(0, len(rows), 512):
-        own = rows[at:at + 512]
+    for at in range(0, len(rows), 64):
+        own = rows[at:at + 64]
         s = x[own] @ x.T
         s[np.arange(len(own)), own] = -np.inf
-        found.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+        found.append(np.argpartition(s, -k, axis=1)[:, -k:])
     return np.concatenate(found)
 
 
@@ -165,16 +165,13 @@ def learn(x: np.ndarray, parts: int, k: int, total: int | None = None, recall: f
     target[np.arange(len(unit)), label] += 0.5
     landmarks = unit[random.choice(len(unit), min(LANDMARKS, len(unit)), replace=False)].T
     floor = float(np.quantile(unit[:1024] @ landmarks, 0.8))
-    inputs = Router(np.zeros(0), 1, landmarks, floor).inputs(fit)
-    weights, step, spread = np.zeros((inputs.shape[1], parts)), 0.0, 0.0
+    router = Router(np.zeros((x.shape[1] + landmarks.shape[1] + 1, parts)), parts, landmarks, floor)
+    step = spread = 0.0
     for i in range(1, 301):  # Adam
-        rows = random.integers(len(inputs), size=min(2048, len(inputs)))
-        z = inputs[rows] @ weights
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        slope = inputs[rows].T @ (z / z.sum(axis=1, keepdims=True) - target[rows]) / len(rows)
+        rows = random.integers(len(fit), size=min(1024, len(fit)))
+        slope = router.inputs(fit[rows]).T @ (router.chances(fit[rows]) - target[rows]) / len(rows)
         step, spread = 0.9 * step + 0.1 * slope, 0.99 * spread + 0.01 * slope**2
-        weights = weights - 0.1 * (step / (1 - 0.9**i)) / (np.sqrt(spread / (1 - 0.99**i)) + 1e-8)
-    router = Router(weights, parts, landmarks, floor)
+        router.weights = router.weights - 0.1 * (1 - i / 400) * (step / (1 - 0.9**i)) / (np.sqrt(spread / (1 - 0.99**i)) + 1e-8)
     chances = router.chances(x)
     home = chances.argmax(axis=1)
     share = max(4, ceil(k * min(1.0, len(x) / (total or len(x)))))
