@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakedupes.llm import neighbours
-from lakedupes.llm.neighbours import PARTITION_ROWS, SAMPLE_ROWS, Router, learn, nearest
+from lakedupes.llm.neighbours import LEAST_PARTITIONS, PARTITION_ROWS, SAMPLE_ROWS, Router, learn, nearest
 
 VECTORS = "vec_id long, embedding array<double>"
 
@@ -54,7 +54,7 @@ def test_queries_are_routed(spread):
     middle = r.normal(size=(200, 64))
     middle /= np.linalg.norm(middle, axis=1, keepdims=True)
     x = middle[r.integers(200, size=40_000)] + spread * r.normal(size=(40_000, 64))
-    router = learn(x[r.permutation(len(x))[:SAMPLE_ROWS]], len(x) // PARTITION_ROWS, 20, len(x))
+    router = learn(x[r.permutation(len(x))[:SAMPLE_ROWS]], max(LEAST_PARTITIONS, len(x) // PARTITION_ROWS), 20, len(x))
     home = router.chances(x).argmax(axis=1)
     held = np.bincount(home, minlength=router.weights.shape[1])
     queries = np.arange(0, len(x), 40)
