@@ -27,7 +27,7 @@ from lakedupes.unions import union
 SAMPLE_ROWS = 8_192
 # The number of partitions follows the table, as far as the sample can tell them apart.
 PARTITION_ROWS = 4_000
-LEAST_PARTITIONS = 16
+LEAST_PARTITIONS = 32
 SAMPLE_PER_PARTITION = 32
 BLOCK_ROWS = 4_096
 GRAPH_DEGREE = 10

@@ -72,7 +72,7 @@ def test_partitions_follow_the_table(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "learn", lambda x, parts, k, total: asked.append((len(x), parts, total)) or learn(x[:50], 1, k))
     monkeypatch.setattr(neighbours, "PARTITION_ROWS", 40)
     monkeypatch.setattr(neighbours, "SAMPLE_PER_PARTITION", 8)
-    for n in (300, 1200):
+    for n in (300, 2400):
         x = np.random.default_rng(n).normal(size=(n, 8))
         nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS), F.col("vec_id") % 100 == 0, 5).collect()
-    assert asked == [(300, 16, 300), (1200, 30, 1200)]
+    assert asked == [(300, 32, 300), (2400, 60, 2400)]
