@@ -8,7 +8,8 @@ import lakedupes as ld
 from lakedupes.schema import LISTING
 from lakedupes.sinks.tables import read_snapshot, write_snapshot
 from lakedupes.streaming.upkeep import fold_changes, follow, listing_stream, log_changes
-from tests.conftest import rows
+from lakedupes.streaming.runs import PAGES, log_missing, with_pages
+from tests.conftest import Bag, rows
 
 EVENTS = T.StructType([*LISTING, T.StructField("deleted", T.BooleanType())])
 
@@ -71,3 +72,48 @@ def test_end_to_end(spark, make, tmp_path):
     assert rows(ld.scan_stats(index)) == [(7, 40, 2, 3, 19)]
     assert len(rows(ld.report_rows(ld.all_duplicates(index)))) == 5
     assert len(rows(ld.delete_plan(index))) == 3
+
+
+def test_intervals_of_pages():
+    assert with_pages([], [], [3, 1, 0]) == ([0, 3], [1, 3])
+    assert with_pages([0, 3], [1, 3], [2, 2, 0]) == ([0], [3])
+
+
+def listing_page(spark, path, run, day, number, last, *keys):
+    started = dt.datetime(2024, 1, day)
+    full = [("b", k, 1, "e", started, run, started, number, last) for k in keys]
+    spark.createDataFrame(full, PAGES).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_end_of_listing(spark, make, tmp_path):
+    pages, out, point = (str(tmp_path / n) for n in ("pages", "out", "c"))
+    index = make.objects(*[(k, 1, "e") for k in ("a", "d", "e", "gone", "lost")],
+                         ("young", 1, "e", False, None, dt.datetime(2024, 1, 9)), ("gone", 1, "e", False, None, dt.datetime(2024, 1, 1), "other"))
+    media = make.media(*[(k, "A", "S") for k in ("a", "gone")])
+
+    def follow_on() -> list[tuple]:
+        query = log_missing(spark, pages, lambda: index, out, point)
+        query.awaitTermination()
+        return [r for n in range(query.lastProgress["batchId"] + 1 if query.lastProgress else 0)
+                for r in rows(read_snapshot(spark, out, n), "bucket", "key", "last_modified", "deleted")]
+
+    # The last page comes before the first; nothing is known to be missing yet.
+    listing_page(spark, pages, "r1", 2, 2, True, "e")
+    listing_page(spark, pages, "r1", 2, 0, False, "a", "a", "lost")
+    listing_page(spark, pages, "r2", 3, 0, False, "a")
+    assert follow_on() == []
+    # A page comes again; then a late page without objects completes the run.
+    listing_page(spark, pages, "r1", 2, 0, False, "a", "lost")
+    listing_page(spark, pages, "r1", 2, 1, False, None)
+    want = [("b", k, dt.datetime(2024, 1, 2), True) for k in ("d", "gone")]
+    assert Bag(follow_on()) == want
+    # Pages repeated after the end do not end it again; the second run completes later and lists less.
+    listing_page(spark, pages, "r1", 2, 1, False, None)
+    listing_page(spark, pages, "r2", 3, 1, True, "d")
+    later = [("b", k, dt.datetime(2024, 1, 3), True) for k in ("e", "gone", "lost")]
+    assert Bag(follow_on()) == [*want, *later]
+
+    changes = spark.read.parquet(f"{out}/*").distinct()
+    objects, tags = fold_changes(index, media, changes)
+    assert rows(objects, "bucket", "key") == [("b", "a"), ("b", "young"), ("other", "gone")]
+    assert rows(tags, "key") == ["a"]
