@@ -152,7 +152,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 _CONTEXT = "bucket long, doc_id long, pack binary, gone binary"
-_COLUMNS = ["key", "doc_id", "firsts", "starts", "context"]
+_COLUMNS = ["doc_id", "firsts", "context"]
 
 
 def _write(table: pa.RecordBatch) -> bytes:
@@ -194,7 +194,7 @@ def _contexts(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             raw = data.tobytes()
             context = [raw[a:b] for a, b in zip(first[head].tolist(), (first[head] + starts[head] + length - 1).tolist(), strict=True)]
             found = pa.RecordBatch.from_arrays(
-                [pa.array(key[head]), pa.array(doc[head]), lists, pa.array(starts[head].astype(np.int32)), pa.array(context, pa.binary())], _COLUMNS
+                [pa.array(doc[head]), lists, pa.array(context, pa.binary())], _COLUMNS
             )
             bucket = key[head] % buckets
             order = np.argsort(bucket, kind="stable")
@@ -239,22 +239,33 @@ def _owned(table: pa.Table, length: int) -> pa.Table:
         return settled
     table = pa.concat_tables(packs).combine_chunks()
     doc = table["doc_id"].to_numpy()
-    starts = table["starts"].to_numpy().astype(np.int64)
-    data, offsets = text_buffer(table["context"].combine_chunks())
-    order = two_stage_order(data, np.diff(offsets), starts, length)
+    # Equal contexts of several tasks are sorted once, for the least of their documents.
+    encoded = table["context"].combine_chunks().dictionary_encode()
+    code = encoded.indices.to_numpy()
+    data, offsets = text_buffer(encoded.dictionary)
+    size = np.diff(offsets)
+    owner = np.full(len(size), np.iinfo(np.int64).max)
+    np.minimum.at(owner, code, doc)
+    order = two_stage_order(data, size, size - length + 1, length)
     prefix = common_prefixes(data, order, length)
     head = np.flatnonzero(prefix < length)
     context = np.searchsorted(offsets, order, "right") - 1
-    least = np.minimum.reduceat(doc[context], head) if len(head) else doc[:0]
-    repeat = np.repeat(least, np.diff(np.append(head, len(order)))) < doc[context]
-    context, at = context[repeat], (order - offsets[context])[repeat]
-    # Once for every place of the context in its document.
+    least = np.minimum.reduceat(owner[context], head) if len(head) else doc[:0]
+    repeat = np.repeat(least, np.diff(np.append(head, len(order)))) < owner[context]
+    order, context = order[repeat], context[repeat]
+    by_context = np.argsort(context, kind="stable")
+    at, found = (order - offsets[context])[by_context], np.searchsorted(context[by_context], np.arange(len(size) + 1))
+    # Once for every place of the context in its document: where a smaller document has the context too, all of it is a repeat.
     firsts = table["firsts"].combine_chunks()
-    places, bound = firsts.flatten().to_numpy(), firsts.offsets.to_numpy()
-    times = (bound[1:] - bound[:-1])[context]
-    index = np.repeat(bound[context] - np.cumsum(times) + times, times) + np.arange(times.sum())
-    begin = places[index] + np.repeat(at, times)
-    gone = _spans(np.repeat(doc[context], times), begin, begin + length)
+    row = np.repeat(np.arange(len(doc)), firsts.value_lengths().to_numpy())
+    places = firsts.flatten().to_numpy().astype(np.int64)
+    copy = (doc > owner[code])[row]
+    whole, mine = row[copy], row[~copy]
+    times = np.diff(found)[code[mine]]
+    index = np.repeat(found[code[mine]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    begin = np.concatenate((places[copy], np.repeat(places[~copy], times) + at[index]))
+    end = np.concatenate((places[copy] + size[code[whole]], begin[len(whole):] + length))
+    gone = _spans(np.concatenate((doc[whole], np.repeat(doc[mine], times))), begin, end)
     new = pa.table([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.binary())], ["doc_id", "gone"])
     return pa.concat_tables([settled.cast(new.schema), new])
 
