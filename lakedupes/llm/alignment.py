@@ -193,17 +193,23 @@ class Chunks:
         """Align new chunks, all in one sweep: their ends coincide, so no group crosses from one to the next."""
         n, sides = len(chunks), []
         exact = np.ones(n, bool)
-        for encoder in self.encoders:
+        given = [b" " + c.encode() for c in chunks]
+        widths, whole = np.fromiter(map(len, given), np.int64, n), b"".join(given)
+        for encoder, size in zip(self.encoders, self.sizes, strict=True):
             found = encoder.encode(chunks)
+            # All at once: where the bytes of all ids are those of all chunks and each has its share, each chunk is exact.
+            count = np.fromiter(map(len, found), np.int64, n)
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(count.sum()))
             names = encoder.bytes
-            exact &= [b"".join([names[i] for i in ids]) == b" " + c.encode() for ids, c in zip(found, chunks, strict=True)]
-            sides.append(found)
+            ends = np.concatenate(([0], np.cumsum(size[flat])))[np.cumsum(count)]
+            if not (np.array_equal(np.diff(ends, prepend=0), widths) and b"".join(map(names.__getitem__, flat.tolist())) == whole):
+                exact &= [b"".join([names[i] for i in ids]) == t for ids, t in zip(found, given, strict=True)]
+            sides.append((count, flat))
         flat = []
-        for found in sides:
-            for k in np.flatnonzero(~exact).tolist():
-                found[k] = []
-            count = np.fromiter(map(len, found), np.int64, n)
-            flat.append((np.fromiter(itertools.chain.from_iterable(found), np.int64, int(count.sum())), np.cumsum(count)))
+        for count, ids in sides:
+            if not exact.all():
+                ids, count = ids[np.repeat(exact, count)], np.where(exact, count, 0)
+            flat.append((ids, np.cumsum(count)))
         (ids_a, to_a), (ids_b, to_b) = flat
         ends = [np.cumsum(size[ids]).tolist() for size, ids in zip(self.sizes, (ids_a, ids_b), strict=True)]
         ends_a, ends_b = common_ends(*ends)
