@@ -27,15 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakedupes.llm.batches import lists, slices
+from lakedupes.llm.batches import lists, slices, text_buffer
 from lakedupes.llm.piece_tokens import load as load_pieces
 from lakedupes.operators.groups import join_groups
 from lakedupes.staging import stage
 
 # Distinct chunks that a task keeps before it starts its tables again.
 TABLE_CHUNKS = 200_000
-# A cut before a space with one of these behind it is a cut of either tokenizer's own first step.
-_CUT = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+# Chunks that are encoded as one text.
+JOINED = 100
+# A cut before a space with one of [!-~À-ɏ] on either side is a cut of either tokenizer's own first step: see ``_cuts``. Chunks that
+# begin and end with one of these can be joined by spaces and are cut there again.
+_JOINABLE = re.compile(r"[!-~À-ɏ](?:.*[!-~À-ɏ])?\Z", re.DOTALL)
 _MARK = "▁"
 
 
@@ -61,9 +64,27 @@ class ByteTokens:
         size = self.model.get_vocab_size()
         names = [self.model.id_to_token(i) for i in range(size)]
         self.bytes = [n.encode() if i in special else bytes(letters[c] for c in n) for i, n in enumerate(names)]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
     def encode(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
+        """Ids of each chunk. Chunks that can be joined are encoded many at a time, and the ids dealt out by their bytes."""
+        joined = [c for c in chunks if _JOINABLE.match(c)]
+        found = self._each([" ".join(joined[k:k + JOINED]) for k in range(0, len(joined), JOINED)])
+        flat = list(itertools.chain.from_iterable(found))
+        ends = np.cumsum(self.sizes[np.array(flat, np.int64)])
+        want = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in joined), np.int64, len(joined)))
+        upto = np.searchsorted(ends, want) + 1
+        if not len(joined) or upto[-1] != len(ends) or not np.array_equal(ends[upto - 1], want):
+            return self._each(chunks)
+        cuts = [0, *upto.tolist()]
+        shares = (flat[a:b] for a, b in itertools.pairwise(cuts))
+        if len(joined) == len(chunks):
+            return list(shares)
+        alone = iter(self._each([c for c in chunks if not _JOINABLE.match(c)]))
+        return [next(shares) if _JOINABLE.match(c) else next(alone) for c in chunks]
 
 
 class PieceTokens:
@@ -163,6 +184,27 @@ def _group_pairs(
     return np.repeat(group_a, fan), np.repeat(a, fan) * width + b[other], np.repeat(times_a, fan) * times_b[other]
 
 
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of the spaces with one of ``[!-~À-ɏ]`` on either side in their text; À-ɏ are C3 80 to C9 8F in UTF-8."""
+    padded = np.concatenate((np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)))
+    inner = np.ones(len(data) + 1, bool)
+    inner[offsets] = False  # no first byte of a text
+    place = np.flatnonzero(data == 0x20)
+    place = place[inner[place] & inner[place + 1]]
+    before, lead = padded[place + 1], padded[place]
+    after, trail = padded[place + 3], padded[place + 4]
+    plain = lambda b: (b > 0x20) & (b < 0x7F)
+    wide = lambda b, c: (b >= 0xC3) & (b <= 0xC8) | (b == 0xC9) & (c <= 0x8F)
+    return place[(plain(before) | (before >= 0x80) & wide(lead, before)) & (plain(after) | wide(after, trail))]
+
+
+def _distinct(sorted_values: np.ndarray) -> np.ndarray:
+    """Places where a new value begins."""
+    new = np.ones(len(sorted_values), bool)
+    new[1:] = sorted_values[1:] != sorted_values[:-1]
+    return np.flatnonzero(new)
+
+
 def _at(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of runs of ``sizes`` that start at ``starts``, one run after the other."""
     upto = np.cumsum(sizes)
@@ -182,7 +224,7 @@ class Chunks:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.groups: list[str] = []
         self.exact = np.zeros(0, bool)  # whether the bytes of the ids of both sides are those of the chunk
         self.facts = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, links
@@ -218,7 +260,7 @@ class Chunks:
         of = owner[group]  # rises; a pair that several groups of a chunk link stays in several rows
         counts = np.bincount(of, minlength=n)
         links = np.bincount(of, times, n).astype(np.int64)
-        self.index.update(zip(chunks, range(len(self.index), len(self.index) + n), strict=True))
+        self.index.update(zip((g[1:] for g in given), range(len(self.index), len(self.index) + n), strict=True))
         self.groups += self._texts(ids_a, ids_b, ends_a, ends_b, to_a + to_b)
         self.exact = np.concatenate((self.exact, exact))
         facts = np.stack((np.diff(to_a, prepend=0), np.diff(to_b, prepend=0), np.bincount(owner, minlength=n), links))
@@ -244,15 +286,19 @@ class Chunks:
     def block(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray | list | pa.Array], np.ndarray, np.ndarray]:
         """Facts of each text; the distinct pair codes of the block, and in how many of its texts each is."""
         n = len(texts)
-        pieces: list[str] = []
+        pieces: list[bytes] = []
         upto = [0]
-        for text in texts:
-            if text:
-                pieces += _CUT.split(text)
+        data, offsets = text_buffer(pa.array(texts, pa.large_string()))
+        marked = data.copy()
+        marked[_cuts(data, offsets)] = 0xFF  # a byte that UTF-8 has not
+        marked = marked.tobytes()
+        for a, b in itertools.pairwise(offsets.tolist()):
+            if b > a:
+                pieces += marked[a:b].split(b"\xff")
             upto.append(len(pieces))
         new = set(pieces).difference(self.index)
         if new:
-            self.add(list(new))
+            self.add([c.decode() for c in new])
         codes = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         owner = np.repeat(np.arange(n), np.diff(upto))
         whole = np.bincount(owner, ~self.exact[codes], n) == 0
@@ -266,14 +312,31 @@ class Chunks:
         lines = ("".join(map(get, order[a:b]))[:-1] for a, b in zip(cuts, cuts[1:], strict=False))
         facts["groups_sha256"] = [hashlib.sha256(line.encode()).hexdigest() if line else "" for line in lines]
         # Pairs of each text, with how often they are linked: chunks first, then the pairs of each.
-        chunk, repeats = np.unique(owner * max(1, len(self.groups)) + codes, return_counts=True)
-        owner, chunk = chunk // max(1, len(self.groups)), chunk % max(1, len(self.groups))
+        whole = np.sort(owner * max(1, len(self.groups)) + codes)
+        head = _distinct(whole)
+        repeats = np.diff(np.append(head, len(whole)))
+        owner, chunk = whole[head] // max(1, len(self.groups)), whole[head] % max(1, len(self.groups))
+        # The block's distinct pairs are numbered once for each of its distinct chunks.
+        held = np.zeros(len(self.groups), bool)
+        held[chunk] = True
+        known = np.flatnonzero(held)
+        at = _at(self.starts[known], self.counts[known])
+        order = np.argsort(self.pairs[at])
+        ranked = self.pairs[at][order]
+        head = _distinct(ranked)
+        pairs = ranked[head]
+        local = np.empty(len(at), np.int64)
+        local[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(ranked))))
+        first = np.zeros(len(self.groups), np.int64)
+        first[known] = np.cumsum(self.counts[known]) - self.counts[known]
         sizes = self.counts[chunk]
-        at = _at(self.starts[chunk], sizes)
-        pairs = np.unique(self.pairs[at])
-        keys = np.repeat(owner, sizes) * max(1, len(pairs)) + np.searchsorted(pairs, self.pairs[at])
-        key = np.unique(keys)
-        times = np.bincount(np.searchsorted(key, keys), self.times[at] * np.repeat(repeats, sizes), len(key)).astype(np.int64)
+        places = _at(first[chunk], sizes)
+        keys = np.repeat(owner, sizes) * max(1, len(pairs)) + local[places]
+        linked = self.times[at][places] * np.repeat(repeats, sizes)
+        order = np.argsort(keys)
+        key = keys[order]
+        head = _distinct(key)
+        key, times = key[head], np.add.reduceat(linked[order], head) if len(head) else linked
         owner, code = key // max(1, len(pairs)), key % max(1, len(pairs))
         facts["codes"], facts["times"] = lists(code.astype(np.int32), owner, n, pa.int32()), lists(times, owner, n, pa.int64())
         return facts, pairs, np.bincount(code, minlength=len(pairs))
