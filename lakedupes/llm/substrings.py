@@ -3,12 +3,13 @@
 Suffixes are sorted in buckets that hold all equal strings together. Of the sixteen-byte grams inside a string
 of fifty bytes, the one with the least hash is its anchor: equal strings have equal anchors at the same place, and a
 document has an anchor about every eighteen bytes. Anchors that occur in one document only are dropped by
-their hashes. Around the others, the strings of each anchor are a short context; contexts of an
+their hashes: documents are dealt into blocks, a block sends the sorted hashes of its anchors to the buckets, one pack per bucket, and
+gets one bit back for each. Around the others, the strings of each anchor are a short context; contexts of an
 anchor meet in one bucket, where their suffixes are put in order by two-stage sorting and
 neighbours with a common prefix of fifty bytes are equal strings.
 
-What a task sees twice is settled there: of equal contexts, only that of the least document
-travels, the others are repeats already. So a passage in a third of all documents reaches a bucket once per task.
+What a block sees twice is settled there: of equal contexts, only that of the least document
+travels, the others are repeats already. So a passage in a third of all documents reaches a bucket once per block.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from lakedupes.llm.batches import mix, range_hashes, slices, text_buffer
 from lakedupes.llm.suffix_sort import common_prefixes, two_stage_order
 from lakedupes.operators.groups import shuffle_partitions
-from lakedupes.unions import union
 
 LENGTH = 50
 GRAM = 16
 FLUSH_BYTES = 4_000_000
-BUCKET_BYTES = 4_000_000  # of text per bucket of anchors
-_MANY = -(2**63)  # stands for several documents of a task
+BUCKET_BYTES = 4_000_000  # of text per block of documents and per bucket of contexts
+PROOF_BYTES = 64_000_000  # of text per bucket of anchors
+ANCHOR_BYTES = 250_000  # of text whose anchors are found at once, so that the arrays stay in the cache
+KEY_BITS = 48
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -41,81 +43,94 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-def _shift(a: np.ndarray, k: int, fill: int = 0) -> np.ndarray:
-    return np.concatenate((a[k:], np.full(min(k, len(a)), fill, a.dtype)))
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, key, first, starts): runs of consecutive strings with one anchor. ``first`` is the position of the first
-    string, ``starts`` their number, ``key`` a hash of the anchor of 48 bits."""
+    string, ``starts`` their number, ``key`` a hash of the anchor of ``KEY_BITS`` bits."""
+    found, at = [], 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + ANCHOR_BYTES, "right")) - 1)
+        begin = offsets[at]
+        text, key, first, starts = _anchors_of(data[begin:offsets[end]], offsets[at:end + 1] - begin, length)
+        found.append((text + at, key, first + begin, starts))
+        at = end
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate((none, *part)) for part in zip(*found, strict=True)) if found else (none,) * 4
+
+
+def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if len(data) < length:
+        return (np.zeros(0, np.int64),) * 4
     grams = data.astype(np.uint64) + np.uint64(1)
     power = _BASE
     width = 1
     while width < GRAM:
-        grams = grams * np.uint64(power) + _shift(grams, width)
+        grams = grams[:-width] * np.uint64(power) + grams[width:]
         power = power * power % 2**64
         width *= 2
     grams = mix(grams)
     # The least hash, and at equal hashes the first place, in every window of grams.
     place = np.arange(len(grams), dtype=np.uint64)
-    low = (grams & np.uint64(0xFFFFFFFF00000000)) | place
-    least, span, window = low, 1, length - GRAM + 1
+    least, span, window = (grams & np.uint64(0xFFFFFFFF00000000)) | place, 1, length - GRAM + 1
     while span * 2 <= window:
-        least = np.minimum(least, _shift(least, span, 2**64 - 1))
+        least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < window:
-        least = np.minimum(least, _shift(least, window - span, 2**64 - 1))
-    size = np.diff(offsets)
-    text = np.repeat(np.arange(len(size)), size)
-    start = np.flatnonzero(np.arange(len(data)) + length <= np.repeat(offsets[1:], size))
+        least = np.minimum(least[:span - window], least[window - span:])
+    end = np.repeat(offsets[1:], np.diff(offsets))[:len(least)]
+    start = np.flatnonzero(np.arange(len(least)) + length <= end)
     at = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # A run also ends where the text does, so that no context reaches over.
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (np.diff(start) != 1)
     head = np.flatnonzero(new)
     starts = np.diff(np.append(head, len(start)))
-    return text[start[head]], (grams[at[head]] >> np.uint64(16)).astype(np.int64), start[head], starts
+    first = start[head]
+    # Anchors have small hashes; mixed again, keys are spread evenly.
+    key = (mix(grams[at[head]]) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+    return np.searchsorted(offsets, first, "right") - 1, key, first, starts
 
 
-def _proofs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, doc_id, pack): by bucket, the anchors of one task's documents (doc_id null); for a document, those that
-    others of its task have too (bucket null)."""
+def _proof_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The first of the sorted keys in each bucket, and their number; a bucket is a range of keys."""
+    return np.searchsorted(keys, [-(-(i << KEY_BITS) // buckets) for i in range(buckets + 1)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", FLUSH_BYTES):
-            data, offsets = text_buffer(part.column("text"))
-            text, key, _, _ = anchors(data, offsets, length)
-            doc = part.column("doc_id").to_numpy(zero_copy_only=False)[text] if len(text) else np.zeros(0, np.int64)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            once = np.ones(len(key), bool)
-            once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, doc = key[once], doc[once]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            several = np.diff(np.append(np.flatnonzero(new), len(key))) > 1
-            shared = np.repeat(several, np.diff(np.append(np.flatnonzero(new), len(key))))
-            rows: list[tuple[int | None, int | None, bytes]] = []
-            known, owner = key[shared], doc[shared]
-            by_doc = np.argsort(owner, kind="stable")
-            known, owner = known[by_doc], owner[by_doc]
-            for a, b in _runs(owner):
-                rows.append((None, int(owner[a]), _pack(known[a:b])))
-            proof_key = np.concatenate((key[~shared], key[new & shared]))
-            proof_doc = np.concatenate((doc[~shared], np.full(int((new & shared).sum()), _MANY)))
-            bucket = proof_key % buckets
-            by_bucket = np.lexsort((proof_doc, bucket))
-            proof_key, proof_doc, bucket = proof_key[by_bucket], proof_doc[by_bucket], bucket[by_bucket]
-            for a, b in _runs(bucket):
-                # Byte by byte, so that what is equal in many numbers lies together.
-                planes = [np.ascontiguousarray(x[a:b].view(np.uint8).reshape(-1, 8).T) for x in (proof_key, proof_doc)]
-                rows.append((int(bucket[a]), None, _pack(*planes)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                ["bucket", "doc_id", "pack"],
-            )
 
-    return docs.mapInArrow(run, "bucket long, doc_id long, pack binary")
+class _Block:
+    """The anchors of a block of documents, and its different keys, sorted; ``several`` where more than one document has the key."""
+
+    def __init__(self, table: pa.Table, length: int):
+        self.ids = table["doc_id"].to_numpy()
+        texts = pa.array([zstandard.decompress(t) for t in table["text"].to_pylist()], pa.large_binary())
+        self.data, self.offsets = text_buffer(texts)
+        self.runs = anchors(self.data, self.offsets, length)
+        text, key = self.runs[:2]
+        doc = self.ids[text]
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        head = np.flatnonzero(new)
+        self.keys = key[head]
+        self.several = np.zeros(0, bool)
+        if len(head):
+            self.several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+        self.number = np.empty(len(key), np.int64)  # of each anchor's key
+        self.number[order] = np.cumsum(new) - 1
+
+
+def _proofs(table: pa.Table, length: int, buckets: int) -> pa.Table:
+    """(block, bucket, pack): the keys of a block, and whether several of its documents have them, by bucket."""
+    block = _Block(table, length)
+    marked = block.keys << 1 | block.several
+    bounds = _proof_buckets(block.keys, buckets).tolist()
+    found = []
+    for bucket, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if b > a:
+            # Byte by byte, so that the high bytes, which are zero, lie together.
+            planes = np.diff(marked[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T
+            found.append((bucket, _pack(np.ascontiguousarray(planes))))
+    number = table["block"][0].as_py()
+    return pa.table([pa.array([number] * len(found), pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["block", "bucket", "pack"])
 
 
 def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
@@ -128,27 +143,21 @@ def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """(doc_id, pack): of one bucket's anchors, those of several documents, by document."""
-    keys, docs = [], []
+    """(block, bucket, shared): of one bucket, a bit for each key of a block: whether several documents have it."""
+    packs = []
     for pack in table["pack"].to_pylist():
-        planes = np.frombuffer(zstandard.decompress(pack), np.uint8).reshape(2, 8, -1)
-        keys.append(np.ascontiguousarray(planes[0].T).view(np.int64).ravel())
-        docs.append(np.ascontiguousarray(planes[1].T).view(np.int64).ravel())
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    ids, packs = [], []
-    if len(key):
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        several = (np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)) | (np.minimum.reduceat(doc, head) == _MANY)
-        shared = np.repeat(several, np.diff(np.append(head, len(key)))) & (doc != _MANY)
-        key, doc = key[shared], doc[shared]
-        order = np.argsort(doc, kind="stable")
-        key, doc = key[order], doc[order]
-        for a, b in _runs(doc):
-            ids.append(int(doc[a]))
-            packs.append(_pack(key[a:b]))
-    return pa.table([pa.array(ids, pa.int64()), pa.array(packs, pa.binary())], ["doc_id", "pack"])
+        planes = np.frombuffer(zstandard.decompress(pack), np.uint8).reshape(8, -1)
+        packs.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel()))
+    marked = np.concatenate(packs)
+    order = np.argsort(marked)  # by key first
+    key = marked[order] >> 1
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    times = np.diff(np.append(head, len(key)))
+    shared = np.empty(len(key), bool)
+    shared[order] = np.repeat((times > 1) | (np.maximum.reduceat(marked[order] & 1, head) > 0), times)
+    cuts = np.cumsum([len(p) for p in packs])[:-1]
+    bits = [np.packbits(part).tobytes() for part in np.split(shared, cuts)]
+    return table.select(["block", "bucket"]).append_column("shared", pa.array(bits, pa.binary()))
 
 
 _CONTEXT = "bucket long, doc_id long, pack binary, gone binary"
@@ -163,55 +172,52 @@ def _write(table: pa.RecordBatch) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def _contexts(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Contexts of shared anchors, each different one once with its least document in the task, packed by bucket; and, in
-    ``gone``, the repeats that the task settles, on their way with any bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(_unpacked(batches), "text", FLUSH_BYTES):
-            data, offsets = text_buffer(part.column("text"))
-            text, key, first, starts = anchors(data, offsets, length)
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            wanted = np.zeros(len(text), bool)
-            bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
-            for i, packs in enumerate(part.column("packs").to_pylist()):
-                shared = np.concatenate([np.frombuffer(zstandard.decompress(p), np.int64) for p in packs])
-                wanted[bounds[i]:bounds[i + 1]] = np.isin(key[bounds[i]:bounds[i + 1]], shared)
-            text, key, first, starts = text[wanted], key[wanted], first[wanted], starts[wanted]
-            content = range_hashes(data, first, first + starts + length - 1).view(np.int64)
-            doc = ids[text] if len(text) else np.zeros(0, np.int64)
-            order = np.lexsort((first, doc, content, key))
-            text, key, first, starts, content, doc = (x[order] for x in (text, key, first, starts, content, doc))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-            head = np.flatnonzero(new)
-            least = doc[head][np.cumsum(new) - 1] if len(head) else doc
-            gone = _spans(doc[doc > least], (first - offsets[text])[doc > least], (first - offsets[text] + starts + length - 1)[doc > least])
-            mine = doc == least
-            local = (first - offsets[text])[mine]
-            count = np.add.reduceat(mine.astype(int), head) if len(head) else np.zeros(0, int)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(local, pa.int32()))
-            raw = data.tobytes()
-            context = [raw[a:b] for a, b in zip(first[head].tolist(), (first[head] + starts[head] + length - 1).tolist(), strict=True)]
-            found = pa.RecordBatch.from_arrays(
-                [pa.array(doc[head]), lists, pa.array(context, pa.binary())], _COLUMNS
-            )
-            bucket = key[head] % buckets
-            order = np.argsort(bucket, kind="stable")
-            bucket, found = bucket[order], found.take(pa.array(order))
-            packs = [(int(bucket[a]), _write(found.slice(a, b - a))) for a, b in _runs(bucket)]
-            n, m = len(packs), len(gone)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*[p[0] for p in packs], *[g[0] % buckets for g in gone]], pa.int64()),
-                    pa.array([*[None] * n, *[g[0] for g in gone]], pa.int64()),
-                    pa.array([*[p[1] for p in packs], *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *[g[1] for g in gone]], pa.binary()),
-                ],
-                ["bucket", "doc_id", "pack", "gone"],
-            )
-
-    return texts.mapInArrow(run, _CONTEXT)
+def _contexts(table: pa.Table, bits: pa.Table, length: int, proof_buckets: int, buckets: int) -> pa.Table:
+    """Contexts of a block's shared anchors, each different one once with its least document in the block, packed by bucket; and, in
+    ``gone``, the repeats that the block settles, on their way with any bucket."""
+    if not table.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["bucket", "doc_id", "pack", "gone"])
+    block = _Block(table, length)
+    data, offsets, ids = block.data, block.offsets, block.ids
+    known = block.several.copy()
+    bounds = _proof_buckets(block.keys, proof_buckets).tolist()
+    for bucket, shared in zip(bits["bucket"].to_pylist(), bits["shared"].to_pylist(), strict=True):
+        a, b = bounds[bucket:bucket + 2]
+        known[a:b] |= np.unpackbits(np.frombuffer(shared, np.uint8), count=b - a).astype(bool)
+    wanted = known[block.number]
+    text, key, first, starts = (x[wanted] for x in block.runs)
+    content = range_hashes(data, first, first + starts + length - 1).view(np.int64)
+    doc = ids[text]
+    order = np.lexsort((first, doc, content, key))
+    text, key, first, starts, content, doc = (x[order] for x in (text, key, first, starts, content, doc))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    head = np.flatnonzero(new)
+    least = doc[head][np.cumsum(new) - 1] if len(head) else doc
+    gone = _spans(doc[doc > least], (first - offsets[text])[doc > least], (first - offsets[text] + starts + length - 1)[doc > least])
+    mine = doc == least
+    local = (first - offsets[text])[mine]
+    count = np.add.reduceat(mine.astype(int), head) if len(head) else np.zeros(0, int)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(local, pa.int32()))
+    raw = data.tobytes()
+    context = [raw[a:b] for a, b in zip(first[head].tolist(), (first[head] + starts[head] + length - 1).tolist(), strict=True)]
+    found = pa.RecordBatch.from_arrays(
+        [pa.array(doc[head]), lists, pa.array(context, pa.binary())], _COLUMNS
+    )
+    bucket = key[head] % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket, found = bucket[order], found.take(pa.array(order))
+    packs = [(int(bucket[a]), _write(found.slice(a, b - a))) for a, b in _runs(bucket)]
+    n, m = len(packs), len(gone)
+    return pa.table(
+        [
+            pa.array([*[p[0] for p in packs], *[g[0] % buckets for g in gone]], pa.int64()),
+            pa.array([*[None] * n, *[g[0] for g in gone]], pa.int64()),
+            pa.array([*[p[1] for p in packs], *[None] * m], pa.binary()),
+            pa.array([*[None] * n, *[g[1] for g in gone]], pa.binary()),
+        ],
+        ["bucket", "doc_id", "pack", "gone"],
+    )
 
 
 def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +232,15 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
     """For each document its merged spans, packed."""
-    order = np.argsort(doc, kind="stable")
-    doc, begin, end = doc[order], begin[order], end[order]
-    return [(int(doc[a]), np.concatenate(_merged(begin[a:b], end[a:b])).astype(np.int64).tobytes()) for a, b in _runs(doc)]
+    if not len(doc):
+        return []
+    # Documents are laid out one after the other, so that all are merged at once.
+    ids, number = np.unique(doc, return_inverse=True)
+    room = int(end.max()) + 1
+    begin, end = _merged(begin + number * room, end + number * room)
+    number = begin // room
+    begin, end = begin - number * room, end - number * room
+    return [(int(ids[number[a]]), np.concatenate((begin[a:b], end[a:b])).astype(np.int64).tobytes()) for a, b in _runs(number)]
 
 
 def _owned(table: pa.Table, length: int) -> pa.Table:
@@ -249,7 +261,7 @@ def _owned(table: pa.Table, length: int) -> pa.Table:
     order = two_stage_order(data, size, size - length + 1, length)
     prefix = common_prefixes(data, order, length)
     head = np.flatnonzero(prefix < length)
-    context = np.searchsorted(offsets, order, "right") - 1
+    context = np.repeat(np.arange(len(size)), size)[order]
     least = np.minimum.reduceat(owner[context], head) if len(head) else doc[:0]
     repeat = np.repeat(least, np.diff(np.append(head, len(order)))) < owner[context]
     order, context = order[repeat], context[repeat]
@@ -285,8 +297,9 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text): the texts compressed, for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(3)
         for part in slices(batches, "text"):
-            packed = [zstandard.compress((t or "").encode(), 3) for t in part.column("text").to_pylist()]
+            packed = [compressor.compress(t or b"") for t in part.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "text"])
 
     return docs.mapInArrow(run, "doc_id long, text binary")
@@ -302,12 +315,15 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(shuffle_partitions(docs.sparkSession), ceil(whole / BUCKET_BYTES))
+    proof_buckets = max(shuffle_partitions(docs.sparkSession), ceil(whole / PROOF_BYTES))
     long = narrow.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    proofs = _proofs(long, length, buckets)
-    met = proofs.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_meet, "doc_id long, pack binary")
-    direct = proofs.where("bucket IS NULL").select("doc_id", "pack")
-    marks = union(met, direct).groupBy("doc_id").agg(F.collect_list("pack").alias("packs"))
-    contexts = _contexts(_packed_texts(long).join(marks, "doc_id"), length, buckets)
+    # By the text too, so that many rows of one doc_id are spread; a key that it has in two blocks only counts as shared.
+    blocks = _packed_texts(long).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    proofs = blocks.groupBy("block").applyInArrow(lambda t: _proofs(t, length, proof_buckets), "block long, bucket long, pack binary")
+    bits = proofs.groupBy("bucket").applyInArrow(_meet, "block long, bucket long, shared binary")
+    contexts = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
+        lambda t, b: _contexts(t, b, length, proof_buckets, buckets), _CONTEXT
+    )
     repeats = contexts.groupBy("bucket").applyInArrow(lambda t: _owned(t, length), "doc_id long, gone binary")
     gone = repeats.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
 

@@ -5,6 +5,25 @@ from __future__ import annotations
 import numpy as np
 
 
+def _sorted_rows(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their columns; each column is looked at only where those before it leave rows equal."""
+    order = np.argsort(columns[0])
+    first = columns[0][order]
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = first[1:] != first[:-1]
+    for column in columns[1:]:
+        tied = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(tied):
+            break
+        rows, run = order[tied], np.cumsum(new[tied])
+        value = column[rows]
+        by_run = np.lexsort((value, run))
+        value = value[by_run]
+        order[tied] = rows[by_run]
+        new[tied[1:]] |= value[1:] != value[:-1]
+    return order
+
+
 def two_stage_order(data: np.ndarray, lengths: np.ndarray, starts_per_text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix positions (the first ``starts_per_text`` of each text), sorted by their first ``depth`` bytes.
 
@@ -27,10 +46,8 @@ def two_stage_order(data: np.ndarray, lengths: np.ndarray, starts_per_text: np.n
     place = np.where(larger, len(text), np.arange(len(text)))
     next_b = np.minimum.accumulate(place[::-1])[::-1]
     stop = next_b[np.minimum(begin + starts_per_text, ends - 1)] + 1
-    used = np.zeros(len(text) + 1, np.int32)
-    np.add.at(used, begin, 1)
-    np.add.at(used, stop, -1)
-    used = np.cumsum(used[:-1]) > 0
+    n = len(text) + 1
+    used = np.cumsum(np.bincount(begin, minlength=n) - np.bincount(stop, minlength=n))[:-1] > 0
     direct = np.flatnonzero(used & ~larger)
     padded = np.zeros(len(text) + depth + 8, np.uint8)
     padded[inner] = data
@@ -39,8 +56,9 @@ def two_stage_order(data: np.ndarray, lengths: np.ndarray, starts_per_text: np.n
         np.lib.stride_tricks.sliding_window_view(padded[8 * k:], 8)[direct].copy().view(">u8").ravel().astype(np.uint64)
         for k in range(blocks)
     ]
-    # The first byte, with the sentinel, comes first.
-    direct = direct[np.lexsort((*keys[::-1], text[direct]))]
+    # Sentinels come first, in any order: no more than their sentinel is compared.
+    plain = text[direct] > 0
+    direct = np.concatenate((direct[~plain], direct[plain][_sorted_rows([k[plain] for k in keys])]))
     first_of = np.searchsorted(text[direct], np.arange(258))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
     out = []
@@ -59,7 +77,7 @@ def two_stage_order(data: np.ndarray, lengths: np.ndarray, starts_per_text: np.n
             for part, b in zip(np.split(before, cuts), byte_of[np.concatenate(([0], cuts))], strict=True):
                 waiting[b].append(part)
     order = np.concatenate(out) if out else np.zeros(0, np.int64)
-    owner = np.searchsorted(ends, order, "right")
+    owner = np.repeat(np.arange(n_texts), lengths + 1)[order]
     asked = order - begin[owner] < starts_per_text[owner]
     # Positions without the sentinels.
     return order[asked] - owner[asked]
